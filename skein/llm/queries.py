@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from skein.llm.common import read
 from skein.llm.decontaminate import decontaminate
+from skein.llm.jaccard_join import jaccard_join
 from skein.llm.license_scan import PHRASES, TEMPLATES, scan_licenses, template_sets
 from skein.llm.quality_rules import quality_rules
 from skein.llm.secret_scan import find_secrets
@@ -32,9 +33,14 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(read(spark, sf_dir, "documents"))
 
 
+
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join(read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op2_token_counts, op3_license_scan, op4_decontaminate, op5_secret_scan, op6_quality_rules)
+    for f in (op2_token_counts, op3_license_scan, op4_decontaminate, op5_secret_scan, op6_quality_rules, op10_jaccard_join)
 }
 
 SQL: dict[str, str] = {}
