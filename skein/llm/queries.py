@@ -8,11 +8,18 @@ from skein.llm.common import read
 from skein.llm.decontaminate import decontaminate
 from skein.llm.jaccard_join import jaccard_join
 from skein.llm.license_scan import PHRASES, TEMPLATES, scan_licenses, template_sets
+from skein.llm.pieces import encode_documents
+from skein.llm.quality_classifier import classify
 from skein.llm.quality_rules import quality_rules
 from skein.llm.secret_scan import find_secrets
+from skein.llm.substring_dedup import repeated_documents
 from skein.llm.token_counts import count_tokens
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_documents(read(spark, sf_dir, "documents"))
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(read(spark, sf_dir, "documents"), "byte_bpe_50k.json")
 
@@ -34,13 +41,28 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
+def op8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_documents(read(spark, sf_dir, "documents"), with_ids=False)
+
+
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(read(spark, sf_dir, "documents"))
 
 
 QUERIES = {
-    f.__name__: f
-    for f in (op2_token_counts, op3_license_scan, op4_decontaminate, op5_secret_scan, op6_quality_rules, op10_jaccard_join)
+    "op1_substring_dedup": op1_substring_dedup,
+    "op2_token_counts": op2_token_counts,
+    "op3_license_scan": op3_license_scan,
+    "op4_decontaminate": op4_decontaminate,
+    "op5_secret_scan": op5_secret_scan,
+    "op6_quality_rules": op6_quality_rules,
+    "op8_pieces": op8_pieces,
+    "op9_quality_classifier": op9_quality_classifier,
+    "op10_jaccard_join": op10_jaccard_join,
 }
 
 SQL: dict[str, str] = {}
