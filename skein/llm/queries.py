@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from skein.llm.common import read
 from skein.llm.decontaminate import decontaminate
+from skein.llm.gru_lm import score_documents
 from skein.llm.jaccard_join import jaccard_join
 from skein.llm.license_scan import PHRASES, TEMPLATES, scan_licenses, template_sets
 from skein.llm.pieces import encode_documents
@@ -41,6 +42,10 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
+def op7_gru_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(read(spark, sf_dir, "documents"))
+
+
 def op8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(read(spark, sf_dir, "documents"), with_ids=False)
 
@@ -60,6 +65,7 @@ QUERIES = {
     "op4_decontaminate": op4_decontaminate,
     "op5_secret_scan": op5_secret_scan,
     "op6_quality_rules": op6_quality_rules,
+    "op7_gru_scores": op7_gru_scores,
     "op8_pieces": op8_pieces,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_jaccard_join": op10_jaccard_join,
