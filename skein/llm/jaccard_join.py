@@ -269,7 +269,11 @@ def near_groups(
     index = stash(prefixes(docs, tokens, percent, width, most, id_col, text_col), "prefixes")
     spread = index.groupBy("token").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo < hi").select("token")
     shared = stash(index.join(spread, "token").distinct(), "shared")
-    sets = stash(text_sets(docs, shared.select("key").distinct(), width, id_col, text_col), "sets")
+
+    def linked(pairs: DataFrame, name: str) -> DataFrame:
+        """The pairs (a, b) that link; only the texts in them are read into sets."""
+        keys = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
+        return stash(verified(pairs, text_sets(docs, keys, width, id_col, text_col), percent), name)
 
     fits = f"100 * least(n, m) >= {percent} * greatest(n, m) and least(n - at, m - by) + l - 1 >= ceil({percent}.0D * (n + m) / {100 + percent} - 1e-9)"
     pivots = shared.groupBy("token").agg(F.min(F.struct("at", "key", "n")).alias("p"))
@@ -279,8 +283,7 @@ def near_groups(
         .where(f"key <> a and {fits}").select("a", F.col("key").alias("b")).distinct()
     )
     star = stash(star, "star")
-    links = stash(verified(star, sets, percent), "links")
-    groups = components(links)
+    groups = components(linked(star, "links"))
 
     rows = shared.join(groups.withColumnRenamed("node", "key"), "key", "left").withColumn("c", F.coalesce("component", "key")).drop("component")
     mixed = rows.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("token")
@@ -294,8 +297,9 @@ def near_groups(
         .where("n_shared >= l").select("a", "b")
     )
     done = star.select(F.col("b").alias("a"), F.col("a").alias("b")).unionByName(star)
-    late = stash(verified(pairs.join(done, ["a", "b"], "left_anti"), sets, percent), "late")
-    if not late.isEmpty():
+    pairs = stash(pairs.join(done, ["a", "b"], "left_anti"), "pairs")
+    if not pairs.isEmpty():
+        late = linked(pairs, "late")
         groups = components(groups.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(late))
 
     texts = found.where("count is null").select("doc_id", "key", F.col("n").alias("n_shingles"))
