@@ -11,7 +11,8 @@ prefix shingles of a candidate.
 
 Steps: (1) one pass finds, for each document, a key of its word sequence and its set
 size, and counts the shingles that are frequent in some task; the most frequent, a
-bounded number, give the order. (2) One pass emits the prefixes, each distinct text
+bounded number, give the order. (2) One pass counts the shingles of the prefixes under this
+order exactly, and a second, with those counts, emits the prefixes, each distinct text
 once per task. (3) Shingles with one text only go; in each remaining list the member
 whose shared shingle stands nearest to the front is the pivot, and pivot-member pairs
 are verified. A group of thousands of near copies thus costs a pair for each member.
@@ -37,8 +38,8 @@ from skein.llm.common import map_texts, plain_words, stash
 from skein.llm.components import components
 
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5], np.uint64)
-#: Shingles whose counts give the order: 4 MB at most as arrays.
-FREQUENT = 1 << 18
+#: Shingles whose counts give the order: 16 MB at most as arrays.
+FREQUENT = 1 << 20
 #: Shingles that a task gathers before it counts them, and its least count that is reported.
 CHUNK, LOCAL_LEAST = 4_000_000, 4
 #: Words of the bitmap that tells which texts have candidates: 2 MB.
@@ -185,7 +186,7 @@ def prefixes(
                     order = np.lexsort((s, count))
                 else:
                     order = np.arange(n)
-                l = choose_l(count[order], n - need + 1, min(most, need), 8.0) if count.any() else 1
+                l = choose_l(np.maximum(count[order], 1), n - need + 1, min(most, need), 8.0)
                 size = min(n, n - need + most)
                 parts.append(s[order[:size]])
                 meta.append((key, n, size, l))
@@ -266,6 +267,9 @@ def near_groups(
     context = docs.sparkSession.sparkContext
     found = stash(survey(docs, width, id_col, text_col), "survey")
     tokens = context.broadcast(frequent_tokens(found))
+    # what stands in prefixes now is counted exactly, and ordered anew where it isn't rare
+    again = prefixes(docs, tokens, percent, width, most, id_col, text_col).groupBy("token").agg(F.count("*").alias("count")).where("count > 1")
+    tokens = context.broadcast(frequent_tokens(found.select("token", "count").unionByName(again)))
     index = stash(prefixes(docs, tokens, percent, width, most, id_col, text_col), "prefixes")
     spread = index.groupBy("token").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo < hi").select("token")
     shared = stash(index.join(spread, "token").distinct(), "shared")
@@ -278,9 +282,10 @@ def near_groups(
     fits = f"100 * least(n, m) >= {percent} * greatest(n, m) and least(n - at, m - by) + l - 1 >= ceil({percent}.0D * (n + m) / {100 + percent} - 1e-9)"
     pivots = shared.groupBy("token").agg(F.min(F.struct("at", "key", "n")).alias("p"))
     star = (
-        shared.withColumn("l", F.lit(1)).join(pivots, "token")
+        shared.join(pivots, "token")
         .select("key", "n", "at", "l", F.col("p.key").alias("a"), F.col("p.n").alias("m"), F.col("p.at").alias("by"))
-        .where(f"key <> a and {fits}").select("a", F.col("key").alias("b")).distinct()
+        .where(f"key <> a and {fits}").groupBy("a", F.col("key").alias("b")).agg(F.count("*").alias("n_shared"), F.first("l").alias("l"))
+        .where("n_shared >= l").select("a", "b")
     )
     star = stash(star, "star")
     groups = components(linked(star, "links"))
