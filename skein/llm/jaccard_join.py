@@ -42,6 +42,8 @@ _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x2
 FREQUENT = 1 << 20
 #: Shingles that a task gathers before it counts them, and its least count that is reported.
 CHUNK, LOCAL_LEAST = 4_000_000, 4
+#: Cost of a candidate against that of reading an entry: the positional filter stops most before they are verified.
+VERIFY = 1.0
 #: Words of the bitmap that tells which texts have candidates: 2 MB.
 BITMAP = 1 << 18
 
@@ -186,7 +188,7 @@ def prefixes(
                     order = np.lexsort((s, count))
                 else:
                     order = np.arange(n)
-                l = choose_l(np.maximum(count[order], 1), n - need + 1, min(most, need), 8.0)
+                l = choose_l(np.maximum(count[order], 1), n - need + 1, min(most, need), VERIFY)
                 size = min(n, n - need + most)
                 parts.append(s[order[:size]])
                 meta.append((key, n, size, l))
@@ -259,7 +261,7 @@ def near_groups(
     docs: DataFrame,
     percent: int = 85,
     width: int = 4,
-    most: int = 4,
+    most: int = 2,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
@@ -279,7 +281,8 @@ def near_groups(
         keys = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
         return stash(verified(pairs, text_sets(docs, keys, width, id_col, text_col), percent), name)
 
-    fits = f"100 * least(n, m) >= {percent} * greatest(n, m) and least(n - at, m - by) + l - 1 >= ceil({percent}.0D * (n + m) / {100 + percent} - 1e-9)"
+    need = f"ceil({percent}.0D * (n + m) / {100 + percent} - 1e-9)"
+    fits = f"100 * least(n, m) >= {percent} * greatest(n, m) and least(n - at, m - by) + l - 1 >= {need}"
     pivots = shared.groupBy("token").agg(F.min(F.struct("at", "key", "n")).alias("p"))
     star = (
         shared.withColumn("l", F.lit(1)).join(pivots, "token")
@@ -291,12 +294,14 @@ def near_groups(
 
     rows = shared.join(groups.withColumnRenamed("node", "key"), "key", "left").withColumn("c", F.coalesce("component", "key")).drop("component")
     mixed = rows.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("token")
-    rows = stash(rows.join(mixed, "token"), "mixed")
-    other = rows.select("token", F.col("key").alias("a"), F.col("n").alias("m"), F.col("at").alias("by"), F.col("c").alias("d"))
+    rows = rows.join(mixed, "token")
+    # the first shingle that a link can share stands at place f, so n - f shingles are shared at most
+    rows = stash(rows.join(rows.groupBy("key").agg(F.min("at").alias("f")), "key"), "mixed")
+    other = rows.select("token", F.col("key").alias("a"), F.col("n").alias("m"), F.col("at").alias("by"), F.col("c").alias("d"), F.col("f").alias("g"))
     prefix = lambda n, at: f"{at} < {n} - ceil({percent}.0D * {n} / 100 - 1e-9) + l"
     pairs = (
         rows.join(other, "token")
-        .where(f"key > a and c <> d and {fits} and {prefix('n', 'at')} and {prefix('m', 'by')}")
+        .where(f"key > a and c <> d and least(n - f, m - g) >= {need} and {fits} and {prefix('n', 'at')} and {prefix('m', 'by')}")
         .groupBy("a", F.col("key").alias("b")).agg(F.count("*").alias("n_shared"), F.first("l").alias("l"))
         .where("n_shared >= l").select("a", "b")
     )
