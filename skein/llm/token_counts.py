@@ -37,15 +37,24 @@ class ChunkEncoder:
 
     def learn(self, texts: list[str]) -> None:
         """Encode the stretches of some texts that aren't known yet, in one call."""
-        if len(self.known) > self.kept:
-            self.known = {}
         new = {s for t in texts for s in _STRETCH.findall(t)}.difference(self.known)
         if new:
             new = list(new)
             self.known.update(zip(new, self.encode_batch(new)))
 
-    def total(self, text: str) -> int:
-        return sum(map(self.known.__getitem__, _STRETCH.findall(text)))
+    def trim(self) -> None:
+        """Forget all if there is too much; never within a text."""
+        if len(self.known) > self.kept:
+            self.known = {}
+
+    def totals(self, texts: list[str]) -> list[int]:
+        """Tokens of texts of one chunk each."""
+        self.trim()
+        cut = list(map(_STRETCH.findall, texts))
+        new = list(set().union(*cut).difference(self.known))
+        if new:
+            self.known.update(zip(new, self.encode_batch(new)))
+        return [sum(map(self.known.__getitem__, c)) for c in cut]
 
     def encode(self, chunk: str) -> tuple[list[int], list[int]]:
         ends, tokens, at, n = [0], [0], 0, 0
@@ -64,6 +73,7 @@ def stable(text: str, p: int) -> bool:
 
 def spliced_count(text: str, encoder: ChunkEncoder, chunk: int, overlap: int) -> int:
     """Tokens of a text, from chunks that overlap."""
+    encoder.trim()
     start, total, skip, done = 0, 0, 0, 0  # skip: tokens of the chunk that stand before place done
     end = min(len(text), chunk)
     encoder.learn([text[start:end]])
@@ -134,11 +144,14 @@ def count_tokens(
         encoder = ChunkEncoder(_loader(public_tokenizers.path(vocabulary)))
 
         def call(ids: list, texts: list[str]) -> dict[str, list]:
-            encoder.learn([t for t in texts if len(t) <= chunk])
-            counts = [
-                encoder.total(t) if len(t) <= chunk else spliced_count(t, encoder, chunk, overlap)
-                for t in texts
-            ]
+            counts, short = [0] * len(texts), [k for k, t in enumerate(texts) if len(t) <= chunk]
+            for a in range(0, len(short), 500):
+                part = short[a : a + 500]
+                for k, n in zip(part, encoder.totals([texts[k] for k in part])):
+                    counts[k] = n
+            for k, t in enumerate(texts):
+                if len(t) > chunk:
+                    counts[k] = spliced_count(t, encoder, chunk, overlap)
             return {
                 "doc_id": ids,
                 "n_bytes": [len(t.encode()) for t in texts],
