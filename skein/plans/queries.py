@@ -2,30 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.functions import text as T
 from skein.operators import embed, evals, filters, mapping, ops, profile, rank, raw, search
+from skein.plans import check_queries, search_queries  # noqa: F401 (they register their queries)
+from skein.plans.registry import QUERIES, SQL, query
 from skein.sources.readers import next_cursor, read_increment, read_table, read_with_overlap
 from skein.streaming.streams import rolling_metrics
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None):
-    def add(f):
-        QUERIES[name] = lambda spark, d: f(lambda t: read_table(spark, d, t))
-        if sql:
-            SQL[name] = sql
-        return f
-
-    return add
-
-
 # -- stored and incoming orders: every 7th changed, every 11th gone, keys from 2^40 new
 def _stored(t):
     return t("orders").select("o_orderkey", F.sha2(F.concat_ws("|", F.col("o_orderstatus"), F.col("o_orderpriority")), 256).alias("hash"))
