@@ -9,6 +9,9 @@ Two word cuts are used throughout, both on the UTF-8 bytes of a text:
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -17,6 +20,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Rows that go to Python at a time while a table is written.
+BATCH_ROWS = 1000
 _KEEP = b"0123456789abcdefghijklmnopqrstuvwxyz"
 _FOLD = bytes(
     b + 32 if 65 <= b <= 90 else b if b >= 128 or b in _KEEP else 32 for b in range(256)
@@ -49,14 +55,30 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def stash(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
-    """Cut the lineage: write df as Parquet to the shared folder and read it again."""
+    """Cut the lineage: write df as Parquet to the shared folder and read it again.
+
+    Meanwhile rows go to Python in small batches, as they hold texts or sets.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/skein-{uuid.uuid4().hex}/{name}"
     writer = df.write.partitionBy(partition_by) if partition_by else df.write
-    writer.parquet(path)
+    before = spark.conf.get(_BATCH)
+    spark.conf.set(_BATCH, str(BATCH_ROWS))
+    try:
+        writer.parquet(path)
+    finally:
+        spark.conf.set(_BATCH, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def give_back() -> None:
+    """Return what this worker has freed to the system: workers go on to other tasks."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not the C library that has it
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def map_texts(
     docs: DataFrame,
     make: Callable[[], Callable[[list, list], dict[str, list]]],
@@ -93,6 +115,8 @@ def map_texts(
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(out[f.name], type=f.type) for f in arrow], schema=arrow
                 )
+        del call
+        give_back()
 
     return narrow.mapInArrow(run, schema)
 
@@ -123,5 +147,7 @@ def change_rows(
                     new = pa.array([n if n is not None else o for n, o in zip(texts, old)], type=part.schema.field(at).type)
                     part = part.set_column(at, part.schema.field(at), new)
                 yield part if mask is None else part.filter(pa.array(mask, type=pa.bool_()))
+        del call
+        give_back()
 
     return docs.mapInArrow(run, schema)

@@ -34,7 +34,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import map_texts, plain_words, stash
+from skein.llm.common import give_back, map_texts, plain_words, stash
 from skein.llm.components import components
 
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5], np.uint64)
@@ -97,11 +97,13 @@ def survey(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame
         seen, held = Seen(), []
 
         def flush() -> dict[str, list]:
-            got, counts = np.unique(np.concatenate(held), return_counts=True) if held else (np.empty(0, np.uint64), np.empty(0, int))
+            every = np.concatenate(held) if held else np.empty(0, np.uint64)
             held.clear()
-            keep = counts >= LOCAL_LEAST
-            k = int(keep.sum())
-            return {"doc_id": [None] * k, "key": [None] * k, "n": [None] * k, "token": got[keep].view(np.int64).tolist(), "count": counts[keep].tolist()}
+            every.sort()
+            got = np.unique(every[LOCAL_LEAST - 1 :][every[LOCAL_LEAST - 1 :] == every[: max(len(every) - LOCAL_LEAST + 1, 0)]])
+            counts = np.searchsorted(every, got, "right") - np.searchsorted(every, got, "left")
+            k = len(got)
+            return {"doc_id": [None] * k, "key": [None] * k, "n": [None] * k, "token": got.view(np.int64), "count": counts}
 
         def call(ids: list, texts: list[bytes]) -> dict[str, list]:
             keys, sizes = [], []
@@ -117,7 +119,7 @@ def survey(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame
             out = {"doc_id": ids, "key": keys, "n": sizes, "token": empty, "count": empty}
             if sum(map(len, held)) > CHUNK:
                 more = flush()
-                out = {c: [*out[c], *more[c]] for c in names}
+                out = {c: [*out[c], *(more[c].tolist() if isinstance(more[c], np.ndarray) else more[c])] for c in names}
             return out
 
         call.finish = lambda: [flush()]
@@ -253,6 +255,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
             yield batch.select([0, 1]).filter(pa.array(keep, type=pa.bool_()))
+        give_back()
 
     return rows.mapInArrow(run, "a long, b long")
 
