@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -42,7 +43,7 @@ def statistics(text: bytes) -> list[float]:
     n = len(words)
     if not n:
         return [0.0] * len(FEATURES)
-    distinct = set(words)
+    counts = Counter(words)
     lines = [x for x in text.split(b"\n") if x.strip()]
     pairs = len(set(zip(words, words[1:])))
     capitals, small = _share(text, _CAPITALS), _share(text, _SMALL)
@@ -50,8 +51,8 @@ def statistics(text: bytes) -> list[float]:
         math.log1p(len(text)), math.log1p(n), sum(map(len, words)) / n,
         _share(text, b"#*$%&|<>"), _share(text, b".,;:!?\"'()-"), capitals / max(1e-9, capitals + small),
         _share(text, b"0123456789"), _share(text, bytes(range(128, 256))),
-        len(distinct) / n, 1 - pairs / max(1, n - 1), 1 - len(set(lines)) / max(1, len(lines)),
-        min(200.0, n / max(1, len(lines))), max(map(words.count, words[:: max(1, n // 8)])) / n,
+        len(counts) / n, 1 - pairs / max(1, n - 1), 1 - len(set(lines)) / max(1, len(lines)),
+        min(200.0, n / max(1, len(lines))), max(counts.values()) / n,
         text.count(b"!!") / n, sum(len(w) < 3 for w in words) / n,
     ]
 
