@@ -1,9 +1,12 @@
 """Secret scan by assignment-aware lexing.
 
 Around every ``=`` or ``:`` the scanner reads a target name on the left and a literal,
-a bare value or a reference to an earlier name on the right (shell, Python, YAML, JSON,
-INI, JavaScript and Go forms). References are followed (constant propagation), so a
-literal gets the names of all targets that it reaches. Its score is the sensitivity of
+a bare value or a reference to another name on the right (shell, Python, YAML, JSON,
+INI, JavaScript and Go forms). A type between name and mark (``name: type =``, Go's
+``name type =``) is no target; string prefixes and triple quotes belong to a literal.
+When all assignments are known, references are followed (constant propagation) to the
+last assignment of that name before them, or the first one after them, so a literal
+gets the names of all targets that it reaches. Its score is the sensitivity of
 the most sensitive of these names times the plausibility of the literal (length,
 character variety, no placeholder); literals of ``min_score`` or more are reported as
 kind ``lexed``. Three base kinds are always reported beside them: ``assign``,
@@ -18,6 +21,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 
 from pyspark.sql import DataFrame
@@ -48,8 +52,19 @@ PLACEHOLDERS = {"changeme", "example", "password", "secret", "none", "null", "tr
 _MARK = re.compile(r":=|=>|[=:]")
 _NAME = re.compile(r"""(?:["'])?([A-Za-z_][A-Za-z0-9_.\-]*)["']?\]?[ \t]*$""")
 _VALUE = re.compile(
-    r"""[ \t]*(?:"((?:[^"\\\n]|\\.)*)"|'((?:[^'\\\n]|\\.)*)'|`([^`\n]*)`|\$\{?([A-Za-z_][A-Za-z0-9_]*)\}?|([A-Za-z0-9_./+=$@!%^&*~\-]+))"""
+    r"""[ \t]*(?:(?:(?:[rRbBuUfFtT]{1,2}|[@$]{1,2}|[LN]|String\.raw)(?=["'`]))?(?:"((?:[^"\\\n]|\\.)*)"|'((?:[^'\\\n]|\\.)*)'|`([^`\n]*)`)|\$\{?([A-Za-z_][A-Za-z0-9_]*)\}?|([A-Za-z0-9_./+=$@!%^&*~\-]+))"""
 )
+# A type: names with dots, brackets of types, alternatives; its words are no targets.
+_ONE_TYPE = r"""["']?[*&?]*(?:\[[0-9]*\])*[*]*[A-Za-z_][A-Za-z0-9_.]*(?:\[[^=:()\n]*\]|<[^=:()\n]*>)?["']?\??"""
+_TYPE = rf"({_ONE_TYPE}(?:[ \t]*\|[ \t]*{_ONE_TYPE})*)"
+_TYPED = re.compile(rf"""([A-Za-z_][A-Za-z0-9_.\-]*)[?!]?[ \t]*:[ \t]*{_TYPE}[ \t]*$""")
+_GO_TYPED = re.compile(rf"^(?:.*[;({{])?[ \t]*(?:(var|const)[ \t]+)?([A-Za-z_][A-Za-z0-9_]*)[ \t]+{_TYPE}[ \t]*$")
+_BRANCH = re.compile(r"(?:^|[^A-Za-z0-9_])(?:if|elif|while|and|or|not|in|is|case|when)[ \t]+$")
+# Types that are written small.
+TYPES = {
+    "str", "string", "bytes", "bytearray", "byte", "char", "text", "rune", "varchar", "int", "uint", "float", "double", "number", "bool",
+    "boolean", "object", "any", "unknown", "error", "list", "dict", "tuple", "set", "map", "none", "null", "undefined",
+}
 _PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 
 
@@ -63,39 +78,93 @@ def sensitivity(name: str) -> float:
 def plausibility(literal: str) -> float:
     """0 to 1: how much a literal looks like a secret value."""
     n = len(literal)
-    if n < 6 or literal.lower() in PLACEHOLDERS or len(set(literal)) < 4 or " " in literal:
+    if n < 6 or literal.lower() in PLACEHOLDERS or len(set(literal)) < 4:
         return 0.0
     entropy = -sum(c / n * math.log2(c / n) for c in Counter(literal).values())
     mixed = any(c.isdigit() for c in literal) + any(c.isalpha() for c in literal)
     return min(1.0, 0.35 + 0.15 * entropy + 0.1 * (mixed == 2))
 
 
+def is_type(written: str) -> bool:
+    """Whether a word or an expression in a type's place is a type: a small type word, a
+    name in capital letters and small ones, or brackets, pointers or alternatives."""
+    word = written.strip("\"'?")
+    last = word.rpartition(".")[2]
+    return not re.fullmatch(r"[A-Za-z0-9_.]+", word) or last.lower() in TYPES or last[:1].isupper() and not last.isupper()
+
+
+def typed_target(left: str) -> tuple[str, int] | None:
+    """The name that a type follows at the end of ``left`` (part of one line), and the
+    place of the colon between them, -1 if there is none."""
+    got = _TYPED.search(left)
+    if got and is_type(got.group(2)) and not _BRANCH.search(left[: got.start()]):
+        return got.group(1), left.index(":", got.end(1))
+    got = _GO_TYPED.search(left)
+    if got and got.group(2).lower() not in TYPES and (got.group(1) == "var" or is_type(got.group(3))):
+        if got.group(1) or got.group(3).lower() in TYPES or not re.match(r"[A-Za-z]", got.group(3)):
+            return got.group(2), -1
+    return None
+
+
 def lex(text: str) -> list[tuple[str, int, int, str | None]]:
     """(target name, start, end, referenced name or None) of each assignment."""
-    found = []
+    found: dict[int, list] = {}
+    colons: dict[int, int] = {}  # start of the value: place of the colon
     for mark in _MARK.finditer(text):
-        left = _NAME.search(text[max(0, mark.start() - 80) : mark.start()])
-        if not left:
+        begin = max(0, mark.start() - 160)
+        begin = max(begin, text.rfind("\n", begin, mark.start()) + 1)
+        left = text[begin : mark.start()]
+        cut = max(0, len(left) - 80)
+        near = _NAME.search(left[cut:])
+        typed = typed_target(left) if mark.group() == "=" else None
+        if not near and not typed:
             continue
         right = _VALUE.match(text, mark.end())
         if not right:
             continue
         k = right.lastindex
         start, end = right.span(k)
-        value = right.group(k)
+        if k < 3 and start == end and text.startswith(text[end] * 2, end):  # triple quotes
+            stop = text.find(text[end] * 3, end + 2)
+            if stop >= 0:
+                start, end = start + 2, stop
+        value = text[start:end]
         plain = k == 4 or k == 5 and re.fullmatch(r"[A-Za-z_][A-Za-z0-9_]*", value)
-        found.append((left.group(1), start, end, value if plain else None))
-    return found
+        if mark.group() == ":":
+            colons[start] = mark.start()
+        elif near:  # in "if x: name = ..." the name isn't the value of x
+            found.pop(colons.get(begin + cut + near.start(1)), None)
+        names = [near.group(1)] if near else []
+        if typed:  # a type whose name is sensitive may be a key after all
+            names = [typed[0], *(n for n in names if sensitivity(n))]
+            if typed[1] >= 0:
+                found.pop(begin + typed[1], None)
+        found[mark.start()] = [(n, start, end, value if plain else None) for n in names]
+    return [a for some in found.values() for a in some]
 
 
 def lexed_spans(text: str, min_score: float) -> list[tuple[int, int]]:
     """Literals that reach a sensitive name."""
-    source: dict[str, tuple[int, int]] = {}
+    every = lex(text)
+    places: dict[str, list[int]] = {}
+    for k, (name, _, _, _) in enumerate(every):
+        places.setdefault(name, []).append(k)
+    ends: dict[int, int] = {}
     best: dict[tuple[int, int], float] = {}
-    for name, start, end, reference in lex(text):
-        span = source.get(reference) if reference else None
-        span = span or (start, end)
-        source[name] = span
+    for k, (name, _, _, _) in enumerate(every):
+        at, way = k, {k: None}
+        while at not in ends and every[at][3] in places:
+            of = places[every[at][3]]
+            j = bisect_left(of, at)
+            after = of[j + (of[j] == at) :][:1] if j < len(of) else []
+            to = of[j - 1] if j else after[0] if after else at
+            if to in way:  # names in a ring
+                break
+            at = to
+            way[at] = None
+        at = ends.get(at, at)
+        ends.update(dict.fromkeys(way, at))
+        span = every[at][1:3]
         best[span] = max(best.get(span, 0.0), sensitivity(name))
     return sorted(s for s, v in best.items() if v and v * plausibility(text[s[0] : s[1]]) >= min_score)
 

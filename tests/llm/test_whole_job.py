@@ -1,6 +1,9 @@
 """Corpus operators: cases in which a part of the job was once left out."""
 
+import pytest
+
 from skein.llm.quality_classifier import FEATURES, statistics
+from skein.llm.secret_scan import lexed_spans, redact
 
 
 def test_top_word_counts_all_words():
@@ -9,3 +12,38 @@ def test_top_word_counts_all_words():
     assert statistics(" ".join(words).encode())[FEATURES.index("top_word")] == 8 / 80
     moved = statistics(" ".join(["new", *words]).encode())
     assert moved[FEATURES.index("top_word")] == 8 / 81
+
+
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        ('password: str = "s3cretvalue"', ["s3cretvalue"]),
+        ('name: str = "harmless12"\npassword: str = "s3cretvalue"', ["s3cretvalue"]),
+        ("let token: string = 's3cretvalue';", ["s3cretvalue"]),
+        ('def f(user: str, pwd: Optional[str] = "s3cretvalue", n: dict[str, int] = None):', ["s3cretvalue"]),
+        ('pwd: str | None = "s3cretvalue"', ["s3cretvalue"]),
+        ('var password string = "s3cretvalue"', ["s3cretvalue"]),
+        ('var (\n\tname string = "harmless12"\n\tpassword string = "s3cretvalue"\n)', ["s3cretvalue"]),
+        ('var pwd []byte = "s3cretvalue"', ["s3cretvalue"]),
+        ('const string pwd = "s3cretvalue"', ["s3cretvalue"]),
+        ('password = b"s3cretvalue"', ["s3cretvalue"]),
+        ("pwd = rb's3cretvalue'", ["s3cretvalue"]),
+        ('pwd = f"s3cretvalue"', ["s3cretvalue"]),
+        ('pwd = """s3cret\nvalue"""', ["s3cret\nvalue"]),
+        ('passphrase = "correct horse battery staple"', ["correct horse battery staple"]),
+        ('pwd = KEY\nKEY = "s3cretvalue"', ["s3cretvalue"]),
+        ('a = b\nb = a\npwd = a', []),
+        ('K = "s3cretvalue"\npwd = K\nK = "harmless12"', ["s3cretvalue"]),
+        ('if secret: name = "harmless12"', []),
+        ('if secret: pwd = "s3cretvalue"', ["s3cretvalue"]),
+        ('f(token: str, name="harmless12")', []),
+        ("run: KEY=s3cretvalue\nPWD=$KEY", ["s3cretvalue"]),
+    ],
+)
+def test_assignment_forms(text, want):
+    assert [text[a:b] for a, b in lexed_spans(text, 0.5)] == want
+
+
+def test_typed_secret_is_masked():
+    text = 'name: str = "harmless12"\npassword: str = "s3cretvalue"'
+    assert redact(text, 0.5, "#") == 'name: str = "harmless12"\npassword: str = "#"'
