@@ -1,9 +1,12 @@
 """Corpus operators: cases in which a part of the job was once left out."""
 
+import random
+
 import pytest
 
 from skein.llm.quality_classifier import FEATURES, statistics
 from skein.llm.secret_scan import lexed_spans, redact
+from skein.llm.substring_dedup import cuts, remove_repeats, repeated_documents
 
 
 def test_top_word_counts_all_words():
@@ -47,3 +50,28 @@ def test_assignment_forms(text, want):
 def test_typed_secret_is_masked():
     text = 'name: str = "harmless12"\npassword: str = "s3cretvalue"'
     assert redact(text, 0.5, "#") == 'name: str = "harmless12"\npassword: str = "#"'
+
+
+def test_passage_whose_chunks_have_other_holders(spark):
+    rng = random.Random(5)
+    prose = lambda n: " ".join("".join(rng.choices("abcdefghij", k=rng.randint(3, 8))) for _ in range(n))
+    passage = prose(60)
+    ends = cuts(passage.encode())
+    rows = [(100, f"{prose(40)} {passage} {prose(40)}"), (200, f"{prose(50)} {passage} {prose(30)}")]
+    for k, (a, b) in enumerate(zip(ends, ends[1:])):  # each chunk, with what its cuts depend on, in a document of its own
+        rows.append((1 + k, f"{prose(20)} {passage[max(0, a - 40) : b]} {prose(20)}"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in repeated_documents(docs).collect()}
+    assert {100, 200} <= set(got) and got[200].n_bytes > 0.6 * len(passage) and got[200].removable_bytes == got[200].n_bytes
+    assert got[100].n_runs == got[200].n_runs == 1
+    old, new = dict(rows), {r.doc_id: r.text for r in remove_repeats(docs).collect()}
+    assert len(old[200]) - len(new[200]) == got[200].removable_bytes and len(old[100]) - len(new[100]) == got[100].removable_bytes
+
+
+def test_only_repeated_chunks_are_removed(spark):
+    rng = random.Random(6)
+    prose = lambda n: " ".join("".join(rng.choices("abcdefghij", k=rng.randint(3, 8))) for _ in range(n))
+    one, two, own = prose(80), prose(80), "OWN " * 12
+    docs = spark.createDataFrame([(1, f"{one} {prose(11)} {two}"), (2, f"{one} {own} {two}"), (2, prose(90))], "doc_id long, text string")
+    new = sorted((r.text for r in remove_repeats(docs).where("doc_id = 2").collect()), key=lambda x: "OWN" in x)
+    assert own.strip() in new[1] and len(new[1]) < 400 and len(new[0].split()) == 90
