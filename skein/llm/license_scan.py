@@ -1,18 +1,20 @@
 """License scan: places of base phrases, and an exact set-similarity join.
 
-Text blocks (the parts of a text between separators, lines by default) are joined
-with license templates by containment: |template words in the block| / |template
-words| >= threshold, all sets of distinct words.
+Text blocks are joined with license templates by containment: |template words in the
+block| / |template words| >= threshold, all sets of distinct words. The blocks of a
+template are all runs of ``reach`` times as many words as it has, at every place of
+the text and over line ends: a wrapped notice is seen whole, and words scattered over
+a long text don't add up.
 
 The words of the templates are ordered by their document frequency over the whole
 corpus, rarest first. With t = ceil(threshold * |T|) needed words,
 
-* prefix filter: a block that qualifies holds one of the first |T| - t + 1 words of T;
+* prefix filter: a text with such a block holds one of the first |T| - t + 1 words of T;
 * length filter: it has at least t distinct words;
 * positional filter: if the first shared word stands at place i of T, at most
   |T| - i words can be shared.
 
-What passes is verified exactly, so every qualifying block is found. The frequencies
+What passes is verified exactly, block by block, so every qualifying block is found. The frequencies
 come from one pass that counts only template words, a bounded set; the templates are
 a fixed parameter and so may be broadcast.
 
@@ -73,38 +75,55 @@ def word_frequencies(docs: DataFrame, vocabulary: frozenset, text_col: str = "te
 class Matcher:
     """Joins the blocks of a text with the templates."""
 
-    def __init__(self, sets: list[tuple[frozenset, str]], frequency: dict[bytes, int], threshold: float):
+    def __init__(self, templates: list[tuple[str, str]], frequency: dict[bytes, int], threshold: float, reach: float):
         self.sides = []
-        for words, label in sets:
+        for (text, _), (words, label) in zip(templates, template_sets(templates)):
             order = sorted(words, key=lambda w: (frequency.get(w, 0), w))
             need = math.ceil(threshold * len(order) - 1e-9)
-            self.sides.append((order, words, need, label))
+            self.sides.append((order, words, need, label, int(reach * len(folded_words(text.encode())))))
         self.by_prefix: dict[bytes, list[tuple[int, int]]] = {}
-        for k, (order, _, need, _) in enumerate(self.sides):
+        for k, (order, _, need, _, _) in enumerate(self.sides):
             for place, word in enumerate(order[: len(order) - need + 1]):
                 self.by_prefix.setdefault(word, []).append((place, k))
         self.starts = frozenset(self.by_prefix)
 
-    def blocks(self, text: bytes, words: list[bytes], separator: bytes) -> list[tuple[str, float]]:
-        """(label, containment) of each qualifying pair of block and template."""
-        if self.starts.isdisjoint(words):
-            return []
+    def blocks(self, words: list[bytes], have: set) -> list[tuple[str, float]]:
+        """(label, highest containment) of each template, once for each of its places:
+        qualifying blocks that don't overlap, each taken as early as possible."""
         found = []
-        for block in text.split(separator):
-            have = set(folded_words(block))
-            first: dict[int, int] = {}
-            for word in self.starts.intersection(have):
-                for place, k in self.by_prefix[word]:
-                    first[k] = min(place, first.get(k, place))
-            for k, place in first.items():
-                order, whole, need, label = self.sides[k]
-                if len(have) >= need and len(order) - place >= need:
-                    shared = len(whole & have)
-                    if shared >= need:
-                        found.append((label, shared / len(order)))
+        first: dict[int, int] = {}
+        for word in self.starts.intersection(have):
+            for place, k in self.by_prefix[word]:
+                first[k] = min(place, first.get(k, place))
+        for k, place in first.items():
+            order, whole, need, label, width = self.sides[k]
+            if len(have) >= need and len(order) - place >= need and len(whole & have) >= need:
+                hits = [(p, w) for p, w in enumerate(words) if w in whole]
+                most, _ = shared_words(hits, width, len(order) + 1)
+                if most >= need:
+                    found += [(label, most / len(order))] * shared_words(hits, width, need)[1]
         return found
 
 
+def shared_words(hits: list[tuple[int, bytes]], width: int, need: int) -> tuple[int, int]:
+    """The most distinct words in ``width`` places, and how often ``need`` are met; what
+    has met them isn't looked at again."""
+    held: dict[bytes, int] = {}
+    most = times = low = 0
+    for high, (at, word) in enumerate(hits):
+        held[word] = held.get(word, 0) + 1
+        while hits[low][0] <= at - width:
+            old = hits[low][1]
+            held[old] -= 1
+            if not held[old]:
+                del held[old]
+            low += 1
+        most = max(most, len(held))
+        if len(held) >= need:
+            times, low, held = times + 1, high + 1, {}
+    return most, times
+
+
 def phrase_places(words: list[bytes], phrases: list[list[bytes]]) -> dict[int, list[int]]:
     """Starts, in words, of every place of each phrase; places may overlap."""
     found: dict[int, list[int]] = {}
@@ -125,22 +144,21 @@ def scan_licenses(
     templates: list[tuple[str, str]] = TEMPLATES,
     phrases: dict[str, str] = PHRASES,
     threshold: float = 0.8,
-    separator: str = "\n",
+    reach: float = 2.0,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
     """One row per input row: doc_id, n_words, n_base, first_word, last_word,
-    base_labels, labels, n_blocks (qualifying pairs of block and template) and score
+    base_labels, labels, n_blocks (places of templates) and score
     (the highest containment of a template; a base phrase counts as contained whole).
     """
     sets = template_sets(templates)
     vocabulary = frozenset().union(*(w for w, _ in sets))
     frequency = {bytes(r.word): r.n for r in word_frequencies(docs, vocabulary, text_col).collect()}  # bounded by the templates
     names, cut = list(phrases.values()), [p.encode().split() for p in phrases]
-    sep = separator.encode()
 
     def make():
-        matcher = Matcher(sets, frequency, threshold)
+        matcher = Matcher(templates, frequency, threshold, reach)
         hints = {p[-1] for p in cut}
 
         def one(text: bytes) -> tuple:
@@ -149,7 +167,7 @@ def scan_licenses(
             places = {} if hints.isdisjoint(distinct) else phrase_places(words, cut)
             starts = [s for v in places.values() for s in v]
             base = {names[k] for k in places}
-            more = matcher.blocks(text, distinct, sep)
+            more = matcher.blocks(words, distinct)
             return (
                 len(words), len(starts), min(starts, default=None), max(starts, default=None),
                 ",".join(sorted(base)), ",".join(sorted(base | {x for x, _ in more})),

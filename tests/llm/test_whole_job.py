@@ -4,6 +4,7 @@ import random
 
 import pytest
 
+from skein.llm.license_scan import TEMPLATES, scan_licenses
 from skein.llm.quality_classifier import FEATURES, statistics
 from skein.llm.secret_scan import lexed_spans, redact
 from skein.llm.substring_dedup import cuts, remove_repeats, repeated_documents
@@ -75,3 +76,14 @@ def test_only_repeated_chunks_are_removed(spark):
     docs = spark.createDataFrame([(1, f"{one} {prose(11)} {two}"), (2, f"{one} {own} {two}"), (2, prose(90))], "doc_id long, text string")
     new = sorted((r.text for r in remove_repeats(docs).where("doc_id = 2").collect()), key=lambda x: "OWN" in x)
     assert own.strip() in new[1] and len(new[1]) < 400 and len(new[0].split()) == 90
+
+
+def test_license_notices_over_lines_and_in_long_lines(spark):
+    wrapped = """ * Permission is hereby granted, free of charge, to any person obtaining a copy
+ * of this software and associated documentation files (the "Software"), to deal"""
+    bsd = "Redistribution and use in source and binary forms, with or\nwithout modification, are permitted"
+    spread = " ".join(w + " filler" * 40 for w in TEMPLATES[1][0].split())  # one line, every word of the template
+    inside = "filler " * 3000 + TEMPLATES[1][0] + " filler" * 3000
+    rows = [(1, wrapped), (2, bsd), (3, spread), (4, inside), (5, f"{wrapped}\n\n{bsd}\n\n{wrapped}")]
+    got = {r.doc_id: (r.labels, r.n_blocks) for r in scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: ("mit", 1), 2: ("bsd", 1), 3: ("", 0), 4: ("mit", 1), 5: ("bsd,mit", 3)}
