@@ -2,6 +2,7 @@
 
 import random
 
+import corpus_pipeline
 import pytest
 
 from skein.llm.license_scan import TEMPLATES, scan_licenses
@@ -87,3 +88,10 @@ def test_license_notices_over_lines_and_in_long_lines(spark):
     rows = [(1, wrapped), (2, bsd), (3, spread), (4, inside), (5, f"{wrapped}\n\n{bsd}\n\n{wrapped}")]
     got = {r.doc_id: (r.labels, r.n_blocks) for r in scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {1: ("mit", 1), 2: ("bsd", 1), 3: ("", 0), 4: ("mit", 1), 5: ("bsd,mit", 3)}
+
+
+def test_stage_finds_near_copies_by_five_words(spark, sf):
+    words = [f"w{k}" for k in range(185)]  # 161 of 201 shingles of five words are shared: 0.801; 166 of 198 of four: 0.838
+    other = [f"x{k}" if k in (30, 60, 90, 120) else w for k, w in enumerate(words)]
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(other))], "doc_id long, text string")
+    assert [r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, sf).collect()] == [1]
