@@ -16,7 +16,9 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,10 +47,13 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir, which driver and executors share.
 
-    Only where the setting is absent (tests, one machine) a temporary folder is used.
+    Where it is unset, a temporary folder serves a local master (tests); on a cluster it
+    is an error, as each executor would write to a disk of its own.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -105,7 +110,7 @@ def map_texts(
 
         arrow, call = to_arrow_schema(probe), make()
         for batch in batches:
-            for part in pieces(batch):
+            for part in pieces(batch, 1):
                 out = call(part.column(0).to_pylist(), part.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(out[f.name], type=f.type) for f in arrow], schema=arrow
@@ -121,10 +126,16 @@ def map_texts(
     return narrow.mapInArrow(run, schema)
 
 
-def pieces(batch: pa.RecordBatch, rows: int = 2000) -> Iterator[pa.RecordBatch]:
-    """A batch in slices, so that Python objects exist for few rows at a time."""
-    for start in range(0, batch.num_rows, rows):
-        yield batch.slice(start, rows)
+def pieces(batch: pa.RecordBatch, column: int, rows: int = 2000, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """A batch in slices of a bounded number of rows and bytes of text (but of one row at
+    least), so that Python objects and arrays exist for little text at a time."""
+    ends = np.cumsum(pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    start = 0
+    while start < batch.num_rows:
+        stop = int(np.searchsorted(ends, size + (ends[start - 1] if start else 0), "right"))
+        stop = min(max(stop, start + 1), start + rows, batch.num_rows)
+        yield batch.slice(start, stop - start)
+        start = stop
 
 
 def change_rows(
@@ -140,7 +151,7 @@ def change_rows(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         call = make()
         for batch in batches:
-            for part in pieces(batch):
+            for part in pieces(batch, at):
                 mask, texts = call([x or "" for x in part.column(at).to_pylist()])
                 if texts is not None:
                     old = part.column(at).to_pylist()
