@@ -14,9 +14,9 @@ and a parity bitmap of its set (a bit a shingle), and counts the shingles that a
 frequent in some task; the most frequent, a bounded number, give the order. (2) One pass
 counts the shingles of the prefixes under this order exactly, and a second, with those
 counts, emits the prefixes, each distinct text once per task; one shuffle by shingle
-drops those that one text only has. (3) The member of least key is the pivot of a
-shingle's list; each text is compared with the one pivot that it shares most prefix
-shingles with. A group of thousands of near copies costs a pair for each member.
+drops those that one text only has. (3) The text that shares most prefix shingles with
+others is the pivot of a shingle's list; each text is compared with the one pivot that it
+shares most of them with. A group of thousands of near copies costs a pair for each member.
 (4) Pairs of a list that are still in different components are joined with prefix,
 length and positional filters and the count of shared prefix shingles; long lists are
 joined block by block. Bitmaps bound the overlap from above (the sets differ in a shingle
@@ -379,13 +379,15 @@ def near_groups(
 
     index = prefixes(docs, tokens, percent, width, most, id_col, text_col)
     per_token = Window.partitionBy("token")
-    shared = index.repartition("token").distinct().withColumn("of", F.count("*").over(per_token)).where("of > 1").drop("of")
-    shared = stash(shared.withColumn("pivot", F.min(F.struct("key", "n", "at")).over(per_token)), "shared")
+    shared = stash(index.repartition("token").distinct().withColumn("of", F.count("*").over(per_token)).where("of > 1"), "shared")
+    # the text with most partners, such as the one that others were copied from, is the pivot of its lists
+    hubs = shared.groupBy("key").agg(F.sum(F.col("of") - 1).alias("degree"))
+    ranked = shared.join(hubs, "key").withColumn("pivot", F.max(F.struct("degree", "key", "n", "at")).over(per_token))
 
     sets = found.where("bits is not null").groupBy("key").agg(F.first("n").alias("n"), F.first("bits").alias("bits"))
     need = f"ceil({percent}.0D * (n + pivot.n) / {100 + percent} - 1e-9)"
     star = (
-        shared.where(f"key <> pivot.key and 100 * least(n, pivot.n) >= {percent} * greatest(n, pivot.n) and least(n - at, pivot.n - pivot.at) >= {need}")
+        ranked.where(f"key <> pivot.key and 100 * least(n, pivot.n) >= {percent} * greatest(n, pivot.n) and least(n - at, pivot.n - pivot.at) >= {need}")
         .groupBy(F.col("pivot.key").alias("a"), F.col("key").alias("b")).count()
         .groupBy("b").agg(F.min_by("a", F.struct(-F.col("count"), "a")).alias("a"))
     )
@@ -393,7 +395,7 @@ def near_groups(
     links = stash(verified(star, docs, percent, width, id_col, text_col), "links")
     groups = components(links)
 
-    rows = shared.drop("pivot").join(groups.withColumnRenamed("node", "key"), "key", "left").withColumn("c", F.coalesce("component", "key")).drop("component")
+    rows = shared.drop("of").join(groups.withColumnRenamed("node", "key"), "key", "left").withColumn("c", F.coalesce("component", "key")).drop("component")
     rows = rows.repartition("token").withColumn("lo", F.min("c").over(per_token)).withColumn("hi", F.max("c").over(per_token)).where("lo < hi").drop("lo", "hi")
     pairs = list_pairs(rows, percent).join(star, ["a", "b"], "left_anti")
     pairs = stash(possible(pairs, sets, percent), "pairs")
