@@ -10,7 +10,7 @@ import pytest
 
 from skein.llm import queries
 from skein.llm.common import folded_words
-from skein.llm.decontaminate import WuManber, decontaminate
+from skein.llm.decontaminate import WuManber, decontaminate, drop_contaminated
 from skein.llm.gru_lm import score_documents
 from skein.llm.jaccard_join import jaccard_join, keep_one
 from skein.llm.license_scan import PHRASES, scan_licenses
@@ -82,10 +82,13 @@ def test_decontaminate(spark, docs):
                     names.add(name)
         ids = ",".join(sorted(x for x in names if x))
         want[i, len(words), len(hit), len(names - {None}), hashlib.sha256(ids.encode()).hexdigest(), bool(hit)] += 1
-    for blocks in (100_000, 12):
+    for blocks in (100_000, 12, 3):
         got = decontaminate(docs, bench, block_words=blocks).collect()
         assert Counter((r.doc_id, r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in got) == want
+    for blocks in (100_000, 12, 3):
+        assert drop_contaminated(docs, bench, block_words=blocks).count() == sum(n for row, n in want.items() if not row[-1])
     assert decontaminate(docs, bench.limit(0)).where("contaminated").count() == 0
+    assert decontaminate(docs.limit(0), bench).count() == 0 == drop_contaminated(docs.limit(0), bench).count()
     assert list(WuManber([("x", [b"a"])], 10).find([b"b", b"a"])) == [(1, 2, {"x"})]
 
 
