@@ -1,113 +1,75 @@
 """Token counts of whole texts by overlap resynchronisation.
 
-A huge text is encoded in overlapping chunks with offsets. Two neighbouring chunks
-are joined at a position inside their overlap at which both encodings have a
-boundary and which is *proven stable*: a character that is not white space stands
-before it and white space after it. The byte-level pre-tokenizer of the vocabulary
-has no alternative that crosses such a place and only looks forward, special strings
-hold no white space, and merges stay inside a pre-token; so what stands on either
-side is encoded as in the whole text. If an overlap holds no such place, it is
-widened until it does or the text ends.
-
-The encoder itself keeps the token counts of the stretches between stable places in
-a bounded table, as the library encodes a stretch alike wherever it stands.
+A text of more than ``chunk`` characters is encoded in overlapping chunks, each by itself,
+with the offsets of its tokens. Two neighbouring chunks are spliced at a position inside
+their overlap at which both encodings have a token boundary and which is *proven
+stable*: a character that is not white space stands before it and white space after it.
+The byte-level pre-tokenizer of the vocabulary has no alternative that crosses such a
+place and only looks forward, special strings hold no white space, and merges stay inside
+a pre-token; so what stands on either side is encoded as in the whole text. If the two
+encodings have no such boundary in common, the overlap is doubled; once it spans the
+chunk, the chunk itself is doubled. Shorter texts are one chunk: there is nothing to
+splice, and they are encoded whole.
 
 Defined results: null or empty text has 0 bytes and 0 tokens; repeated rows each get
-their own result; an empty table gives an empty result.
+their own result; an empty table gives an empty result; a very long text without white
+space is encoded as one chunk in the end.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame
 
 from skein.llm.common import map_texts
 
 # The white space characters of the pre-tokenizer's regular expressions.
 WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-_STRETCH = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
-
-
-class ChunkEncoder:
-    """Encodes a chunk as (offsets of stable boundaries, tokens before each)."""
-
-    def __init__(self, encode_batch, kept: int = 400_000):
-        self.encode_batch, self.kept, self.known = encode_batch, kept, {}
-
-    def learn(self, texts: list[str]) -> None:
-        """Encode the stretches of some texts that aren't known yet, in one call."""
-        new = {s for t in texts for s in _STRETCH.findall(t)}.difference(self.known)
-        if new:
-            new = list(new)
-            self.known.update(zip(new, self.encode_batch(new)))
-
-    def trim(self) -> None:
-        """Forget all if there is too much; never within a text."""
-        if len(self.known) > self.kept:
-            self.known = {}
-
-    def totals(self, texts: list[str]) -> list[int]:
-        """Tokens of texts of one chunk each."""
-        self.trim()
-        cut = list(map(_STRETCH.findall, texts))
-        new = list(set().union(*cut).difference(self.known))
-        if new:
-            self.known.update(zip(new, self.encode_batch(new)))
-        return [sum(map(self.known.__getitem__, c)) for c in cut]
-
-    def encode(self, chunk: str) -> tuple[list[int], list[int]]:
-        ends, tokens, at, n = [0], [0], 0, 0
-        for s in _STRETCH.findall(chunk):
-            at += len(s)
-            n += self.known[s]
-            ends.append(at)
-            tokens.append(n)
-        return ends, tokens
+_WHITE = re.compile(f"[{WHITE}]")
 
 
 def stable(text: str, p: int) -> bool:
     """Whether no pre-token of any encoding can cross position p."""
-    return 0 < p < len(text) and not re.match(f"[{WHITE}]", text[p - 1]) and bool(re.match(f"[{WHITE}]", text[p]))
+    return 0 < p < len(text) and not _WHITE.match(text[p - 1]) and bool(_WHITE.match(text[p]))
 
 
-def spliced_count(text: str, encoder: ChunkEncoder, chunk: int, overlap: int) -> int:
-    """Tokens of a text, from chunks that overlap."""
-    encoder.trim()
-    start, total, skip, done = 0, 0, 0, 0  # skip: tokens of the chunk that stand before place done
-    end = min(len(text), chunk)
-    encoder.learn([text[start:end]])
-    ends, tokens = encoder.encode(text[start:end])
+def splice(text: str, start: int, ends: np.ndarray, begin: int, next_ends: np.ndarray, after: int) -> int | None:
+    """A stable boundary behind ``after`` that two chunks, at start and begin, have in
+    common, about in the middle of their overlap; ends are the offsets at which their
+    tokens end, in the chunk."""
+    common = np.intersect1d(ends + start, next_ends + begin)
+    common = common[(common > max(after, begin)) & (common < start + ends[-1])].tolist() if len(ends) else []
+    middle = len(common) // 2
+    nearest = (p for k in range(len(common)) for p in common[middle - k - 1 : middle - k] + common[middle + k : middle + k + 1])
+    return next((p for p in nearest if stable(text, p)), None)
+
+
+def spliced_count(text: str, encode: Callable[[str], np.ndarray], chunk: int, overlap: int) -> tuple[int, int]:
+    """(tokens of a text, chunks encoded). ``encode`` gives the end of each token."""
+    start, end, done, total, skip, times = 0, min(len(text), chunk), 0, 0, 0, 1
+    ends = encode(text[:end])
     while end < len(text):
         wide = overlap
         while True:
-            begin, stop = max(start, end - wide), min(len(text), end - wide + chunk)
-            stop = max(stop, end)
-            encoder.learn([text[begin:stop]])
-            next_ends, next_tokens = encoder.encode(text[begin:stop])
-            ours = {start + e: t for e, t in zip(ends[1:-1], tokens[1:-1])}
-            common = [
-                (begin + e, k)
-                for k, e in enumerate(next_ends[1:-1], 1)
-                if begin + e in ours and done < begin + e < end and stable(text, begin + e)
-            ]
-            if common:
-                break
-            if begin == start or wide >= chunk:  # nothing to align: take this chunk and more as one
-                begin, stop = start, min(len(text), stop + (stop - start))
-                encoder.learn([text[begin:stop]])
-                next_ends, next_tokens = encoder.encode(text[begin:stop])
-                common = None
+            begin = max(start, end - wide)
+            stop = min(len(text), max(end + 1, begin + chunk))
+            next_ends, times = encode(text[begin:stop]), times + 1
+            place = splice(text, start, ends, begin, next_ends, done)
+            if place is not None or begin == start:
                 break
             wide *= 2
-        if common is None:
-            start, end, ends, tokens = begin, stop, next_ends, next_tokens
+        if place is None:  # no common boundary in the whole chunk: make it longer
+            end = min(len(text), end + (end - start))
+            ends, times = encode(text[start:end]), times + 1
             continue
-        place, k = common[len(common) // 2]
-        total += ours[place] - skip
-        skip, done = next_tokens[k], place
-        start, end, ends, tokens = begin, stop, next_ends, next_tokens
-    return total + tokens[-1] - skip
+        # skip: tokens of the chunk that were counted with the one before
+        total += int(np.searchsorted(ends, place - start, "right")) - skip
+        skip, done = int(np.searchsorted(next_ends, place - begin, "right")), place
+        start, end, ends = begin, stop, next_ends
+    return total + len(ends) - skip, times
 
 
 def _loader(path: str):
@@ -120,7 +82,14 @@ def _loader(path: str):
         t = Tokenizer.from_file(path)
         t.no_truncation()
         t.no_padding()
-        return lambda texts: [len(e) for e in t.encode_batch_fast(texts, add_special_tokens=False)]
+
+        def counts(texts: list[str]) -> list[int]:
+            return [len(e) for e in t.encode_batch_fast(texts, add_special_tokens=False)]
+
+        def ends(text: str) -> np.ndarray:
+            return np.array([e for _, e in t.encode(text, add_special_tokens=False).offsets], np.int64)
+
+        return counts, ends
     raise ValueError(f"the stable places are proven for byte-level .json vocabularies only, not {path}")
 
 
@@ -133,7 +102,8 @@ def count_tokens(
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
-    """doc_id, n_bytes, n_tokens, over_limit (n_tokens > limit) and n_chunks of every row.
+    """doc_id, n_bytes, n_tokens, over_limit (n_tokens > limit) and n_chunks (chunks that
+    were encoded) of every row.
 
     ``vocabulary`` is the name of a file of the installed public tokenizers.
     """
@@ -141,28 +111,23 @@ def count_tokens(
     def make():
         import public_tokenizers
 
-        encoder = ChunkEncoder(_loader(public_tokenizers.path(vocabulary)))
+        counts, ends = _loader(public_tokenizers.path(vocabulary))
 
         def call(ids: list, texts: list[str]) -> dict[str, list]:
-            counts, short = [0] * len(texts), [k for k, t in enumerate(texts) if len(t) <= chunk]
-            for a in range(0, len(short), 500):
-                part = short[a : a + 500]
-                for k, n in zip(part, encoder.totals([texts[k] for k in part])):
-                    counts[k] = n
-            for k, t in enumerate(texts):
-                if len(t) > chunk:
-                    counts[k] = spliced_count(t, encoder, chunk, overlap)
+            found = [spliced_count(t, ends, chunk, overlap) if len(t) > chunk else None for t in texts]
+            short = iter(counts([t for t, f in zip(texts, found) if f is None]))
+            found = [f or (next(short), 1) for f in found]
             return {
                 "doc_id": ids,
                 "n_bytes": [len(t.encode()) for t in texts],
-                "n_tokens": counts,
-                "over_limit": [n > limit for n in counts],
-                "huge": [len(t) > chunk for t in texts],
+                "n_tokens": [n for n, _ in found],
+                "over_limit": [n > limit for n, _ in found],
+                "n_chunks": [k for _, k in found],
             }
 
         return call
 
     return map_texts(
-        docs, make, "doc_id long, n_bytes long, n_tokens long, over_limit boolean, huge boolean",
+        docs, make, "doc_id long, n_bytes long, n_tokens long, over_limit boolean, n_chunks long",
         id_col, text_col, as_bytes=False,
     )

@@ -2,10 +2,12 @@
 
 import hashlib
 import math
+import random
 import re
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from skein.llm import queries
@@ -19,7 +21,7 @@ from skein.llm.quality_classifier import classify
 from skein.llm.quality_rules import quality_rules
 from skein.llm.secret_scan import find_secrets, lexed_spans, redact
 from skein.llm.substring_dedup import cuts, remove_repeats, repeated_documents
-from skein.llm.token_counts import ChunkEncoder, _loader, count_tokens, spliced_count
+from skein.llm.token_counts import _loader, count_tokens, splice, spliced_count
 
 LONG = " ".join(f"word{k % 977} and{k % 31}" for k in range(9000))
 PASSAGE = " ".join(f"common{k} passage{k * 7 % 41}" for k in range(40))
@@ -50,9 +52,23 @@ def test_token_counts(docs):
     want = Counter((i, len((t or "").encode()), len(whole.encode(t or "", add_special_tokens=False).ids)) for i, t in ODD)
     got = count_tokens(docs, "byte_bpe_50k.json", chunk=3000, overlap=64).collect()
     assert Counter((r.doc_id, r.n_bytes, r.n_tokens) for r in got) == want
-    encoder = ChunkEncoder(_loader(public_tokenizers.path("byte_bpe_50k.json")))
-    for text in (LONG, "x" * 4000 + " y" * 50, "a\t\n  b <|endoftext|> c" * 200, "日本 語" * 500):
-        assert spliced_count(text, encoder, 200, 4) == len(whole.encode(text, add_special_tokens=False).ids)
+    assert max(r.n_chunks for r in got) > 5 and min(r.n_chunks for r in got) == 1
+    _, ends = _loader(public_tokenizers.path("byte_bpe_50k.json"))
+    rng = random.Random(2)
+    odd = ["".join(rng.choices("ab z\n\t  .,'1é日\u3000\u200b<|>s", k=rng.randint(1, 900))) for _ in range(60)]
+    widened = 0
+    for text in (LONG, "x" * 4000 + " y" * 50, "a\t\n b <|endoftext|> c" * 200, "日本 語" * 500, " " * 3000, "it's we'll " * 200, *odd):
+        n, times = spliced_count(text, ends, 200, 4)
+        assert n == len(whole.encode(text, add_special_tokens=False).ids), text
+        widened += times > len(text) // 196 + 1
+    assert widened > 3
+
+
+def test_a_wrong_boundary_is_not_taken():
+    # a boundary of one encoding only, or one inside white space, isn't spliced at
+    text = "ab cd  ef gh"
+    assert splice(text, 0, np.array([2, 5, 9]), 3, np.array([1, 2, 6, 9]), 0) == 5
+    assert splice(text, 0, np.array([6, 9]), 3, np.array([3, 9]), 0) is None
 
 
 def test_license_scan(docs):
