@@ -3,17 +3,23 @@
 Around every ``=`` or ``:`` the scanner reads a target name on the left and a literal,
 a bare value or a reference to another name on the right (shell, Python, YAML, JSON,
 INI, JavaScript and Go forms). A type between name and mark (``name: type =``, Go's
-``name type =``) is no target; string prefixes and triple quotes belong to a literal.
+``name type =``) is no target; string prefixes and triple quotes belong to a literal;
+literals joined by ``+`` or standing side by side are one value; a YAML block (``name: |``)
+is the lines that are indented deeper; the text of an XML element has the element's name.
 When all assignments are known, references are followed (constant propagation) to the
 last assignment of that name before them, or the first one after them, so a literal
-gets the names of all targets that it reaches. Its score is the sensitivity of
-the most sensitive of these names times the plausibility of the literal (length,
-character variety, no placeholder); literals of ``min_score`` or more are reported as
-kind ``lexed``. Three base kinds are always reported beside them: ``assign``,
+gets the names of all targets that it reaches. A reference that leads to no literal is
+never reported: variables ($NAME), calls, attributes, and bare names where code would
+have a name. A bare word is a literal if letters and digits mix in it, or where
+configuration has values (``NAME=word``, ``name: word`` at the end of a line). Its score is
+the sensitivity of the most sensitive of these names times the plausibility of the literal
+(length, character variety, no placeholder); literals of ``min_score`` or more are reported
+as kind ``lexed``. Three base kinds are always reported beside them: ``assign``,
 ``access`` and ``hex``. Spans count code points, ends are exclusive.
 
 Defined results: null or empty text has no spans; equal spans of different kinds are
-all listed, in the order of KINDS; repeated rows each get their own result.
+all listed, in the order of KINDS; repeated rows each get their own result; very long
+texts and names are lexed whole (a type, or a Go declaration, takes 400 characters at most).
 """
 
 from __future__ import annotations
@@ -23,6 +29,7 @@ import math
 import re
 from bisect import bisect_left
 from collections import Counter
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame
 
@@ -50,15 +57,22 @@ SENSITIVE = {
 PLACEHOLDERS = {"changeme", "example", "password", "secret", "none", "null", "true", "false", "undefined", "todo", "xxxxxx", "your_token_here", "placeholder", "dummy"}
 
 _MARK = re.compile(r":=|=>|[=:]")
-_NAME = re.compile(r"""(?:["'])?([A-Za-z_][A-Za-z0-9_.\-]*)["']?\]?[ \t]*$""")
-_VALUE = re.compile(
-    r"""[ \t]*(?:(?:(?:[rRbBuUfFtT]{1,2}|[@$]{1,2}|[LN]|String\.raw)(?=["'`]))?(?:"((?:[^"\\\n]|\\.)*)"|'((?:[^'\\\n]|\\.)*)'|`([^`\n]*)`)|\$\{?([A-Za-z_][A-Za-z0-9_]*)\}?|([A-Za-z0-9_./+=$@!%^&*~\-]+))"""
-)
+_NAME_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_.-")
+_PREFIX = r"""(?:[rRbBuUfFtT]{1,2}|[@$]{1,2}|[LN]|String\.raw)(?=["'`])"""
+_QUOTED = r""""(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|`[^`\n]*`"""
+_VALUE = re.compile(rf"""[ \t]*(?:(?:{_PREFIX})?({_QUOTED})|(\$\{{?[A-Za-z_][A-Za-z0-9_]*\}}?|\$\(|%[A-Za-z_][A-Za-z0-9_]*%)|([A-Za-z0-9_./+=$@!%^&*~\-]+))""")
+_MORE = re.compile(rf"""[ \t]*(?:\+[ \t]*)?(?:\\?\n[ \t]*)?(?:\+[ \t]*)?(?:{_PREFIX})?({_QUOTED})""")
+_WORD = re.compile(r"[A-Za-z_][A-Za-z0-9_]*")
+_PATH = re.compile(r"[A-Za-z_][A-Za-z0-9_]*(?:\.[A-Za-z_][A-Za-z0-9_]*)+")
+_BLOCK = re.compile(r"[ \t]*[|>][+-]?[0-9]?[+-]?[ \t]*\n")
+_ELEMENT = re.compile(r"<([A-Za-z_][A-Za-z0-9_.:\-]*)(?:[ \t\n][^<>]*)?>([^<>]+)</")
 # A type: names with dots, brackets of types, alternatives; its words are no targets.
 _ONE_TYPE = r"""["']?[*&?]*(?:\[[0-9]*\])*[*]*[A-Za-z_][A-Za-z0-9_.]*(?:\[[^=:()\n]*\]|<[^=:()\n]*>)?["']?\??"""
 _TYPE = rf"({_ONE_TYPE}(?:[ \t]*\|[ \t]*{_ONE_TYPE})*)"
-_TYPED = re.compile(rf"""([A-Za-z_][A-Za-z0-9_.\-]*)[?!]?[ \t]*:[ \t]*{_TYPE}[ \t]*$""")
-_GO_TYPED = re.compile(rf"^(?:.*[;({{])?[ \t]*(?:(var|const)[ \t]+)?([A-Za-z_][A-Za-z0-9_]*)[ \t]+{_TYPE}[ \t]*$")
+_TYPE_ONLY = re.compile(rf"[ \t]*{_TYPE}[ \t]*")
+_GO_TYPED = re.compile(rf"[ \t]*(?:(var|const)[ \t]+)?([A-Za-z_][A-Za-z0-9_]*)[ \t]+{_TYPE}[ \t]*")
+#: Characters that a type, or a Go declaration, takes at most.
+LONGEST_TYPE = 400
 _BRANCH = re.compile(r"(?:^|[^A-Za-z0-9_])(?:if|elif|while|and|or|not|in|is|case|when)[ \t]+$")
 # Types that are written small.
 TYPES = {
@@ -93,68 +107,150 @@ def is_type(written: str) -> bool:
     return not re.fullmatch(r"[A-Za-z0-9_.]+", word) or last.lower() in TYPES or last[:1].isupper() and not last.isupper()
 
 
-def typed_target(left: str) -> tuple[str, int] | None:
-    """The name that a type follows at the end of ``left`` (part of one line), and the
-    place of the colon between them, -1 if there is none."""
-    got = _TYPED.search(left)
-    if got and is_type(got.group(2)) and not _BRANCH.search(left[: got.start()]):
-        return got.group(1), left.index(":", got.end(1))
-    got = _GO_TYPED.search(left)
+def name_before(text: str, end: int, begin: int) -> tuple[str, int] | None:
+    """(name, start) of the name that ends before ``end``, behind blanks, a bracket and a
+    quote, and doesn't reach before ``begin``."""
+    at = end
+    while at > begin and text[at - 1] in " \t":
+        at -= 1
+    if at > begin and text[at - 1] == "]":
+        at -= 1
+    if at > begin and text[at - 1] in "\"'":
+        at -= 1
+    stop = at
+    while at > begin and text[at - 1] in _NAME_CHARS:
+        at -= 1
+    while at < stop and not (text[at].isalpha() or text[at] == "_"):
+        at += 1
+    return (text[at:stop], at) if at < stop else None
+
+
+def typed_target(text: str, begin: int, end: int) -> tuple[str, int] | None:
+    """The name that a type follows at the end of text[begin:end] (part of one line), and
+    the place of the colon between them, -1 if there is none."""
+    colon = text.rfind(":", begin, end)
+    if colon >= 0 and end - colon <= LONGEST_TYPE:
+        got = _TYPE_ONLY.fullmatch(text, colon + 1, end)
+        name = name_before(text, colon - (text[colon - 1 : colon] in ("?", "!")), begin)
+        if got and name and is_type(got.group(1)) and not _BRANCH.search(text, max(begin, name[1] - 8), name[1]):
+            return name[0], colon
+    cut = max(text.rfind(c, begin, end) for c in ";({")
+    start = max(begin, cut + 1)
+    got = _GO_TYPED.fullmatch(text, start, end) if end - start <= LONGEST_TYPE else None
     if got and got.group(2).lower() not in TYPES and (got.group(1) == "var" or is_type(got.group(3))):
         if got.group(1) or got.group(3).lower() in TYPES or not re.match(r"[A-Za-z]", got.group(3)):
             return got.group(2), -1
     return None
 
 
-def lex(text: str) -> list[tuple[str, int, int, str | None]]:
-    """(target name, start, end, referenced name or None) of each assignment."""
-    found: dict[int, list] = {}
+class Assignment(NamedTuple):
+    name: str
+    start: int
+    end: int
+    literal: str  # "" for what isn't a literal
+    refers: str | None  # the name that the value refers to
+
+
+def value_after(text: str, mark: re.Match) -> tuple[int, int, str, str | None] | None:
+    """(start, end, literal, name referred to) of the value after a mark."""
+    at = mark.end()
+    got = _VALUE.match(text, at)
+    if not got:
+        return None
+    if got.group(1):
+        start, end = got.start(1) + 1, got.end(1) - 1
+        quote = text[start - 1]
+        if start == end and text.startswith(quote * 2, end):  # triple quotes
+            stop = text.find(quote * 3, end + 2)
+            if stop >= 0:
+                return start + 2, stop, text[start + 2 : stop], None
+        parts, more = [text[start:end]], _MORE.match(text, got.end(1))
+        while more and ("+" in text[got.end(1) : more.start(1)] or "\n" not in text[got.end(1) : more.start(1)]):
+            parts.append(more.group(1)[1:-1])
+            end, got = more.end(1) - 1, more
+            more = _MORE.match(text, more.end(1))
+        return start, end, "".join(parts), None
+    if got.group(2):
+        return *got.span(2), "", got.group(2).strip("${}%(") or None
+    start, end = got.span(3)
+    value, after = got.group(3), text[end : end + 1]
+    if _PATH.fullmatch(value) or after in ("(", "[") and value[:1].isalpha():
+        return start, end, "", value
+    if not _WORD.fullmatch(value):
+        return start, end, value, None
+    mixed = any(c.isdigit() for c in value) and any(c.isalpha() for c in value)
+    close = mark.group() == "=" and start == at and text[mark.start() - 1 : mark.start()] not in (" ", "\t")
+    config = after in ("", "\n", "\r") and (close or mark.group() == ":")
+    return start, end, value if mixed or config else "", value
+
+
+def block_after(text: str, at: int, line: int) -> tuple[int, int] | None:
+    """The span of a YAML block behind a mark: the lines indented deeper than that at ``line``."""
+    got = _BLOCK.match(text, at)
+    if not got:
+        return None
+    depth = len(text[line:at]) - len(text[line:at].lstrip(" "))
+    start, end, place = None, got.end(), got.end()
+    while place < len(text):
+        stop = text.find("\n", place)
+        stop = len(text) if stop < 0 else stop
+        row = text[place:stop]
+        if row.strip():
+            if len(row) - len(row.lstrip(" ")) <= depth:
+                break
+            start = place + len(row) - len(row.lstrip(" ")) if start is None else start
+            end = place + len(row.rstrip())
+        place = stop + 1
+    return (start, end) if start is not None else None
+
+
+def lex(text: str) -> list[Assignment]:
+    """The assignments of a text, in the order of their marks."""
+    found: dict[int, list[Assignment]] = {}
     colons: dict[int, int] = {}  # start of the value: place of the colon
+    line = last = 0  # starts of the line, and of what stands behind the last "="
     for mark in _MARK.finditer(text):
-        begin = max(0, mark.start() - 160)
-        begin = max(begin, text.rfind("\n", begin, mark.start()) + 1)
-        left = text[begin : mark.start()]
-        cut = max(0, len(left) - 80)
-        near = _NAME.search(left[cut:])
-        typed = typed_target(left) if mark.group() == "=" else None
+        line = max(line, text.rfind("\n", line, mark.start()) + 1)
+        begin = max(line, last)
+        if mark.group() != ":":
+            last = mark.end()
+        near = name_before(text, mark.start(), begin)
+        typed = typed_target(text, begin, mark.start()) if mark.group() == "=" else None
         if not near and not typed:
             continue
-        right = _VALUE.match(text, mark.end())
-        if not right:
+        block = block_after(text, mark.end(), line) if mark.group() == ":" else None
+        value = (*block, text[block[0] : block[1]], None) if block else value_after(text, mark)
+        if not value:
             continue
-        k = right.lastindex
-        start, end = right.span(k)
-        if k < 3 and start == end and text.startswith(text[end] * 2, end):  # triple quotes
-            stop = text.find(text[end] * 3, end + 2)
-            if stop >= 0:
-                start, end = start + 2, stop
-        value = text[start:end]
-        plain = k == 4 or k == 5 and re.fullmatch(r"[A-Za-z_][A-Za-z0-9_]*", value)
         if mark.group() == ":":
-            colons[start] = mark.start()
+            colons[value[0]] = mark.start()
         elif near:  # in "if x: name = ..." the name isn't the value of x
-            found.pop(colons.get(begin + cut + near.start(1)), None)
-        names = [near.group(1)] if near else []
+            found.pop(colons.get(near[1], -1), None)
+        names = [near[0]] if near else []
         if typed:  # a type whose name is sensitive may be a key after all
             names = [typed[0], *(n for n in names if sensitivity(n))]
-            if typed[1] >= 0:
-                found.pop(begin + typed[1], None)
-        found[mark.start()] = [(n, start, end, value if plain else None) for n in names]
-    return [a for some in found.values() for a in some]
+            found.pop(typed[1], None)
+        found[mark.start()] = [Assignment(n, *value) for n in names]
+    if "</" in text:
+        for m in _ELEMENT.finditer(text):
+            if text.startswith(m.group(1) + ">", m.end()) and (inner := m.group(2).strip()):
+                start = m.start(2) + m.group(2).index(inner)
+                found[m.start()] = [Assignment(m.group(1), start, start + len(inner), inner, None)]
+    return [a for place in sorted(found) for a in found[place]]
 
 
 def lexed_spans(text: str, min_score: float) -> list[tuple[int, int]]:
     """Literals that reach a sensitive name."""
     every = lex(text)
     places: dict[str, list[int]] = {}
-    for k, (name, _, _, _) in enumerate(every):
-        places.setdefault(name, []).append(k)
+    for k, a in enumerate(every):
+        places.setdefault(a.name, []).append(k)
     ends: dict[int, int] = {}
-    best: dict[tuple[int, int], float] = {}
-    for k, (name, _, _, _) in enumerate(every):
+    best: dict[int, float] = {}
+    for k, a in enumerate(every):
         at, way = k, {k: None}
-        while at not in ends and every[at][3] in places:
-            of = places[every[at][3]]
+        while at not in ends and every[at].refers in places:
+            of = places[every[at].refers]
             j = bisect_left(of, at)
             after = of[j + (of[j] == at) :][:1] if j < len(of) else []
             to = of[j - 1] if j else after[0] if after else at
@@ -164,9 +260,12 @@ def lexed_spans(text: str, min_score: float) -> list[tuple[int, int]]:
             way[at] = None
         at = ends.get(at, at)
         ends.update(dict.fromkeys(way, at))
-        span = every[at][1:3]
-        best[span] = max(best.get(span, 0.0), sensitivity(name))
-    return sorted(s for s, v in best.items() if v and v * plausibility(text[s[0] : s[1]]) >= min_score)
+        best[at] = max(best.get(at, 0.0), sensitivity(a.name))
+    return sorted({every[k][1:3] for k, v in best.items() if v and every[k].literal and v * plausibility(every[k].literal) >= min_score})
+
+
+def has_values(text: str) -> bool:
+    return "=" in text or ":" in text or "</" in text
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -192,7 +291,7 @@ def find_secrets(
     def make():
         def one(text: str) -> tuple:
             base = base_spans(text)
-            more = [(s, 3, e) for s, e in lexed_spans(text, min_score)] if "=" in text or ":" in text else []
+            more = [(s, 3, e) for s, e in lexed_spans(text, min_score)] if has_values(text) else []
             kinds = Counter(k for _, k, _ in base)
             return kinds[0], kinds[1], kinds[2], hashlib.sha256(joined(base).encode()).hexdigest(), joined(base + more), len(more)
 
@@ -213,7 +312,7 @@ def find_secrets(
 def redact(text: str, min_score: float, mask: str) -> str | None:
     """The text with every found span replaced by the mask; None if there is none."""
     spans = [(s, e) for s, _, e in base_spans(text)]
-    if "=" in text or ":" in text:
+    if has_values(text):
         spans += lexed_spans(text, min_score)
     if not spans:
         return None

@@ -1,13 +1,16 @@
 """Corpus operators: cases in which a part of the job was once left out."""
 
+import hashlib
 import random
+import re
+from collections import Counter
 
 import corpus_pipeline
 import pytest
 
 from skein.llm.license_scan import TEMPLATES, scan_licenses
 from skein.llm.quality_classifier import FEATURES, statistics
-from skein.llm.secret_scan import lexed_spans, redact
+from skein.llm.secret_scan import find_secrets, lexed_spans, redact
 from skein.llm.substring_dedup import cuts, remove_repeats, repeated_documents
 
 
@@ -43,12 +46,53 @@ def test_top_word_counts_all_words():
         ('if secret: pwd = "s3cretvalue"', ["s3cretvalue"]),
         ('f(token: str, name="harmless12")', []),
         ("run: KEY=s3cretvalue\nPWD=$KEY", ["s3cretvalue"]),
+        ("db_password = $DB_PASSWORD_ENV", []),
+        ("db_password = ${DB_PASSWORD_ENV}", []),
+        ('db_password = os.environ["DB_PASS1"]', []),
+        ("db_password = get_database_password1()", []),
+        ("db_password = config.database.password", []),
+        ("db_password = default_password", []),
+        ("{ password: dbPassword, user: name }", []),
+        ("password: correcthorsebattery\nuser: someone", ["correcthorsebattery"]),
+        ("PASSWORD=correcthorsebattery\nUSER=someone", ["correcthorsebattery"]),
+        ('pwd = "s3cret" + "value9"', ['s3cret" + "value9']),
+        ('pwd = ("a")\nname = "harmless12"', []),
+        ("db:\n  private_key: |\n    MIIEpAIBAAKCAQEA\n    7f3kq9\n  user: someone", ["MIIEpAIBAAKCAQEA\n    7f3kq9"]),
+        ("<config><password>s3cretvalue</password><user>harmless12</user></config>", ["s3cretvalue"]),
+        ('<add key="name" password="s3cretvalue"/>', ["s3cretvalue"]),
+        ("my_" + "very_" * 40 + "long_password = 's3cretvalue'", ["s3cretvalue"]),
+        ('{"db": {"password": "s3cretvalue"}}', ["s3cretvalue"]),
+        ("headers['auth_token'] = 's3cretvalue'", ["s3cretvalue"]),
+        ("x" * 300_000 + "= 1\n" + "a=b" * 50_000, []),
     ],
 )
 def test_assignment_forms(text, want):
     assert [text[a:b] for a, b in lexed_spans(text, 0.5)] == want
 
 
+def test_base_spans_are_those_of_the_patterns(spark, sf):
+    kinds = [
+        ("assign", r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
+        ("access", r"AKIA[A-Z0-9]+", 0, 20), ("hex", r"[0-9a-f]+", 0, 24),
+    ]
+    rng = random.Random(4)
+    bits = ["password", "PassWd", "secret", "api_key", "APIKEY", "token", '"', "'", " ", "  ", ":", "=", "AKIA", "ABCDEFGH12345678", "0123456789abcdef", "abcdef", "\n", "é", "x.y/z=", "K"]
+    texts = ["".join(rng.choices(bits, k=rng.randint(1, 40))) for _ in range(400)]
+    texts += [r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in find_secrets(docs).collect()}
+    seen = Counter()
+    for k, text in enumerate(texts):
+        spans = [(m.start(), n, m.end()) for n, (_, p, g, least) in enumerate(kinds) for m in re.finditer(p, text) if len(m.group(g)) >= least]
+        counts = Counter(kinds[n][0] for _, n, _ in spans)
+        seen += counts
+        base = ",".join(f"{kinds[n][0]}:{s}:{e}" for s, n, e in sorted(spans))
+        assert (got[k].n_assign, got[k].n_access, got[k].n_hex) == (counts["assign"], counts["access"], counts["hex"])
+        assert got[k].base_sha256 == hashlib.sha256(base.encode()).hexdigest()
+        assert set(base.split(",")) - {""} <= set(got[k].spans.split(","))
+    assert min(seen.values()) > 20
+
+
 def test_typed_secret_is_masked():
     text = 'name: str = "harmless12"\npassword: str = "s3cretvalue"'
     assert redact(text, 0.5, "#") == 'name: str = "harmless12"\npassword: str = "#"'
