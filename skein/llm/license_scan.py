@@ -19,7 +19,8 @@ come from one pass that counts only template words, a bounded set; the templates
 a fixed parameter and so may be broadcast.
 
 Defined results: null, empty or word-free text has no words, labels '' and score 0;
-repeated rows each get their own result; ties between templates report all labels.
+repeated rows each get their own result; ties between templates report all labels; an
+empty table gives an empty result; very long texts are scanned whole.
 """
 
 from __future__ import annotations
@@ -34,18 +35,63 @@ from skein.llm.common import folded_words, map_texts
 # Base phrases and their labels.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 
-# Sentences by which a license is usually declared, with labels.
+# Notices by which a license is usually declared, and texts of short licenses, with labels.
 TEMPLATES = [
     ("released under the mit license", "mit"),
     ("permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", "mit"),
+    ("""permission is hereby granted free of charge to any person obtaining a copy of this software and associated
+    documentation files the software to deal in the software without restriction including without limitation the rights to
+    use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the
+    software is furnished to do so subject to the following conditions the above copyright notice and this permission notice
+    shall be included in all copies or substantial portions of the software the software is provided as is without warranty
+    of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular
+    purpose and noninfringement in no event shall the authors or copyright holders be liable for any claim damages or other
+    liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or
+    the use or other dealings in the software""", "mit"),
     ("licensed under the apache license version 2 0", "apache"),
     ("you may not use this file except in compliance with the license", "apache"),
+    ("""licensed under the apache license version 2 0 the license you may not use this file except in compliance with the
+    license you may obtain a copy of the license at http www apache org licenses license 2 0 unless required by applicable
+    law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties
+    or conditions of any kind either express or implied see the license for the specific language governing permissions and
+    limitations under the license""", "apache"),
     ("this program is free software you can redistribute it and or modify it under the terms of the gnu general public license", "gpl"),
     ("distributed under the terms of the gnu general public license", "gpl"),
+    ("""this program is free software you can redistribute it and or modify it under the terms of the gnu general public
+    license as published by the free software foundation either version 3 of the license or at your option any later version
+    this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty
+    of merchantability or fitness for a particular purpose see the gnu general public license for more details you should
+    have received a copy of the gnu general public license along with this program""", "gpl"),
     ("redistribution and use in source and binary forms with or without modification are permitted", "bsd"),
+    ("""redistribution and use in source and binary forms with or without modification are permitted provided that the
+    following conditions are met redistributions of source code must retain the above copyright notice this list of
+    conditions and the following disclaimer redistributions in binary form must reproduce the above copyright notice this
+    list of conditions and the following disclaimer in the documentation and or other materials provided with the
+    distribution this software is provided by the copyright holders and contributors as is and any express or implied
+    warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose
+    are disclaimed in no event shall the copyright holder or contributors be liable for any direct indirect incidental
+    special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss
+    of use data or profits or business interruption however caused and on any theory of liability whether in contract strict
+    liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of
+    the possibility of such damage""", "bsd"),
     ("this source code form is subject to the terms of the mozilla public license", "mpl"),
+    ("""this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not
+    distributed with this file you can obtain one at http mozilla org mpl 2 0""", "mpl"),
     ("this work is licensed under a creative commons attribution license", "cc-by"),
     ("permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "isc"),
+    ("""permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted
+    provided that the above copyright notice and this permission notice appear in all copies the software is provided as is
+    and the author disclaims all warranties with regard to this software including all implied warranties of merchantability
+    and fitness in no event shall the author be liable for any special direct indirect or consequential damages or any damages
+    whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action
+    arising out of or in connection with the use or performance of this software""", "isc"),
+    ("""this software is provided as is without any express or implied warranty in no event will the authors be held liable
+    for any damages arising from the use of this software permission is granted to anyone to use this software for any purpose
+    including commercial applications and to alter it and redistribute it freely subject to the following restrictions the
+    origin of this software must not be misrepresented you must not claim that you wrote the original software if you use this
+    software in a product an acknowledgment in the product documentation would be appreciated but is not required altered
+    source versions must be plainly marked as such and must not be misrepresented as being the original software this notice
+    may not be removed or altered from any source distribution""", "zlib"),
 ]
 
 

@@ -132,6 +132,27 @@ def test_license_notices_over_lines_and_in_long_lines(spark):
     rows = [(1, wrapped), (2, bsd), (3, spread), (4, inside), (5, f"{wrapped}\n\n{bsd}\n\n{wrapped}")]
     got = {r.doc_id: (r.labels, r.n_blocks) for r in scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {1: ("mit", 1), 2: ("bsd", 1), 3: ("", 0), 4: ("mit", 1), 5: ("bsd,mit", 3)}
+    assert scan_licenses(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_all_blocks_are_found(spark):
+    """Labels and score against every window of every text."""
+    rng = random.Random(7)
+    templates = [(" ".join(rng.sample("abcdefghijklmnop", n)), f"t{k}") for k, n in enumerate((4, 6, 6, 9, 11))] + [("a a b c b", "t0")]
+    texts = [" ".join(rng.choices("abcdefghijklmnopqrstuvwxyz", weights=[9] * 5 + [3] * 11 + [12] * 10, k=rng.randint(0, 60))) for _ in range(500)]
+    rows = scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), templates, threshold=0.7, reach=1.5).collect()
+    labelled = 0
+    for r in rows:
+        words, labels, score = texts[r.doc_id].split(), set(), 0.0
+        for text, label in templates:
+            whole, width = set(text.split()), int(1.5 * len(text.split()))
+            most = max((len(whole & set(words[k : k + width])) for k in range(len(words) + 1)), default=0)
+            if most >= 0.7 * len(whole) - 1e-9:
+                labels.add(label)
+                score = max(score, most / len(whole))
+        labelled += len(labels)
+        assert (r.labels, r.score) == (",".join(sorted(labels)), score)
+    assert labelled > 50
 
 
 def test_stage_finds_near_copies_by_five_words(spark, sf):
