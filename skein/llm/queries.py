@@ -8,7 +8,7 @@ from skein.llm.common import read
 from skein.llm.decontaminate import decontaminate
 from skein.llm.gru_lm import score_documents
 from skein.llm.jaccard_join import jaccard_join
-from skein.llm.license_scan import PHRASES, TEMPLATES, scan_licenses, template_sets
+from skein.llm.license_scan import scan_licenses
 from skein.llm.pieces import encode_documents
 from skein.llm.quality_classifier import classify
 from skein.llm.quality_rules import quality_rules
@@ -71,4 +71,39 @@ QUERIES = {
     "op10_jaccard_join": op10_jaccard_join,
 }
 
-SQL: dict[str, str] = {}
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_FOLDED = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+_PLAIN = rf"regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+')"
+
+SQL: dict[str, str] = {
+    "op4_decontaminate": f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_FOLDED} AS w FROM documents),
+i AS (SELECT CAST(item_id AS VARCHAR) AS item_id, {_FOLDED} AS w FROM benchmark),
+patterns AS (
+  SELECT DISTINCT item_id, size, array_to_string(w[s : s + size - 1], ' ') AS k
+  FROM (SELECT item_id, w, least(10, len(w)) AS size, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS s FROM i WHERE len(w) > 0)),
+places AS (SELECT r, w, size, unnest(range(1, len(w) - size + 2)) AS s FROM d, (SELECT DISTINCT size FROM patterns) WHERE len(w) >= size),
+hits AS (SELECT p.r, p.s, p.size, q.item_id FROM places p JOIN patterns q ON q.size = p.size AND q.k = array_to_string(p.w[p.s : p.s + p.size - 1], ' ')),
+words AS (SELECT r, count(DISTINCT place) AS n FROM (SELECT r, unnest(range(s, s + size)) AS place FROM hits) GROUP BY r),
+items AS (SELECT r, count(*) AS n, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT r, item_id FROM hits WHERE item_id IS NOT NULL) GROUP BY r)
+SELECT d.doc_id, len(d.w) AS n_words, coalesce(words.n, 0) AS n_hit, coalesce(items.n, 0) AS n_items, sha256(coalesce(items.ids, '')) AS items_sha256,
+  coalesce(words.n, 0) > 0 AS contaminated, coalesce(items.ids, '') AS item_ids
+FROM d LEFT JOIN words ON words.r = d.r LEFT JOIN items ON items.r = d.r""",
+    "op10_jaccard_join": f"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, {_PLAIN} AS w FROM documents),
+shingles AS (
+  SELECT DISTINCT r, array_to_string(w[s : s + 3], ' ') AS k
+  FROM (SELECT r, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS s FROM d WHERE len(w) > 0)),
+sizes AS (SELECT r, count(*) AS n FROM shingles GROUP BY r),
+texts AS (SELECT min(r) AS t, array_to_string(w, ' ') AS body FROM d WHERE len(w) > 0 GROUP BY body),
+pairs AS (
+  SELECT x.r AS a, y.r AS b, count(*) AS n FROM shingles x JOIN shingles y ON x.k = y.k AND x.r < y.r
+  WHERE x.r IN (SELECT t FROM texts) AND y.r IN (SELECT t FROM texts) GROUP BY x.r, y.r),
+near AS (SELECT a, b FROM pairs JOIN sizes s ON s.r = a JOIN sizes m ON m.r = b WHERE 100 * pairs.n >= 85 * (s.n + m.n - pairs.n)),
+links AS (SELECT a, b FROM near UNION ALL SELECT b, a FROM near),
+reach AS (SELECT t AS a, t AS b FROM texts UNION SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b),
+rows AS (SELECT d.doc_id, d.r, texts.t FROM d LEFT JOIN texts ON len(d.w) > 0 AND array_to_string(d.w, ' ') = texts.body),
+least AS (SELECT reach.a AS t, min(rows.doc_id) AS doc_id FROM reach JOIN rows ON rows.t = reach.b GROUP BY reach.a)
+SELECT rows.doc_id, coalesce(sizes.n, 0) AS n_shingles, CASE WHEN rows.t IS NULL THEN rows.doc_id ELSE least.doc_id END AS component_id
+FROM rows LEFT JOIN sizes ON sizes.r = rows.r LEFT JOIN least ON least.t = rows.t""",
+}
