@@ -18,8 +18,8 @@ drops those that one text only has. (3) The text that shares most prefix shingle
 others is the pivot of a shingle's list; each text is compared with the one pivot that it
 shares most of them with. A group of thousands of near copies costs a pair for each member.
 (4) Pairs of a list that are still in different components are joined with prefix,
-length and positional filters and the count of shared prefix shingles; long lists are
-joined block by block. Bitmaps bound the overlap from above (the sets differ in a shingle
+length and positional filters, a bitmap of bounded size, and the count of shared prefix
+shingles; long lists are joined block by block. Bitmaps bound the overlap from above (the sets differ in a shingle
 at least for each bit that differs), and only what they can't exclude is compared text
 by text; so no link between components is lost. (5) Components follow.
 
@@ -53,6 +53,8 @@ CHUNK, LOCAL_LEAST = 2_000_000, 4
 VERIFY = 1.0
 #: Words of the bitmap that tells which keys are looked for: 2 MB.
 BITMAP = 1 << 18
+#: Bits of the small parity bitmap that candidates are compared by within the join.
+SKETCH = 512
 #: A shingle's list is joined in blocks of about so many texts.
 LIST_BLOCK = 256
 
@@ -109,9 +111,9 @@ def shingles(words: list[bytes], width: int) -> np.ndarray:
     return ordered_sets([words], width)[1]
 
 
-def parity(tokens: np.ndarray) -> bytes:
-    """Bit k is 1 if an odd number of tokens fall on it; as many bits as tokens, about."""
-    bits = 1 << max(6, int(len(tokens)).bit_length())
+def parity(tokens: np.ndarray, bits: int | None = None) -> bytes:
+    """Bit k is 1 if an odd number of tokens fall on it; as many bits as tokens, about, if not told."""
+    bits = bits or 1 << max(6, int(len(tokens)).bit_length())
     odd = np.bincount((tokens & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
@@ -147,9 +149,9 @@ class Seen:
 
 
 def survey(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
-    """Rows of documents (doc_id, key, n, and bits where the task meets the text first;
-    count null) and of shingles that are frequent in a part of a task (token, count)."""
-    names = ("doc_id", "key", "n", "bits", "token", "count")
+    """Rows of documents (doc_id, key, n, and bits and sketch where the task meets the text
+    first; count null) and of shingles that are frequent in a part of a task (token, count)."""
+    names = ("doc_id", "key", "n", "bits", "sketch", "token", "count")
 
     def make():
         held, sizes = [], {}
@@ -161,7 +163,7 @@ def survey(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame
             got = np.unique(every[LOCAL_LEAST - 1 :][every[LOCAL_LEAST - 1 :] == every[: max(len(every) - LOCAL_LEAST + 1, 0)]])
             counts = np.searchsorted(every, got, "right") - np.searchsorted(every, got, "left")
             none = [None] * len(got)
-            return {"doc_id": none, "key": none, "n": none, "bits": none, "token": got.view(np.int64).tolist(), "count": counts.tolist()}
+            return {"doc_id": none, "key": none, "n": none, "bits": none, "sketch": none, "token": got.view(np.int64).tolist(), "count": counts.tolist()}
 
         def call(ids: list, texts: list[bytes]) -> dict[str, list]:
             if len(sizes) > 200_000:  # this task's texts, as far as a bounded table tells
@@ -174,13 +176,13 @@ def survey(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame
                     new.append(k)
             of, token, _ = ordered_sets([words[k] for k in new], width)
             ends = np.searchsorted(of, np.arange(len(new) + 1))
-            bits = [None] * len(ids)
+            bits, sketch = [None] * len(ids), [None] * len(ids)
             for j, k in enumerate(new):
                 own = token[ends[j] : ends[j + 1]]
-                sizes[keys[k]], bits[k] = len(own), parity(own)
+                sizes[keys[k]], bits[k], sketch[k] = len(own), parity(own), np.frombuffer(parity(own, SKETCH), np.int64)
             held.append(token)
             none = [None] * len(ids)
-            out = {"doc_id": ids, "key": keys, "n": [sizes[k] if k is not None else 0 for k in keys], "bits": bits, "token": none, "count": none}
+            out = {"doc_id": ids, "key": keys, "n": [sizes[k] if k is not None else 0 for k in keys], "bits": bits, "sketch": sketch, "token": none, "count": none}
             if sum(map(len, held)) > CHUNK:
                 more = flush()
                 out = {c: [*out[c], *more[c]] for c in names}
@@ -189,7 +191,7 @@ def survey(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame
         call.finish = lambda: [flush()]
         return call
 
-    return map_texts(docs, make, "doc_id long, key long, n long, bits binary, token long, count long", id_col, text_col)
+    return map_texts(docs, make, "doc_id long, key long, n long, bits binary, sketch array<long>, token long, count long", id_col, text_col)
 
 
 def frequent_tokens(found: DataFrame, most: int = FREQUENT) -> tuple[np.ndarray, np.ndarray]:
@@ -290,7 +292,8 @@ def texts_of(docs: DataFrame, keys: DataFrame, id_col: str, text_col: str) -> Da
 
         return call
 
-    return map_texts(docs, make, "key long, body binary", id_col, text_col).groupBy("key").agg(F.first("body").alias("body"))
+    found = map_texts(docs, make, "key long, body binary", id_col, text_col)
+    return stash(found.groupBy("key").agg(F.first("body").alias("body")), "bodies")
 
 
 def possible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -338,27 +341,37 @@ def verified(pairs: DataFrame, docs: DataFrame, percent: int, width: int, id_col
     return rows.mapInArrow(run, "a long, b long")
 
 
-def list_pairs(rows: DataFrame, percent: int) -> DataFrame:
-    """(a, b) of texts in different components c that share enough prefix shingles.
+def meetings(rows: DataFrame, percent: int) -> DataFrame:
+    """(a, b, l and k of both) for each prefix shingle that two texts in different
+    components c share, unless sizes, places or sketches exclude a link.
 
     A list of n texts is dealt into n / LIST_BLOCK blocks, and each pair of blocks is a
     key of its own in the join."""
     blocks = F.ceil(F.count("*").over(Window.partitionBy("token")) / LIST_BLOCK).cast("int")
     rows = rows.withColumn("blocks", blocks).withColumn("own", F.expr("cast(pmod(xxhash64(key), blocks) as int)"))
     every = F.explode(F.expr("sequence(0, blocks - 1)"))
-    left = rows.select("token", F.col("own").alias("i"), every.alias("j"), F.col("key").alias("b"), "n", "at", "l", "c")
-    right = rows.select("token", every.alias("i"), F.col("own").alias("j"), F.col("key").alias("a"), F.col("n").alias("m"), F.col("at").alias("by"), F.col("l").alias("k"), F.col("c").alias("d"))
+    left = rows.select("token", F.col("own").alias("i"), every.alias("j"), F.col("key").alias("b"), "n", "at", "l", "c", F.col("sketch").alias("x"))
+    right = rows.select(
+        "token", every.alias("i"), F.col("own").alias("j"), F.col("key").alias("a"), F.col("n").alias("m"), F.col("at").alias("by"),
+        F.col("l").alias("k"), F.col("c").alias("d"), F.col("sketch").alias("y"),
+    )
     need = f"ceil({percent}.0D * (n + m) / {100 + percent} - 1e-9)"
     prefix = lambda n, at: f"{at} < {n} - ceil({percent}.0D * {n} / 100 - 1e-9) + least(l, k)"
+    differ = " + ".join(f"bit_count(x[{w}] ^ y[{w}])" for w in range(SKETCH // 64))
     return (
         left.join(right, ["token", "i", "j"])
         .where(f"b > a and c <> d and 100 * least(n, m) >= {percent} * greatest(n, m) and least(n - at, m - by) + least(l, k) - 1 >= {need}")
-        .where(f"{prefix('n', 'at')} and {prefix('m', 'by')}")
-        .groupBy("a", "b").agg(F.count("*").alias("n_shared"), F.first(F.expr("least(l, k)")).alias("least_shared"))
-        .where("n_shared >= least_shared").select("a", "b")
+        .where(f"{prefix('n', 'at')} and {prefix('m', 'by')} and {differ} <= n + m - 2 * {need}")
+        .select("a", "b", F.expr("least(l, k)").alias("l"))
     )
 
 
+def list_pairs(rows: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of texts in different components that share enough prefix shingles."""
+    met = meetings(rows, percent).groupBy("a", "b").agg(F.count("*").alias("n_shared"), F.first("l").alias("l"))
+    return met.where("n_shared >= l").select("a", "b")
+
+
 def near_groups(
     docs: DataFrame,
     percent: int = 85,
@@ -384,7 +397,7 @@ def near_groups(
     hubs = shared.groupBy("key").agg(F.sum(F.col("of") - 1).alias("degree"))
     ranked = shared.join(hubs, "key").withColumn("pivot", F.max(F.struct("degree", "key", "n", "at")).over(per_token))
 
-    sets = found.where("bits is not null").groupBy("key").agg(F.first("n").alias("n"), F.first("bits").alias("bits"))
+    sets = found.where("bits is not null").groupBy("key").agg(F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("sketch").alias("sketch"))
     need = f"ceil({percent}.0D * (n + pivot.n) / {100 + percent} - 1e-9)"
     star = (
         ranked.where(f"key <> pivot.key and 100 * least(n, pivot.n) >= {percent} * greatest(n, pivot.n) and least(n - at, pivot.n - pivot.at) >= {need}")
@@ -397,6 +410,7 @@ def near_groups(
 
     rows = shared.drop("of").join(groups.withColumnRenamed("node", "key"), "key", "left").withColumn("c", F.coalesce("component", "key")).drop("component")
     rows = rows.repartition("token").withColumn("lo", F.min("c").over(per_token)).withColumn("hi", F.max("c").over(per_token)).where("lo < hi").drop("lo", "hi")
+    rows = rows.join(sets.select("key", "sketch"), "key")
     pairs = list_pairs(rows, percent).join(star, ["a", "b"], "left_anti")
     pairs = stash(possible(pairs, sets, percent), "pairs")
     if not pairs.isEmpty():
