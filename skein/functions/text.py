@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Accented Latin letters and what they fold to.
-ACCENTED = "áàâäãåçéèêëíìîïñóòôöõúùûüýÿÁÀÂÄÃÅÇÉÈÊËÍÌÎÏÑÓÒÔÖÕÚÙÛÜÝ"
-PLAIN = "aaaaaaceeeeiiiinooooouuuuyyAAAAAACEEEEIIIINOOOOOUUUUY"
+#: Letters of the Latin blocks that are a plain letter with marks, and these plain letters.
+ACCENTED, PLAIN = (
+    "".join(x)
+    for x in zip(*(
+        (chr(k), unicodedata.normalize("NFD", chr(k))[0])
+        for k in [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)]
+        if len(unicodedata.normalize("NFD", chr(k))) > 1
+    ))
+)
 
 
 def normalize_text(c: Column) -> Column:

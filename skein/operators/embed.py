@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import functions as F
 
 
@@ -46,6 +52,23 @@ def cache_purge(cache: DataFrame, now: Column) -> DataFrame:
     return cache.where(F.col("expires_at") >= now)
 
 
+def embed_records(records: DataFrame, stored: DataFrame, text: Column, provider: Callable[[list[str]], list], model: str, version: int, batch: int = 50) -> DataFrame:
+    """EMB-3: vectors of the records (record_id) that have none of this model and version;
+    the provider gets ``batch`` texts at a time, in the tasks."""
+    have = stored.where((F.col("model") == model) & (F.col("version") == version)).select("record_id").distinct()
+    todo = records.join(have, "record_id", "left_anti").select("record_id", text.alias("text"))
+
+    def run(frames):
+        for frame in frames:
+            for k in range(0, len(frame), batch):
+                part = frame.iloc[k : k + batch]
+                yield pd.DataFrame({"record_id": part["record_id"], "embedding": provider(part["text"].fillna("").tolist())})
+
+    kind = records.schema["record_id"].dataType.simpleString()
+    found = todo.mapInPandas(run, f"record_id {kind}, embedding array<double>")
+    return found.select("record_id", F.lit(model).alias("model"), F.lit(version).alias("version"), "embedding")
+
+
 def mock_embedding(text: Column, dims: int) -> Column:
     """EMB-9: deterministic test vector: ((code of text[i mod n]) + i) mod 97 / 97."""
     t = F.when(F.length(text) > 0, text).otherwise(F.lit(" "))

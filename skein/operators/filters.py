@@ -56,12 +56,24 @@ def filter_only_topk(hits: DataFrame, n: str, order: list) -> DataFrame:
     return ranked.withColumn("score", F.round(1 - 0.001 * (F.col("rank") - 1), 6))
 
 
-def merge_filters(layers: DataFrame, defaults: DataFrame) -> DataFrame:
-    """FILT-10: per (field, op) the filter of the latest layer; fields with a default take only that."""
+def merge_filters(layers: DataFrame, defaults: DataFrame, queries: DataFrame) -> DataFrame:
+    """FILT-10: per (field, op) the filter of the latest layer; fields with a default take only
+    that, and every query gets all defaults of its entity, with filters of its own or without."""
     w = Window.partitionBy("query_id", "field", "op").orderBy(F.desc("layer"), "value")
-    own = layers.join(defaults.select("field").distinct(), "field", "left_anti")
+    fixed = queries.select("query_id", "entity").distinct().join(defaults, "entity").select("query_id", "field", "op", "value")
+    own = layers.join(fixed.select("query_id", "field").distinct(), ["query_id", "field"], "left_anti")
     own = own.withColumn("r", F.row_number().over(w)).where("r = 1").select("query_id", "field", "op", "value")
-    return own.unionByName(layers.select("query_id").distinct().join(F.broadcast(defaults), how="cross"))  # defaults: a few fixed rows
+    return own.unionByName(fixed)
+
+
+def scope(records: DataFrame, queries: DataFrame, sources: DataFrame) -> DataFrame:
+    """FILT-1: (query_id, id) of the records in a query's workspace and sources, and of its
+    entity if it names one; of sources that are ready and have a mapping and a profile.
+
+    queries: query_id, workspace, sources (null: all), entity (null: all)."""
+    ready = sources.where(F.col("state").isin("indexed", "validated", "agent_ready") & F.col("mapped") & F.col("profiled"))
+    named = queries.join(ready.select("workspace", "source"), "workspace").where("sources is null or array_contains(sources, source)")
+    return records.join(named.withColumnRenamed("entity", "wanted"), ["workspace", "source"]).where("wanted is null or wanted = entity").select("query_id", "id")
 
 
 def safe_filters(filters: DataFrame, fields: DataFrame) -> DataFrame:

@@ -3,10 +3,15 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from skein.functions.text import attribute_key, to_string_array
+
 
 def apply_rule(conditions: list[tuple[str, str, object]]) -> Column:
     """MAP-6: AND of (column, op, value); numeric comparisons of other text are false, as is null."""
@@ -49,6 +54,79 @@ def render_template(template: str, allowed: set[str]) -> Column:
     return F.concat(*[F.coalesce(F.col(p).cast("string"), F.lit("")) if k % 2 else F.lit(p) for k, p in enumerate(parts)])
 
 
+def project_fields(fields: dict[str, str]) -> list[Column]:
+    """MAP-3: columns by their new names; ``column$.a.b`` takes a path out of a JSON column."""
+    out = []
+    for name, of in fields.items():
+        column, mark, path = of.partition("$")
+        out.append((F.get_json_object(column, "$" + path) if mark else F.col(column)).alias(name))
+    return out
+
+
+def enrich(records: DataFrame, cache: DataFrame, prompt: Column, provider: Callable[[list[str]], list[str]], schema: str) -> tuple[DataFrame, DataFrame]:
+    """MAP-12: records (record_id, payload_hash, ...) with the provider's typed output as column
+    ``extra``, and the answers that the cache (record_id, payload_hash, prompt_hash, output)
+    lacks. The provider is called for these only."""
+    keys = ["record_id", "payload_hash", "prompt_hash"]
+    asked = records.withColumn("_prompt", prompt).withColumn("prompt_hash", F.sha2("_prompt", 256))
+    missing = asked.join(cache.select(*keys).distinct(), keys, "left_anti").select(*keys, "_prompt").dropDuplicates(keys)
+
+    def run(frames):
+        for frame in frames:
+            yield frame.drop(columns="_prompt").assign(output=provider(frame["_prompt"].tolist()))
+
+    kinds = ", ".join(f"{k} {asked.schema[k].dataType.simpleString()}" for k in keys)
+    new = missing.mapInPandas(run, f"{kinds}, output string")
+    known = cache.select(*keys, "output").unionByName(new).dropDuplicates(keys)
+    return asked.join(known, keys, "left").select(*records.columns, F.from_json("output", schema).alias("extra")), new
+
+
+def attribute_map(options: Column, tags: Column, product: Column, variant: Column) -> Column:
+    """MAP-20: one map out of options (name, value), tags ``k:v`` or ``k=v``, and metafields
+    (namespace, key, value) of product and variant; what stands later wins. A metafield's bare
+    key is there only if no other has it."""
+    def pairs(rows: Column) -> Column:
+        """Entries with a key and a value, the last of each key."""
+        good = F.filter(rows, lambda x: (x["k"] != "") & (F.coalesce(x["v"], F.lit("")) != ""))
+        return F.filter(good, lambda x, i: ~F.exists(F.slice(good, i + 2, F.size(good)), lambda y: y["k"] == x["k"]))
+
+    def entry(k: Column, v: Column) -> Column:
+        return F.struct(attribute_key(k).alias("k"), v.alias("v"))
+
+    def metafields(rows: Column) -> Column:
+        plain = F.transform(rows, lambda x: entry(x["key"], x["value"]))
+        single = F.filter(plain, lambda x: F.size(F.filter(plain, lambda y: y["k"] == x["k"])) == 1)
+        return F.concat(F.transform(rows, lambda x: entry(F.concat(x["namespace"], F.lit("."), x["key"]), x["value"])), single)
+
+    none = F.array().cast("array<struct<k: string, v: string>>")
+    cut = F.filter(F.split(F.coalesce(tags, F.lit("")), ","), lambda x: x.rlike("[:=]"))
+    tagged = F.transform(cut, lambda x: entry(F.regexp_extract(x, "^([^:=]*)[:=]", 1), F.trim(F.regexp_replace(F.regexp_extract(x, "^[^:=]*[:=](.*)$", 1), "=", ":"))))
+    parts = [F.transform(options, lambda x: entry(x["name"], x["value"])), tagged, metafields(product), metafields(variant)]
+    return F.map_from_entries(pairs(F.concat(*[F.coalesce(p, none) for p in parts])))
+
+
+def first_attribute(attributes: Column, aliases: list[str]) -> Column:
+    """MAP-21: the value of the first alias that is a key, else of the first key that ends in _alias."""
+    ends = F.map_values(F.map_filter(attributes, lambda k, v: reduce(or_, [k.endswith(f"_{a}") for a in aliases])))
+    return F.coalesce(*[F.element_at(attributes, a) for a in aliases], F.when(F.size(ends) > 0, F.element_at(ends, 1)))
+
+
+def variant_columns(status: Column, quantity: Column, tags: Column) -> Column:
+    """MAP-22: availability and tags as an array."""
+    return F.struct(((status == "active") & (quantity > 0)).alias("available"), to_string_array(tags).alias("tags"))
+
+
+def flatten_products(products: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """SRC-6: nested products (id, title, status, tags, collections: array<struct<id, title>>,
+    variants: array<struct<id, sku, price, quantity>>) as products, variants and collections."""
+    flat = products.select(F.lit("products").alias("__table"), "id", "title", "status", to_string_array(F.col("tags")).alias("tags"), F.size("variants").alias("n_variants"))
+    variants = products.select(F.col("id").alias("product_id"), "status", F.explode("variants").alias("v"))
+    available = (F.col("status") == "active") & (F.col("v.quantity") > 0)
+    variants = variants.select(F.lit("variants").alias("__table"), "v.*", "product_id", available.alias("available"))
+    collections = products.select(F.explode("collections").alias("c")).select(F.lit("collections").alias("__table"), "c.id", "c.title").distinct()
+    return flat, variants, collections
+
+
 def changed_records(new: DataFrame, stored: DataFrame, keys: list[str], compared: list[str]) -> DataFrame:
     """MAP-13: rows whose compared columns aren't all equal to the stored ones, nulls being equal."""
     old = stored.select(*keys, *[F.col(c).alias(f"_{c}") for c in compared], F.lit(True).alias("_there"))

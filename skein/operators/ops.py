@@ -43,3 +43,32 @@ def current_state(transitions: DataFrame, key: str, order: list[str]) -> DataFra
 def active_version(versions: DataFrame, key: str) -> DataFrame:
     """OPS-7: the latest active version of each key, and the next version to give."""
     return versions.groupBy(key).agg(F.max(F.when(F.col("status") == "active", F.col("version"))).alias("active"), (F.max("version") + 1).alias("next"))
+
+
+def ingest_stats(jobs: DataFrame, now: Column) -> DataFrame:
+    """OPS-4: open jobs by state, their records and the oldest one, and what was finished in
+    the last 15 and 60 minutes, with the percentiles of job durations.
+
+    jobs: state (pending, active, retry, completed), n_records, created, started, finished."""
+    ago = lambda minutes: (F.col("state") == "completed") & (F.col("finished") > now - F.make_interval(mins=F.lit(minutes)))
+    seconds = F.when(ago(60), F.unix_millis(F.col("finished").cast("timestamp")) - F.unix_millis(F.col("started").cast("timestamp"))) / 1000.0
+    open_ = F.col("state").isin("pending", "retry")
+    return jobs.agg(
+        *[F.count_if(F.col("state") == s).alias(s) for s in ("pending", "active", "retry")],
+        F.coalesce(F.sum(F.when(open_, F.col("n_records"))), F.lit(0)).alias("pending_records"), F.min(F.when(open_, F.col("created"))).alias("oldest"),
+        *[F.coalesce(F.sum(F.when(ago(m), F.col("n_records"))), F.lit(0)).alias(f"records_{m}") for m in (15, 60)],
+        F.round(F.percentile(seconds, 0.5), 6).alias("p50"), F.round(F.percentile(seconds, 0.95), 6).alias("p95"),
+    )
+
+
+def pending_backfills(jobs: DataFrame) -> DataFrame:
+    """OPS-8: the distinct (source, workspace, version) of open jobs."""
+    return jobs.where(F.col("state").isin("pending", "active", "retry")).select("source", "workspace", "version").distinct()
+
+
+def log_rows(queries: DataFrame, results: DataFrame, warnings: DataFrame) -> DataFrame:
+    """OPS-9: a log row per query: results, best score, warnings and error."""
+    found = results.groupBy("query_id").agg(F.count("*").alias("n_results"), F.max("score").alias("confidence"))
+    told = warnings.groupBy("query_id").agg(F.array_join(F.sort_array(F.collect_set("warning")), "; ").alias("warnings"))
+    rows = queries.join(found, "query_id", "left").join(told, "query_id", "left")
+    return rows.select(*queries.columns, F.coalesce("n_results", F.lit(0)).alias("n_results"), "confidence", F.coalesce("warnings", F.lit("")).alias("warnings"))

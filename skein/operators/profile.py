@@ -38,7 +38,7 @@ def top_values(long: DataFrame, k: int = 50) -> DataFrame:
 
 def value_type(c: Column) -> Column:
     """PROF-7: the type that a text value looks like."""
-    return (
+    return (  # fixed values: the patterns
         F.when(c.rlike(r"^\d{4}-\d{2}-\d{2}$"), "date").when(c.rlike(r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}"), "datetime")
         .when(c.rlike(r"^-?\d+(\.\d+)?([eE][+-]?\d+)?$"), "number").when(F.lower(c).isin("true", "false"), "boolean")
         .when(c.rlike(r"^[\[{]"), "json").otherwise("string")
@@ -46,8 +46,8 @@ def value_type(c: Column) -> Column:
 
 
 def infer_types(long: DataFrame) -> DataFrame:
-    """PROF-7, 8: type of each column, with least and greatest value (numeric for numbers)."""
-    typed = long.where("value is not null").withColumn("t", value_type(F.col("value")))
+    """PROF-7, 8: type of each column (unknown without values or with several types, none of them text), with least and greatest value (numeric for numbers)."""
+    typed = long.withColumn("t", F.when(F.col("value").isNotNull(), value_type(F.col("value"))))
     found = typed.groupBy("column").agg(
         F.count_distinct("t").alias("kinds"), F.min("t").alias("one"), F.max((F.col("t") == "string").cast("int")).alias("text"),
         F.min(F.expr("try_cast(value as double)")).alias("min_number"), F.max(F.expr("try_cast(value as double)")).alias("max_number"),
@@ -63,10 +63,36 @@ def infer_types(long: DataFrame) -> DataFrame:
 
 
 def json_shape(df: DataFrame, column: str) -> DataFrame:
-    """PROF-10: per key of a JSON object column: type, rows and distinct values."""
+    """PROF-10: per key of a JSON object column: type by the rule of PROF-7, rows, distinct
+    values and the 20 most frequent ones."""
     pairs = df.select(F.explode(F.from_json(column, "map<string,string>")).alias("column", "value"))
     counts = pairs.groupBy("column", "value").agg(F.count("*").alias("n"))
-    return counts.groupBy("column").agg(F.sum("n").alias("rows"), F.count("value").alias("distinct"), F.min(value_type(F.col("value"))).alias("type"))
+    types = infer_types(counts).select("column", "type")
+    top = top_values(pairs, 20).groupBy("column").agg(F.sort_array(F.collect_list(F.struct("rank", "value"))).alias("r"))
+    totals = counts.groupBy("column").agg(F.sum("n").alias("rows"), F.count("value").alias("distinct"))
+    top = top.select("column", F.transform("r", lambda x: x["value"]).alias("top"))
+    return totals.join(types, "column").join(top, "column", "left")
+
+
+def sample_rows(raw: DataFrame, table: str, order: str, n: int = 10_000) -> DataFrame:
+    """PROF-1: the first n rows of each table, which a profile is made of."""
+    w = Window.partitionBy(table).orderBy(order)
+    return raw.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n).drop("_r")
+
+
+def parse_stored(c: Column) -> Column:
+    """PROF-12: stored text as one of text s, number n and boolean b; the text null is none of them."""
+    number = F.when(c.rlike(r"^-?\d+(\.\d+)?([eE][+-]?\d+)?$"), c.cast("double"))
+    truth = F.when(c == "true", True).when(c == "false", False)
+    text = F.when(number.isNull() & truth.isNull() & (c != "null"), c)
+    return F.struct(text.alias("s"), number.alias("n"), truth.alias("b"))
+
+
+def profile_source(columns: DataFrame) -> DataFrame:
+    """PROF-13: one JSON document of each source from rows (source, table, column, type, n, nulls)."""
+    per_table = columns.groupBy("source", "table").agg(F.sort_array(F.collect_list(F.struct("column", "type", "n", "nulls"))).alias("columns"))
+    tables = per_table.groupBy("source").agg(F.sort_array(F.collect_list(F.struct("table", "columns"))).alias("tables"))
+    return tables.select("source", F.to_json(F.struct("tables")).alias("profile"))
 
 
 def atomic_values(df: DataFrame, text: Column, k: int = 50) -> DataFrame:

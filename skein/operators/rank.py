@@ -13,6 +13,27 @@ def rrf(rankings: DataFrame, k: int = 60) -> DataFrame:
     return fused.withColumn("place", F.row_number().over(w))
 
 
+def fuse(lexical: DataFrame, vector: DataFrame, limit: int, weights: tuple[float, float] = (1.0, 1.1)) -> DataFrame:
+    """RANK-2: lexical hits (query_id, id, rank, relevance, identifier, exact) and vector hits
+    (query_id, id, rank, distance) as one list: identifiers first (score 1, by lexical rank),
+    then by exact, then by the fused score. A query without vector hits keeps the lexical
+    order, with the relevance as score."""
+    one = lexical.select("query_id", "id", "rank", F.lit(weights[0]).alias("weight"))
+    two = vector.select("query_id", "id", "rank", F.lit(weights[1]).alias("weight"))
+    fused = rrf(one.unionByName(two)).drop("place")
+    rows = fused.join(lexical.withColumnRenamed("rank", "lexical_rank"), ["query_id", "id"], "left")
+    rows = rows.join(vector.select("query_id", "id", "distance"), ["query_id", "id"], "left")
+    both = vector.select("query_id").distinct().withColumn("_both", F.lit(True))
+    named = F.coalesce("identifier", F.lit(False))
+    rows = rows.join(both, "query_id", "left").withColumn("score", F.when(named, 1.0).when(F.col("_both").isNull(), F.col("relevance")).otherwise(F.col("score")))
+    alone = F.col("_both").isNull()
+    w = Window.partitionBy("query_id").orderBy(
+        F.desc(named), F.when(named | alone, F.col("lexical_rank")), F.desc(F.coalesce("exact", F.lit(0))), F.desc("score"), "id"
+    )
+    rows = rows.withColumn("place", F.row_number().over(w)).where(F.col("place") <= limit)
+    return rows.select("query_id", "id", "score", "lexical_rank", "distance", "place")
+
+
 def rescore(hits: DataFrame, matches: DataFrame, cap: float = 0.75) -> DataFrame:
     """RANK-10, 11: hits (query_id, id, score) and preference matches (query_id, id, field, boost):
     the largest boost of each field, summed up to a cap; ordered by fields matched, score, id."""

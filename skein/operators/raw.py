@@ -2,14 +2,26 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
 def payload_hash(*cols: str) -> Column:
-    """RAW-1: sha256 of the columns in name order; a null differs from the empty text."""
-    parts = [F.coalesce(F.concat(F.lit(f"{c}="), F.col(c).cast("string")), F.lit(f"{c}!")) for c in sorted(cols)]
-    return F.sha2(F.concat_ws("|", *parts), 256)
+    """RAW-1: sha256 of the columns as JSON in name order; nulls are kept."""
+    return F.sha2(F.to_json(F.struct(*sorted(cols)), {"ignoreNullFields": "false"}), 256)
+
+
+def canonical_json(c: Column) -> Column:
+    """RAW-1, nested form: JSON text with the keys of every level sorted; null stays null."""
+
+    @F.pandas_udf("string")
+    def canonical(text: pd.Series) -> pd.Series:
+        return text.map(lambda x: json.dumps(json.loads(x), sort_keys=True, separators=(",", ":"), ensure_ascii=False), na_action="ignore")
+
+    return canonical(c)
 
 
 def source_record_id(table: str, *keys: str) -> Column:
@@ -47,23 +59,27 @@ def count_transitions(incoming: DataFrame, stored: DataFrame, keys: list[str], o
 
 
 def upsert(stored: DataFrame, incoming: DataFrame, keys: list[str], now: Column) -> DataFrame:
-    """RAW-7: stored rows with new and changed ones put in. Rows that stay keep synced_at,
-    changed ones keep created_at. Incoming keys must be unique."""
+    """RAW-7, MAP-14, EMB-4: stored rows with new and changed ones put in, with all columns of
+    the stored rows. Rows that stay keep synced_at, changed ones keep created_at. Incoming
+    keys must be unique."""
     s, i = stored.alias("s"), incoming.alias("i")
     on = [F.col(f"s.{k}") == F.col(f"i.{k}") for k in keys]
     joined = s.join(i, on, "full_outer")
-    pick = lambda c: F.coalesce(f"i.{c}", f"s.{c}").alias(c)
+    there = F.col("i.hash").isNotNull()
+    pick = lambda c: (F.when(there, F.col(f"i.{c}")).otherwise(F.col(f"s.{c}")) if c in incoming.columns else F.col(f"s.{c}")).alias(c)
+    payload = [c for c in stored.columns if c not in (*keys, "created_at", "synced_at")]
     same = F.col("i.hash").isNull() | F.coalesce(F.col("i.hash") == F.col("s.hash"), F.lit(False))
     return joined.select(
-        *[pick(k) for k in keys], pick("hash"), F.coalesce("s.created_at", now).alias("created_at"),
+        *[pick(c) for c in (*keys, *payload)], F.coalesce("s.created_at", now).alias("created_at"),
         F.when(same, F.col("s.synced_at")).otherwise(now).alias("synced_at"),
     )
 
 
 def remove_stale_by_table(stored: DataFrame, seen: DataFrame, tables: DataFrame) -> DataFrame:
     """RAW-8: without rows of a synced table whose key wasn't seen."""
-    stale = stored.join(tables, "table", "left_semi").join(seen, ["table", "id"], "left_anti")
-    return stored.join(stale.select("table", "id"), ["table", "id"], "left_anti")
+    synced, kept = tables.select("table").distinct().withColumn("_synced", F.lit(True)), seen.select("table", "id").distinct().withColumn("_seen", F.lit(True))
+    marked = stored.join(synced, "table", "left").join(kept, ["table", "id"], "left")
+    return marked.where("_synced is null or _seen is not null").select(*stored.columns)
 
 
 def remove_stale(stored: DataFrame, seen: DataFrame, keys: list[str]) -> DataFrame:
@@ -73,8 +89,8 @@ def remove_stale(stored: DataFrame, seen: DataFrame, keys: list[str]) -> DataFra
 
 def remove_stale_by_prefix(stored: DataFrame, prefix: str, seen: DataFrame, key: str) -> DataFrame:
     """RAW-10: as RAW-9, but only for keys with a prefix."""
-    gone = stored.where(F.col(key).startswith(prefix)).join(seen.select(key).distinct(), key, "left_anti")
-    return stored.join(gone.select(key), key, "left_anti")
+    marked = stored.join(seen.select(key).distinct().withColumn("_seen", F.lit(True)), key, "left")
+    return marked.where(F.col("_seen").isNotNull() | ~F.coalesce(F.col(key).startswith(prefix), F.lit(False))).select(*stored.columns)
 
 
 def remove_stale_children(stored: DataFrame, live: DataFrame, parent: str, child: list[str], guard: int = 100) -> DataFrame:

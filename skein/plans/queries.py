@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from skein.functions import text as T
 from skein.operators import embed, evals, filters, mapping, ops, profile, rank, raw, search
-from skein.plans import check_queries, search_queries  # noqa: F401 (they register their queries)
+from skein.plans import check_queries, more_queries, search_queries  # noqa: F401 (they register their queries)
 from skein.plans.registry import QUERIES, SQL, query
 from skein.sources.readers import next_cursor, read_increment, read_table, read_with_overlap
 from skein.streaming.streams import rolling_metrics
@@ -31,9 +31,11 @@ I = (
 )
 
 
-@query("raw_1_payload_hash", "SELECT c_custkey, sha256('c_mktsegment=' || c_mktsegment || '|c_name=' || c_name || '|c_nationkey=' || c_nationkey) AS hash FROM customer")
+@query("raw_1_payload_hash", """SELECT c_custkey, sha256('{"c_mktsegment":' || CASE WHEN c_custkey % 3 = 0 THEN 'null' ELSE '"' || c_mktsegment || '"' END || ',"c_name":"' || c_name || '|c_nationkey=' || c_custkey % 5 || '","c_nationkey":' || c_nationkey || '}') AS hash FROM customer""")
 def _(t):
-    return t("customer").select("c_custkey", raw.payload_hash("c_name", "c_nationkey", "c_mktsegment").alias("hash"))
+    name = F.concat("c_name", F.lit("|c_nationkey="), F.col("c_custkey") % 5)
+    rows = t("customer").select("c_custkey", name.alias("c_name"), "c_nationkey", F.when(F.col("c_custkey") % 3 != 0, F.col("c_mktsegment")).alias("c_mktsegment"))
+    return rows.select("c_custkey", raw.payload_hash("c_name", "c_nationkey", "c_mktsegment").alias("hash"))
 
 
 @query("raw_2_record_id", "SELECT 'lineitem:' || l_orderkey || ':' || l_linenumber AS rid, count(*) AS n FROM lineitem GROUP BY 1")
@@ -161,9 +163,13 @@ def _(t):
     return profile.infer_types(profile.unpivot_values(o, ["key", "status", "day"]))
 
 
-@query("prof_10_json_shape", "SELECT 'k' AS \"column\", count(*) AS rows, count(DISTINCT json_extract_string(props, '$.k')) AS \"distinct\", 'number' AS type FROM events WHERE props IS NOT NULL")
+@query("prof_10_json_shape", """WITH l AS (SELECT 'k' AS "column", json_extract_string(props, '$.k') AS value FROM events WHERE props IS NOT NULL UNION ALL SELECT 'm', CASE WHEN event_id % 2 = 0 THEN '1' ELSE event_type END FROM events WHERE props IS NOT NULL UNION ALL SELECT 'n', NULL FROM events WHERE props IS NOT NULL),
+c AS (SELECT "column", value, count(*) AS n FROM l GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY "column" ORDER BY n DESC, value) AS r FROM c WHERE value IS NOT NULL)
+SELECT c."column", CAST(sum(n) AS BIGINT) AS rows, count(value) AS "distinct", CASE WHEN count(value) = 0 THEN 'unknown' WHEN count(*) FILTER (value IS NOT NULL AND try_cast(value AS DOUBLE) IS NULL) > 0 THEN 'string' ELSE 'number' END AS type, (SELECT string_agg(value, ',' ORDER BY r) FROM r WHERE r.r <= 20 AND r."column" = c."column") AS top FROM c GROUP BY 1""")
 def _(t):
-    return profile.json_shape(t("events"), "props")
+    other = F.concat(F.lit(', "m": '), F.when(F.col("event_id") % 2 == 0, "1").otherwise(F.concat(F.lit('"'), "event_type", F.lit('"'))), F.lit(', "n": null}'))
+    rows = t("events").where("props is not null").select(F.concat(F.expr("left(props, length(props) - 1)"), other).alias("props"))
+    return profile.json_shape(rows, "props").withColumn("top", F.array_join("top", ","))
 
 
 @query("prof_11_atomic", "WITH m AS (SELECT unnest(string_split(p_name, ' ')) AS value FROM part), c AS (SELECT value, count(*) AS n FROM m WHERE value <> '' GROUP BY 1) SELECT value, n, (SELECT count(*) FROM c) AS total, (SELECT count(*) FROM c) > 10 AS truncated FROM c ORDER BY n DESC, value LIMIT 10")
@@ -237,11 +243,10 @@ def _(t):
     return mapping.changed_records(new, old, ["p_partkey"], ["p_name", "p_size"]).select("p_partkey")
 
 
-@query("map_16_17_normalize", "SELECT doc_id, length(x) AS n, sha256(x) AS norm_hash, sha256(regexp_replace(x, '[^a-z0-9]', '', 'g')) AS id_hash FROM (SELECT doc_id, trim(lower(strip_accents(regexp_replace(text, '[^ -~áàâäéèêëíìîïñóòôöúùûüçÁÀÂÄÉÈÊËÍÌÎÏÑÓÒÔÖÚÙÛÜÇ]', ' ', 'g')))) AS x FROM documents)")
+@query("map_16_17_normalize", "SELECT doc_id, length(x) AS n, sha256(x) AS norm_hash, sha256(regexp_replace(x, '[^a-z0-9]', '', 'g')) AS id_hash FROM (SELECT doc_id, trim(lower(strip_accents(text))) AS x FROM documents)")
 def _(t):
-    x = F.regexp_replace("text", "[^ -~áàâäéèêëíìîïñóòôöúùûüçÁÀÂÄÉÈÊËÍÌÎÏÑÓÒÔÖÚÙÛÜÇ]", " ")
-    n = T.normalize_text(x)
-    return t("documents").select("doc_id", F.length(n).cast("long").alias("n"), F.sha2(n, 256).alias("norm_hash"), F.sha2(T.normalize_identifier(x), 256).alias("id_hash"))
+    n = T.normalize_text(F.col("text"))
+    return t("documents").select("doc_id", F.length(n).cast("long").alias("n"), F.sha2(n, 256).alias("norm_hash"), F.sha2(T.normalize_identifier(F.col("text")), 256).alias("id_hash"))
 
 
 @query("map_18_numbers", "SELECT o_orderkey, round(o_totalprice, 2) AS number FROM orders")
@@ -366,10 +371,10 @@ def _(t):
 VEC = "SELECT a.vec_id AS query_id, b.vec_id AS id, round(1 - list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS distance FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0"
 
 
-@query("vec_1_distance", f"SELECT query_id, id, distance FROM ({VEC}) WHERE id % 20 = 0")
+@query("vec_1_distance", f"SELECT query_id, id, distance FROM ({VEC})")
 def _(t):
-    e = t("embeddings").where("vec_id % 20 = 0")
-    b = e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("e2"))
+    e = t("embeddings").where("vec_id % 20 = 0")  # a stated query set, against all rows
+    b = t("embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("e2"))
     pairs = e.select(F.col("vec_id").alias("query_id"), "embedding").join(b, how="cross")  # a stated query set
     return pairs.select("query_id", "id", F.round(search.cosine_distance(F.col("embedding"), F.col("e2")), 6).alias("distance"))
 
@@ -501,9 +506,9 @@ def _(t):
 
 
 @query("str_6_windows", """WITH s AS (SELECT *, unnest([0, 15, 30, 45]) AS back FROM events), w AS (SELECT *, time_bucket(INTERVAL '15 minutes', ts) - to_minutes(back) AS start FROM s)
-SELECT start, count(*) AS n, count(*) FILTER (event_type = 'error') AS errors, round(avg(value), 6) AS mean_value FROM w GROUP BY 1""")
+SELECT start, count(*) AS n, count(*) FILTER (event_type = 'error') AS errors, round(avg(value), 6) AS mean_value, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95 FROM w GROUP BY 1""")
 def _(t):
-    return rolling_metrics(t("events"), "ts", "value")
+    return rolling_metrics(t("events"), "ts", "value", F.col("event_type") == "error")
 
 
 def hybrid_search(t) -> DataFrame:

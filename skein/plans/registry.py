@@ -12,6 +12,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 
+def session_query(name: str, sql: str):
+    """Registers a query that takes the session and the folder itself, as streams do."""
+    def add(f):
+        QUERIES[name], SQL[name] = f, sql
+        return f
+
+    return add
+
+
 def query(name: str, sql: str | None = None):
     def add(f):
         QUERIES[name] = lambda spark, d: f(lambda t: read_table(spark, d, t))

@@ -10,10 +10,33 @@ def read_table(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def read_csv_raw(spark: SparkSession, path: str) -> DataFrame:
-    """SRC-1: all values as trimmed text; empty lines are skipped; __table is csv."""
-    rows = spark.read.option("header", True).option("multiLine", True).option("ignoreLeadingWhiteSpace", True).option("ignoreTrailingWhiteSpace", True).csv(path, inferSchema=False)
-    return rows.where(F.coalesce(*[F.col(c) for c in rows.columns]).isNotNull()).withColumn("__table", F.lit("csv"))
+def read_csv_raw(spark: SparkSession, path: str, source_id: str) -> DataFrame:
+    """SRC-1: (source_id, payload): all values as trimmed text in JSON; empty lines are skipped; __table is csv."""
+    rows = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path, inferSchema=False)  # skips empty lines
+    texts = [F.coalesce(F.trim(F.regexp_replace(c, r"^\s+|\s+$", "")), F.lit("")).alias(c.strip()) for c in rows.columns]
+    payload = F.to_json(F.struct(*texts, F.lit("csv").alias("__table")))
+    return rows.select(F.lit(source_id).alias("source_id"), payload.alias("payload"))
+
+
+def to_raw(df: DataFrame, table: str, schema: str, keys: list[str], role: str, foreign: dict[str, str] | None = None) -> DataFrame:
+    """SRC-7: rows as one JSON payload with what is known of their table."""
+    meta = [
+        F.lit(table).alias("__table"), F.lit(schema).alias("__schema"), F.array(*map(F.lit, keys)).alias("__primaryKey"),
+        F.to_json(F.struct(*[F.col(k) for k in keys])).alias("__pk"), F.lit(role).alias("__tableRole"),
+        F.array(*[F.concat(F.lit(k), F.lit("->"), F.lit(v)) for k, v in sorted((foreign or {}).items())]).cast("array<string>").alias("__foreignKeys"),
+    ]
+    return df.select(F.to_json(F.struct("*", *meta), {"ignoreNullFields": "false"}).alias("payload"))
+
+
+def read_documents(spark: SparkSession, path: str) -> DataFrame:
+    """SRC-8: eval documents as a row per case, with the case's place; values stay JSON text."""
+    case = (
+        "query string, expectedExternalIds array<string>, expectedTopIds array<string>, mustNotContainFields array<string>, mustContainFields array<string>,"
+        " mustApplyFilters array<struct<field: string, op: string, value: string>>, maxResultCount int, maxConfidence double"
+    )
+    rows = spark.read.json(path, schema=f"name string, threshold double, cases array<struct<{case}>>", multiLine=True)
+    rows = rows.select("name", F.coalesce("threshold", F.lit(0.8)).alias("threshold"), F.posexplode("cases").alias("place", "c"))
+    return rows.select("name", "threshold", "place", "c.*")
 
 
 def read_increment(df: DataFrame, cursor: str, tie: str, after: tuple | None) -> DataFrame:

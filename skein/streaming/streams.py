@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -12,12 +12,13 @@ def dedupe_events(stream: DataFrame, keys: list[str], time: str, delay: str = "1
     return stream.withWatermark(time, delay).dropDuplicatesWithinWatermark(keys)
 
 
-def rolling_metrics(stream: DataFrame, time: str, value: str, width: str = "60 minutes", slide: str = "15 minutes", delay: str | None = "5 minutes") -> DataFrame:
+def rolling_metrics(stream: DataFrame, time: str, value: str, failed: Column, width: str = "60 minutes", slide: str = "15 minutes", delay: str | None = "5 minutes") -> DataFrame:
     """STR-6: rows, errors and mean latency in sliding windows; batch or stream."""
     rows = stream.withWatermark(time, delay) if delay and stream.isStreaming else stream
     return rows.groupBy(F.window(time, width, slide).alias("w")).agg(
-        F.count("*").alias("n"), F.count_if(F.col("event_type") == "error").alias("errors"), F.round(F.avg(value), 6).alias("mean_value")
-    ).select(F.col("w.start").alias("start"), "n", "errors", "mean_value")
+        F.count("*").alias("n"), F.count_if(failed).alias("errors"), F.round(F.avg(value), 6).alias("mean_value"),
+        F.percentile_approx(value, F.array(F.lit(0.5), F.lit(0.95)), 10_000).alias("p"),
+    ).select(F.col("w.start").alias("start"), "n", "errors", "mean_value", F.col("p")[0].alias("p50"), F.col("p")[1].alias("p95"))
 
 
 def log_stream(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
