@@ -88,7 +88,7 @@ def _(t):
 
 
 # -- profiles and mapping
-@query("prof_1_sample", "SELECT o_orderstatus, count(*) AS n, sum(o_orderkey) AS keys FROM (SELECT *, row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey) AS r FROM orders) WHERE r <= 100 GROUP BY 1")
+@query("prof_1_sample", "SELECT o_orderstatus, count(*) AS n, CAST(sum(o_orderkey) AS BIGINT) AS keys FROM (SELECT *, row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey) AS r FROM orders) WHERE r <= 100 GROUP BY 1")
 def _(t):
     return profile.sample_rows(t("orders"), "o_orderstatus", "o_orderkey", 100).groupBy("o_orderstatus").agg(F.count("*").alias("n"), F.sum("o_orderkey").alias("keys"))
 
