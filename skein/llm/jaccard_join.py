@@ -346,21 +346,20 @@ def meetings(rows: DataFrame, percent: int) -> DataFrame:
     components c share, unless sizes, places or sketches exclude a link.
 
     A list of n texts is dealt into n / LIST_BLOCK blocks, and each pair of blocks is a
-    key of its own in the join."""
+    key of its own in the join; both sides of the join are the same rows, shuffled once."""
     blocks = F.ceil(F.count("*").over(Window.partitionBy("token")) / LIST_BLOCK).cast("int")
     rows = rows.withColumn("blocks", blocks).withColumn("own", F.expr("cast(pmod(xxhash64(key), blocks) as int)"))
-    every = F.explode(F.expr("sequence(0, blocks - 1)"))
-    left = rows.select("token", F.col("own").alias("i"), every.alias("j"), F.col("key").alias("b"), "n", "at", "l", "c", F.col("sketch").alias("x"))
-    right = rows.select(
-        "token", every.alias("i"), F.col("own").alias("j"), F.col("key").alias("a"), F.col("n").alias("m"), F.col("at").alias("by"),
-        F.col("l").alias("k"), F.col("c").alias("d"), F.col("sketch").alias("y"),
-    )
+    rows = rows.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    rows = rows.select("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "key", "n", "at", "l", "c", "sketch")
+    left = rows.toDF("token", "i", "j", "o", "b", "n", "at", "l", "c", "x")
+    right = rows.toDF("token", "i", "j", "p", "a", "m", "by", "k", "d", "y")
     need = f"ceil({percent}.0D * (n + m) / {100 + percent} - 1e-9)"
     prefix = lambda n, at: f"{at} < {n} - ceil({percent}.0D * {n} / 100 - 1e-9) + least(l, k)"
     differ = " + ".join(f"bit_count(x[{w}] ^ y[{w}])" for w in range(SKETCH // 64))
     return (
         left.join(right, ["token", "i", "j"])
-        .where(f"b > a and c <> d and 100 * least(n, m) >= {percent} * greatest(n, m) and least(n - at, m - by) + least(l, k) - 1 >= {need}")
+        .where("b > a and c <> d and least(o, p) = i and greatest(o, p) = j")
+        .where(f"100 * least(n, m) >= {percent} * greatest(n, m) and least(n - at, m - by) + least(l, k) - 1 >= {need}")
         .where(f"{prefix('n', 'at')} and {prefix('m', 'by')} and {differ} <= n + m - 2 * {need}")
         .select("a", "b", F.expr("least(l, k)").alias("l"))
     )
@@ -397,7 +396,8 @@ def near_groups(
     hubs = shared.groupBy("key").agg(F.sum(F.col("of") - 1).alias("degree"))
     ranked = shared.join(hubs, "key").withColumn("pivot", F.max(F.struct("degree", "key", "n", "at")).over(per_token))
 
-    sets = found.where("bits is not null").groupBy("key").agg(F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("sketch").alias("sketch"))
+    sets = found.where("bits is not null").join(shared.select("key").distinct(), "key", "left_semi")
+    sets = stash(sets.groupBy("key").agg(F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("sketch").alias("sketch")), "sets")
     need = f"ceil({percent}.0D * (n + pivot.n) / {100 + percent} - 1e-9)"
     star = (
         ranked.where(f"key <> pivot.key and 100 * least(n, pivot.n) >= {percent} * greatest(n, pivot.n) and least(n - at, pivot.n - pivot.at) >= {need}")

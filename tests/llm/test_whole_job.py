@@ -8,6 +8,7 @@ from collections import Counter
 import corpus_pipeline
 import pytest
 
+from skein.llm import jaccard_join
 from skein.llm.license_scan import TEMPLATES, scan_licenses
 from skein.llm.quality_classifier import FEATURES, statistics
 from skein.llm.secret_scan import find_secrets, lexed_spans, redact
@@ -160,3 +161,52 @@ def test_stage_finds_near_copies_by_five_words(spark, sf):
     other = [f"x{k}" if k in (30, 60, 90, 120) else w for k, w in enumerate(words)]
     docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(other))], "doc_id long, text string")
     assert [r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, sf).collect()] == [1]
+
+
+def test_texts_of_common_sentences(spark, monkeypatch):
+    """Every shingle is frequent, lists are long and dealt into blocks; links against brute force."""
+    monkeypatch.setattr(jaccard_join, "LIST_BLOCK", 16)
+    rng = random.Random(3)
+    sentences = [" ".join("".join(rng.choices("abcdefg", k=4)) for _ in range(8)) for _ in range(30)]
+    texts = [" ".join(rng.sample(sentences, 10)) for _ in range(150)]
+    for k in range(0, 150, 5):  # chains of near copies
+        words = texts[k].split()
+        words[rng.randrange(80)] = "changed"
+        texts.append(" ".join(words))
+        words[rng.randrange(80)] = "again"
+        texts.append(" ".join(words))
+    sets = [set(zip(w, w[1:], w[2:], w[3:])) for w in map(str.split, texts)]
+    group = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            if 100 * both >= 85 * (len(sets[a]) + len(sets[b]) - both) and group[a] != group[b]:
+                old, new = group[a], group[b]
+                group = [new if g == old else g for g in group]
+    least = {g: min(k for k in range(len(texts)) if group[k] == g) for g in set(group)}
+    assert len(least) < len(texts) - 40
+    got = jaccard_join.jaccard_join(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert {r.doc_id: r.component_id for r in got.collect()} == {k: least[g] for k, g in enumerate(group)}
+
+
+def test_bitmaps_never_exclude_a_link():
+    rng = random.Random(8)
+    for _ in range(300):
+        x = jaccard_join.np.array(rng.sample(range(1, 1 << 40), rng.randint(1, 900)), jaccard_join.np.uint64)
+        y = jaccard_join.np.union1d(x[: rng.randint(0, len(x))], jaccard_join.np.array([rng.randrange(1 << 40) for _ in range(rng.randint(1, 300))], jaccard_join.np.uint64))
+        both = len(set(x.tolist()) & set(y.tolist()))
+        assert jaccard_join.most_shared(len(x), len(y), jaccard_join.parity(x), jaccard_join.parity(y)) >= both
+
+
+def test_stages_stand_odd_rows(spark, sf):
+    """Nulls, empty, repeated and long rows, clashing columns and an empty table go through all stages but the last unchanged in shape."""
+    schema = "doc_id long, text string, n_words string, score double, key long, n_chars long"
+    rows = [(None, None, "a", None, 1, None), (1, None, None, 1.0, None, 0), (2, "", "b", 1.0, 2, 0), (3, "word " * 50_000, "c", 1.0, 3, 5), (3, "word " * 50_000, "c", 1.0, 3, 5), (None, "a b", None, None, None, 3)]
+    docs, empty = spark.createDataFrame(rows, schema), spark.createDataFrame([], schema)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, docs, sf)
+        assert got.columns == docs.columns, name
+        assert got.count() <= len(rows) and stage(spark, empty, sf).count() == 0, name
+    assert corpus_pipeline.near_duplicates(spark, docs, sf).count() == 5
+    last = corpus_pipeline.pieces(spark, docs, sf)
+    assert last.count() == len(rows) and last.where("not lossless").count() == 0 and corpus_pipeline.pieces(spark, empty, sf).count() == 0
