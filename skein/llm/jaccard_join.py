@@ -346,7 +346,7 @@ def meetings(rows: DataFrame, percent: int) -> DataFrame:
     components c share, unless sizes, places or sketches exclude a link.
 
     A list of n texts is dealt into n / LIST_BLOCK blocks, and each pair of blocks is a
-    key of its own in the join; both sides of the join are the same rows, shuffled once."""
+    key of its own in the join; both sides of the join are the same rows."""
     blocks = F.ceil(F.count("*").over(Window.partitionBy("token")) / LIST_BLOCK).cast("int")
     rows = rows.withColumn("blocks", blocks).withColumn("own", F.expr("cast(pmod(xxhash64(key), blocks) as int)"))
     rows = rows.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
