@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -28,6 +28,19 @@ def ceilings(results: DataFrame, most: int) -> DataFrame:
     return results.groupBy("case_id").agg(F.count("*").alias("n")).withColumn("passed", F.col("n") <= most)
 
 
+def forbidden(results: DataFrame, banned: DataFrame, k: int = 10) -> DataFrame:
+    """EVAL-7: per case of (case_id, id, rank), how many forbidden (case_id, id) are in the first k."""
+    hit = results.where(F.col("rank") <= k).join(banned.select("case_id", "id").distinct(), ["case_id", "id"], "left_semi")
+    bad = hit.groupBy("case_id").agg(F.count("*").alias("_n"))
+    return results.select("case_id").distinct().join(bad, "case_id", "left").select("case_id", F.coalesce("_n", F.lit(0)).alias("found"), F.col("_n").isNull().alias("passed"))
+
+
+def confidence_ceiling(results: DataFrame, most: Column) -> DataFrame:
+    """EVAL-7: per case, the best score against a ceiling; a case without scores passes."""
+    best = results.groupBy("case_id").agg(F.max("score").alias("best"), F.max(most).alias("most"))
+    return best.select("case_id", "best", F.coalesce(F.col("best") <= F.col("most"), F.lit(True)).alias("passed"))
+
+
 def run_metrics(verdicts: DataFrame) -> DataFrame:
     """EVAL-9: per run: share passed, cases, mean precision, latency percentiles by nearest rank."""
     return verdicts.groupBy("run_id").agg(

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,35 +10,65 @@ def members(c: Column) -> Column:
     return F.split(F.regexp_replace(c, r"\s*,\s*", ","), ",")
 
 
-def op_eq(c: Column, v: str) -> Column:
-    """FILT-2: equal text, or a member of a comma list."""
+def _list(vs: list[str] | Column) -> Column:
+    return vs if isinstance(vs, Column) else F.array(*map(F.lit, vs))
+
+
+def op_eq(c: Column, v: str | Column) -> Column:
+    """FILT-2: equal text, or a member of a comma list. Values of all these may be columns."""
     return (c == v) | F.array_contains(members(c), v)
 
 
-def op_neq(c: Column, v: str) -> Column:
+def op_neq(c: Column, v: str | Column) -> Column:
     """FILT-3: not equal; a missing field drops the row."""
     return ~op_eq(c, v)
 
 
-def op_cmp(c: Column, op: str, v: float) -> Column:
+def op_cmp(c: Column, op: str, v: float | Column) -> Column:
     """FILT-4: gt, gte, lt or lte on numeric text; other text doesn't match."""
     n = c.try_cast("double")
     return {"gt": n > v, "gte": n >= v, "lt": n < v, "lte": n <= v}[op]
 
 
-def op_in(c: Column, vs: list[str]) -> Column:
+def op_in(c: Column, vs: list[str] | Column) -> Column:
     """FILT-5: any of the values."""
-    return c.isin(vs) | F.arrays_overlap(members(c), F.array(*map(F.lit, vs)))
+    return F.array_contains(_list(vs), c) | F.arrays_overlap(members(c), _list(vs))
 
 
-def op_contains_all(c: Column, vs: list[str]) -> Column:
+def op_contains_all(c: Column, vs: list[str] | Column) -> Column:
     """FILT-6: every value is a substring, whatever the case."""
-    return reduce(lambda a, b: a & b, [F.contains(F.lower(c), F.lit(v.lower())) for v in vs])
+    return F.forall(_list(vs), lambda v: F.contains(F.lower(c), F.lower(v)))
 
 
-def op_contains_any(c: Column, vs: list[str]) -> Column:
+def op_contains_any(c: Column, vs: list[str] | Column) -> Column:
     """FILT-7: some value is a substring, whatever the case."""
-    return reduce(lambda a, b: a | b, [F.contains(F.lower(c), F.lit(v.lower())) for v in vs])
+    return F.exists(_list(vs), lambda v: F.contains(F.lower(c), F.lower(v)))
+
+
+def _holds(text: Column, items: Column, op: Column, vs: Column) -> Column:
+    """One predicate on a field that is text or, where ``items`` isn't null, an array."""
+    first, listed = F.get(vs, F.lit(0)), items.isNotNull()
+    number = lambda how: ~listed & op_cmp(text, how, first.try_cast("double"))
+    same = F.when(listed, F.array_contains(items, first)).otherwise(op_eq(text, first))
+    out = F.when(op == "eq", same).when(op == "neq", ~same).when(op == "in", F.when(listed, F.arrays_overlap(items, vs)).otherwise(op_in(text, vs)))
+    for how in ("gt", "gte", "lt", "lte"):
+        out = out.when(op == how, number(how))
+    every = F.when(listed, F.size(F.array_except(vs, items)) == 0).otherwise(op_contains_all(text, vs))
+    some = F.when(listed, F.arrays_overlap(items, vs)).otherwise(op_contains_any(text, vs))
+    return out.when(op.isin("contains", "containsAll"), every).when(op == "containsAny", some)
+
+
+def match_filters(pairs: DataFrame, records: DataFrame, filters: DataFrame) -> DataFrame:
+    """FILT-2 to 7 over tables: the (query_id, id) pairs whose record passes all filters of the query.
+
+    records: id, texts map<string,string>, lists map<string,array<string>>; filters: query_id,
+    field, op, values array<string>, the only value of eq, neq and comparisons first. A missing
+    field, an unknown op and a comparison of no number don't pass; a query without filters
+    keeps its pairs."""
+    wanted = filters.groupBy("query_id").agg(F.collect_list(F.struct("field", "op", "values")).alias("f"))
+    rows = pairs.join(wanted, "query_id", "left").join(records.select("id", "texts", "lists"), "id")
+    passes = lambda f: F.coalesce(_holds(F.try_element_at("texts", f["field"]), F.try_element_at("lists", f["field"]), f["op"], f["values"]), F.lit(False))
+    return rows.where(F.coalesce(F.forall("f", passes), F.lit(True))).select("query_id", "id")
 
 
 def hide_items(records: DataFrame, name: str, keys: list[str], pattern: str = r"(?i)^\s*N\.R(\.|\s|$)") -> DataFrame:

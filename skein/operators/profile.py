@@ -111,8 +111,21 @@ def merge_capabilities(profiles: DataFrame, k: int = 50) -> DataFrame:
     return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def _grams(c: Column, n: int) -> Column:
+    return F.when(F.length(c) >= n, F.transform(F.sequence(F.lit(1), F.length(c) - n + 1), lambda i: F.substring(c, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+
+
 def suggest_values(values: DataFrame, queries: DataFrame, n: int = 10) -> DataFrame:
-    """PROF-15: values of a field that contain the query's text; both have column norm."""
-    hits = values.join(queries.withColumnRenamed("norm", "q"), "field").where(F.contains("norm", "q"))
+    """PROF-15: values of a field that contain the query's text; both have column norm.
+
+    Values are looked up by the query's rarest three letters in a row, by the text itself if
+    it is shorter; an empty text finds all values."""
+    grams = F.array_distinct(F.concat(F.array(F.lit("")), *(_grams(F.col("norm"), k) for k in (1, 2, 3))))
+    index = values.select("field", "value", "norm", F.explode(grams).alias("gram"))
+    counts = index.groupBy("field", "gram").agg(F.count("*").alias("n"))
+    asked = queries.select("query_id", "field", F.col("norm").alias("q"))
+    keys = asked.select("*", F.explode(F.when(F.length("q") >= 3, _grams(F.col("q"), 3)).otherwise(F.array("q"))).alias("gram"))
+    rarest = keys.join(counts, ["field", "gram"], "left").groupBy("query_id", "field", "q").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("gram"))
+    hits = rarest.join(index, ["field", "gram"]).where(F.contains("norm", "q"))
     w = Window.partitionBy("query_id").orderBy("value")
     return hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n).select("query_id", "value", "rank")

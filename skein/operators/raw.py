@@ -106,6 +106,15 @@ def delete_rows(stored: DataFrame, ids: DataFrame, keys: list[str]) -> DataFrame
     return stored.join(ids.select(*keys).distinct(), keys, "left_anti")
 
 
+def delete_parents(stored: DataFrame, parents: DataFrame, id_: str, payload: str, path: str = "$.productId") -> DataFrame:
+    """RAW-13: without some parents (their ids in the same column) and without the rows whose
+    payload names one of them; rows with neither id nor parent stay."""
+    gone = parents.select(F.col(id_).cast("string").alias("_gone")).distinct()
+    rows = stored.withColumn("_parent", F.get_json_object(payload, path)).withColumn("_own", F.col(id_).cast("string"))
+    left = rows.join(gone, F.col("_own") == F.col("_gone"), "left_anti").join(gone, F.col("_parent") == F.col("_gone"), "left_anti")
+    return left.drop("_parent", "_own")
+
+
 def classify_tables(catalog: DataFrame) -> DataFrame:
     """RAW-14: role of each table of a column catalog (table, column, is_pk, is_fk)."""
     n = lambda c: F.count_if(c)
