@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from skein.llm.common import read
 from skein.llm.decontaminate import decontaminate
+from skein.llm.fingerprints import fingerprint_documents
 from skein.llm.gru_lm import score_documents
 from skein.llm.jaccard_join import jaccard_join
 from skein.llm.license_scan import scan_licenses
@@ -58,6 +59,10 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(read(spark, sf_dir, "documents"))
 
 
+def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint_documents(read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_token_counts": op2_token_counts,
@@ -69,6 +74,7 @@ QUERIES = {
     "op8_pieces": op8_pieces,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_jaccard_join": op10_jaccard_join,
+    "op13_fingerprints": op13_fingerprints,
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
