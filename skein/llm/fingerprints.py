@@ -95,14 +95,17 @@ def likeness(a: Column, b: Column, bins: int = BINS) -> Column:
 
 
 def with_fingerprint(df: DataFrame, text: str, name: str, width: int = 5) -> DataFrame:
-    """df with the fingerprint of a text column, one step a projection so that each is computed once."""
+    """df with the fingerprint of a text column, one step a projection so that each is computed once.
+
+    The last step is a generator of one row: filters on the fingerprint stop there, as their
+    conditions would grow manifold on their way through the steps."""
     w, h, v, b = (f"__{x}_{name}" for x in "whvb")
     df = df.withColumn(w, F.transform(words_of(F.col(text)), lambda x: F.xxhash64(x)))
     df = df.withColumn(h, F.sort_array(shingle_hashes(F.col(w), width))).drop(w)
     df = df.withColumn(v, least_of_bins(F.col(h))).drop(h)
     df = df.withColumn(b, F.transform(v, lambda x: _bin(x, BINS)))
     df = df.withColumn(v, spread(F.col(v), F.col(b)))
-    return df.withColumn(name, packed(F.col(v), F.col(b))).drop(v, b)
+    return df.withColumn(name, F.explode(F.array(packed(F.col(v), F.col(b))))).drop(v, b)
 
 
 def _blocks(rows: DataFrame) -> tuple[list[int], list[int]]:

@@ -10,6 +10,7 @@ from skein.llm.fingerprints import fingerprint_documents
 from skein.llm.gru_lm import score_documents
 from skein.llm.jaccard_join import jaccard_join
 from skein.llm.license_scan import scan_licenses
+from skein.llm.periodic_runs import run_digests
 from skein.llm.pieces import encode_documents
 from skein.llm.quality_classifier import classify
 from skein.llm.quality_rules import quality_rules
@@ -59,6 +60,10 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(read(spark, sf_dir, "documents"))
 
 
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_digests(read(spark, sf_dir, "documents"))
+
+
 def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_documents(read(spark, sf_dir, "documents"))
 
@@ -74,6 +79,7 @@ QUERIES = {
     "op8_pieces": op8_pieces,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_jaccard_join": op10_jaccard_join,
+    "op12_periodic_runs": op12_periodic_runs,
     "op13_fingerprints": op13_fingerprints,
 }
 
