@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from skein.llm.common import read
 from skein.llm.decontaminate import decontaminate
+from skein.llm.filter_audit import audit_filters
 from skein.llm.fingerprints import fingerprint_documents
 from skein.llm.gru_lm import score_documents
 from skein.llm.jaccard_join import jaccard_join
@@ -60,6 +61,10 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(read(spark, sf_dir, "documents"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit_filters(spark, f"{sf_dir}/documents.parquet", read(spark, sf_dir, "labels"))
+
+
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_digests(read(spark, sf_dir, "documents"))
 
@@ -79,6 +84,7 @@ QUERIES = {
     "op8_pieces": op8_pieces,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_jaccard_join": op10_jaccard_join,
+    "op11_filter_audit": op11_filter_audit,
     "op12_periodic_runs": op12_periodic_runs,
     "op13_fingerprints": op13_fingerprints,
 }
@@ -87,7 +93,33 @@ _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghi
 _FOLDED = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 _PLAIN = rf"regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+')"
 
+_MARKS = r"regexp_extract_all(t, '[^\x20\x09-\x0D]+')"
+
 SQL: dict[str, str] = {
+    "op11_filter_audit": f"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents),
+l AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+w AS (SELECT doc_id, part, t, {_MARKS} AS w, min(doc_id) OVER (PARTITION BY t) AS first FROM d),
+f AS (
+  SELECT part, coalesce(l.good, false) AS good, coalesce(l.toxic, false) AS toxic,
+    CASE WHEN len(w) < 50 THEN 1 ELSE 0 END + CASE WHEN 100 * len(list_distinct(w)) < 65 * len(w) THEN 2 ELSE 0 END
+    + CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * length(t) THEN 4 ELSE 0 END
+    + CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 8 ELSE 0 END + CASE WHEN w.doc_id > first THEN 16 ELSE 0 END AS mask
+  FROM w LEFT JOIN l ON l.doc_id = w.doc_id),
+c AS (SELECT part, mask, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM f GROUP BY part, mask),
+x(k, b) AS (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)),
+o AS (
+  SELECT p.k || q.k || r.k || s.k || u.k AS filter_order, unnest([1, 2, 3, 4, 5]) AS step, unnest([p.b, q.b, r.b, s.b, u.b]) AS bit,
+    unnest([0, p.b, p.b + q.b, p.b + q.b + r.b, p.b + q.b + r.b + s.b]) AS before
+  FROM x p JOIN x q ON q.k <> p.k JOIN x r ON r.k NOT IN (p.k, q.k) JOIN x s ON s.k NOT IN (p.k, q.k, r.k) JOIN x u ON u.k NOT IN (p.k, q.k, r.k, s.k)),
+rows AS (
+  SELECT part, filter_order, step, bit, n, good, toxic, mask, (mask & bit) > 0 AS fails, (mask & before) > 0 AS gone FROM c, o),
+steps AS (
+  SELECT part, filter_order, step, bit, CAST(coalesce(sum(n) FILTER (NOT fails AND NOT gone), 0) AS BIGINT) AS kept, CAST(coalesce(sum(n) FILTER (fails AND NOT gone), 0) AS BIGINT) AS removed,
+    CAST(coalesce(sum(n) FILTER (fails AND gone), 0) AS BIGINT) AS redundant, CAST(coalesce(sum(n) FILTER (mask = bit), 0) AS BIGINT) AS unique_fails,
+    CAST(coalesce(sum(good) FILTER (fails AND NOT gone), 0) AS BIGINT) AS good_lost, CAST(coalesce(sum(toxic) FILTER (fails AND NOT gone), 0) AS BIGINT) AS toxic_lost
+  FROM rows GROUP BY part, filter_order, step, bit)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, bit) AS BIGINT) AS shapley FROM steps""",
     "op4_decontaminate": f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_FOLDED} AS w FROM documents),
 i AS (SELECT CAST(item_id AS VARCHAR) AS item_id, {_FOLDED} AS w FROM benchmark),
