@@ -6,7 +6,9 @@ INI, JavaScript and Go forms). A type between name and mark (``name: type =``, G
 ``name type =``) is no target; string prefixes and triple quotes belong to a literal;
 literals joined by ``+`` or standing side by side are one value; a YAML block (``name: |``)
 is the lines that are indented deeper; the text of an XML element has the element's name.
-When all assignments are known, references are followed (constant propagation) to the
+A comparison (``name == "literal"``) gives its literal to the name as an assignment does; of
+a credential with its scheme (``Bearer ...``) only the credential counts; a template that is
+filled from variables needs six characters of its own; a bare value ends at "&". When all assignments are known, references are followed (constant propagation) to the
 last assignment of that name before them, or the first one after them, so a literal
 gets the names of all targets that it reaches. A reference that leads to no literal is
 never reported: variables ($NAME), calls, attributes, and bare names where code would
@@ -18,8 +20,9 @@ as kind ``lexed``. Three base kinds are always reported beside them: ``assign``,
 ``access`` and ``hex``. Spans count code points, ends are exclusive.
 
 Defined results: null or empty text has no spans; equal spans of different kinds are
-all listed, in the order of KINDS; repeated rows each get their own result; very long
-texts and names are lexed whole (a type, or a Go declaration, takes 400 characters at most).
+all listed, in the order of KINDS; repeated rows each get their own result; an empty table
+gives no rows; very long texts, lines and names are lexed whole, in time and memory that
+grow as their length (a type, or a Go declaration, takes 400 characters at most).
 """
 
 from __future__ import annotations
@@ -51,17 +54,22 @@ _HINTS = ("passw", "secret", "token", "apikey", "api_key")
 SENSITIVE = {
     "password": 1.0, "passwd": 1.0, "passphrase": 1.0, "pwd": 0.9, "secret": 1.0, "token": 0.9, "apikey": 1.0,
     "credential": 0.9, "credentials": 0.9, "privatekey": 1.0, "accesskey": 1.0, "secretkey": 1.0, "signingkey": 1.0,
-    "clientsecret": 1.0, "auth": 0.6, "bearer": 0.8, "pass": 0.7, "dsn": 0.6,
+    "clientsecret": 1.0, "auth": 0.6, "authorization": 0.9, "bearer": 0.8, "pass": 0.7, "dsn": 0.6,
 }
 # Values that stand for a secret without being one.
 PLACEHOLDERS = {"changeme", "example", "password", "secret", "none", "null", "true", "false", "undefined", "todo", "xxxxxx", "your_token_here", "placeholder", "dummy"}
 
-_MARK = re.compile(r":=|=>|[=:]")
+_MARK = re.compile(r"[!=]==?|:=|=>|[=:]")
 _NAME_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_.-")
 _PREFIX = r"""(?:[rRbBuUfFtT]{1,2}|[@$]{1,2}|[LN]|String\.raw)(?=["'`])"""
 _QUOTED = r""""(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|`[^`\n]*`"""
-_VALUE = re.compile(rf"""[ \t]*(?:(?:{_PREFIX})?({_QUOTED})|(\$\{{?[A-Za-z_][A-Za-z0-9_]*\}}?|\$\(|%[A-Za-z_][A-Za-z0-9_]*%)|([A-Za-z0-9_./+=$@!%^&*~\-]+))""")
+#: A bare value: "&" ends it, as in k=v&k=v, and "=" stands at its end only.
+_BARE = r"[A-Za-z0-9_./+$@!%^*~\-]+(?:={1,2}(?![A-Za-z0-9_./+$@!%^*~\-=\"'`{(\[]))?"
+_VALUE = re.compile(rf"""[ \t]*(?:(?:{_PREFIX})?({_QUOTED})|(\$\{{?[A-Za-z_][A-Za-z0-9_]*\}}?|\$\(|%[A-Za-z_][A-Za-z0-9_]*%)|({_BARE}))""")
 _MORE = re.compile(rf"""[ \t]*(?:\+[ \t]*)?(?:\\?\n[ \t]*)?(?:\+[ \t]*)?(?:{_PREFIX})?({_QUOTED})""")
+# The schemes that stand before a credential.
+_SCHEME = re.compile(r"(?:Bearer|Basic|Token|Digest)[ \t]+([A-Za-z0-9_./+~\-]{6,}={0,2})", re.IGNORECASE)
+_FILLED = re.compile(r"\$?\{[^{}]*\}")
 _WORD = re.compile(r"[A-Za-z_][A-Za-z0-9_]*")
 _PATH = re.compile(r"[A-Za-z_][A-Za-z0-9_]*(?:\.[A-Za-z_][A-Za-z0-9_]*)+")
 _BLOCK = re.compile(r"[ \t]*[|>][+-]?[0-9]?[+-]?[ \t]*\n")
@@ -143,6 +151,11 @@ def typed_target(text: str, begin: int, end: int) -> tuple[str, int] | None:
     return None
 
 
+def credential(word: str) -> bool:
+    """Whether a bare word behind a scheme is no word of prose."""
+    return len(word) >= 24 or any(c.isdigit() for c in word) and any(c.isalpha() for c in word)
+
+
 class Assignment(NamedTuple):
     name: str
     start: int
@@ -169,10 +182,16 @@ def value_after(text: str, mark: re.Match) -> tuple[int, int, str, str | None] |
             parts.append(more.group(1)[1:-1])
             end, got = more.end(1) - 1, more
             more = _MORE.match(text, more.end(1))
-        return start, end, "".join(parts), None
+        literal = "".join(parts)
+        if scheme := _SCHEME.fullmatch(literal) if len(parts) == 1 else None:
+            return start + scheme.start(1), end, scheme.group(1), None
+        filled = quote == "`" or "f" in text[mark.end() : start - 1].lower()
+        return start, end, literal if not filled or len(_FILLED.sub("", literal)) >= 6 else "", None
     if got.group(2):
         return *got.span(2), "", got.group(2).strip("${}%(") or None
     start, end = got.span(3)
+    if (scheme := _SCHEME.match(text, start)) and credential(scheme.group(1)):
+        return *scheme.span(1), scheme.group(1), None
     value, after = got.group(3), text[end : end + 1]
     if _PATH.fullmatch(value) or after in ("(", "[") and value[:1].isalpha():
         return start, end, "", value
@@ -208,9 +227,10 @@ def lex(text: str) -> list[Assignment]:
     """The assignments of a text, in the order of their marks."""
     found: dict[int, list[Assignment]] = {}
     colons: dict[int, int] = {}  # start of the value: place of the colon
-    line = last = 0  # starts of the line, and of what stands behind the last "="
+    line = last = seen = 0  # starts of the line, and of what stands behind the last "=" and the last mark
     for mark in _MARK.finditer(text):
-        line = max(line, text.rfind("\n", line, mark.start()) + 1)
+        line = max(line, text.rfind("\n", seen, mark.start()) + 1)
+        seen = mark.end()
         begin = max(line, last)
         if mark.group() != ":":
             last = mark.end()
@@ -252,8 +272,8 @@ def lexed_spans(text: str, min_score: float) -> list[tuple[int, int]]:
         while at not in ends and every[at].refers in places:
             of = places[every[at].refers]
             j = bisect_left(of, at)
-            after = of[j + (of[j] == at) :][:1] if j < len(of) else []
-            to = of[j - 1] if j else after[0] if after else at
+            after = j + (j < len(of) and of[j] == at)
+            to = of[j - 1] if j else of[after] if after < len(of) else at
             if to in way:  # names in a ring
                 break
             at = to

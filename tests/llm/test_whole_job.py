@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 import re
 from collections import Counter
 
@@ -94,6 +95,38 @@ def test_base_spans_are_those_of_the_patterns(spark, sf):
     assert min(seen.values()) > 20
 
 
+def test_bare_values_end_where_they_should():
+    for text, found in [
+        ("https://x.org/a?token=abcdef123456&user=bob&page=2&sort=asc", ["abcdef123456"]),
+        ("password=hunter2abc&next=/home", ["hunter2abc"]),
+        ("password=YWJjZGVmZw==\n", ["YWJjZGVmZw=="]),
+        ('token = f"{a}{b}"', []),
+        ('token = f"abc123def{b}"', ["abc123def{b}"]),
+        ("token = `${a}`", []),
+        ('if token == "abc123def":', ["abc123def"]),
+        ('if (secret !== "zx81spectrum") {}', ["zx81spectrum"]),
+        ("Authorization: Bearer abc123def456ghi", ["abc123def456ghi"]),
+        ('"Authorization": "Bearer abc123def456ghi"', ["abc123def456ghi"]),
+        ("Authorization: Basic authentication is needed", []),
+    ]:
+        assert [text[s:e] for s, e in lexed_spans(text, 0.5)] == found, text
+    url = "https://x.org/a?token=abcdef123456&user=bob"
+    assert redact(url, 0.5, "[secret]").endswith("[secret]&user=bob")
+
+
+@pytest.mark.parametrize("bit", ["k{}=v{}x&", "x=", "a: ", "token=abc=", '"a{}": "b{}", ', "token: Bearer a1 ", "<a>b</a>"])
+def test_work_grows_as_the_line(bit):
+    """Four times the text in one line takes less than eight times the time."""
+    def seconds(n):
+        text = "".join(bit.replace("{}", str(i)) for i in range(n))
+        began = time.process_time()
+        lexed_spans(text, 0.5)
+        return time.process_time() - began
+
+    few, many = min(seconds(10_000) for _ in range(2)), min(seconds(40_000) for _ in range(2))
+    assert many < max(8 * few, 0.5)
+
+
 def test_typed_secret_is_masked():
     text = 'name: str = "harmless12"\npassword: str = "s3cretvalue"'
     assert redact(text, 0.5, "#") == 'name: str = "harmless12"\npassword: str = "#"'
