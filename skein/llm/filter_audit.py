@@ -1,18 +1,19 @@
 """Filter interaction audit: what each order of five filters removes, part by part.
 
-The documents are streamed: all files in available-now micro-batches of bounded size.
-Each text gets a mask of the filters A to D that it fails. Whether it fails E (some
-smaller id has the same text) can change with every later file, so the state of a text,
-keyed by its digest, is the least id so far and what its rows count for. When a smaller id
-arrives, the rows that stood for the text are taken back from their part's counter and
-counted again with E in their mask; larger ids count with E at once. Every micro-batch
-adds its sums of such changes, a few rows a part, to a ledger of its own number (a
-repeated micro-batch writes the same place again), and the counters are the ledger's sums.
-All orders of the filters follow from the counters of the 32 masks.
-
-Rows of a text are summed within each task before they meet in its state, so a text that a
-third of all rows repeat sends a few rows a task, not its copies. State, checkpoints and
-ledger lie in the shared folder, the state in RocksDB: lost executors resume from there.
+The documents are streamed: all files in ``MICRO_BATCHES`` available-now micro-batches (or
+fewer). Each text gets a mask of the filters A to D that it fails. Whether it fails E (some
+smaller id has the same text) can change with every later file, so there is a state, keyed
+by the text's digest: the least id so far and the rows that stand for it. When a smaller id
+arrives, these rows are taken back from their part's counter and counted again with E in
+their mask; larger ids count with E at once. Every micro-batch adds its sums of such
+changes, a few rows a part, to a ledger, and the counters are the ledger's sums. All orders
+of the filters follow from the counters of the 32 masks.
+
+Rows of a text are summed within each task before they meet its state, so a text that a
+third of all rows repeat sends a few rows a task, not its copies. State and ledger are
+tables in the shared folder, of a number for each micro-batch: one that is repeated reads
+the state of the number before and writes its own place again. (State in the stream's own
+store, by ``applyInPandasWithState``, took 6 ms of Python for each text.)
 
 Defined results: a null text is empty, a null source the empty part. A null id is neither
 smaller than another nor larger: its row never fails E. Rows of equal id and text count
@@ -23,10 +24,9 @@ a folder without files, gives no rows. Of other columns nothing is read.
 
 from __future__ import annotations
 
-import json
 import re
 import uuid
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Callable, Iterator
 from hashlib import blake2b
 from itertools import permutations
@@ -34,25 +34,20 @@ from itertools import permutations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
+from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
 from skein.llm.common import give_back, pieces, plain_words, shared_dir
 
 LETTERS = "ABCDE"
-#: Bytes of input files that each core gets in a micro-batch.
-BYTES_A_CORE = 64 << 20
+#: Micro-batches that the files are dealt over; each rewrites the state, some 60 bytes a text.
+MICRO_BATCHES = 8
 #: Sums that a task holds at most before it passes them on.
 MOST_SUMS = 100_000
 _UPPER = bytes(range(65, 91))
 _ODD = re.compile(rb"[#$%&*|]")
-_STORE = {
-    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
-    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
-    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
-    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "300",
-}
+_FLAGS = "k long, quality boolean, bad boolean"
 
 
 def failed(text: bytes) -> int:
@@ -121,57 +116,51 @@ def _combined(rows: DataFrame) -> DataFrame:
     return _summed(rows, "digest binary, mask int, part string, good boolean, toxic boolean, n long, first long, n_first long", add, lambda k, v: (*k[:5], *v))
 
 
-def _changes(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-    """What one text's new rows change: rows (part, mask, good, toxic, n), n < 0 where taken back."""
-    rows = [r for f in frames for r in zip(*(f[c].tolist() for c in ("mask", "part", "good", "toxic", "n", "first", "n_first", "known")))]
-    before, held = state.get if state.exists else (None, "[]")
-    ids = [r[5] for r in rows if r[7]] + ([before] if before is not None else [])
-    first, changes, now = min(ids, default=None), defaultdict(int), defaultdict(int)
-    for mask, part, good, toxic, n, least, at_least, known in rows:
-        free = (at_least if least == first else 0) if known else n
-        changes[part, mask, good, toxic] += free
-        changes[part, mask | 16, good, toxic] += n - free
-        if known and free:
-            now[part, mask, good, toxic] += free
-    for part, mask, good, toxic, n in json.loads(held):
-        if before == first:
-            now[part, mask, good, toxic] += n
-        else:  # a smaller id has come
-            changes[part, mask, good, toxic] -= n
-            changes[part, mask | 16, good, toxic] += n
-    if first is not None:
-        state.update((first, json.dumps([[*k, n] for k, n in now.items()])))
-    out = [(*k, n) for k, n in changes.items() if n]
-    yield pd.DataFrame(out, columns=["part", "mask", "good", "toxic", "n"])
-
-
-def mask_counters(spark: SparkSession, path: str, labels: DataFrame, batch_bytes: int | None = None, schema: str = "doc_id long, text string, source string") -> DataFrame:
-    """The ledger of changes (batch, part, mask, good, toxic, n) of all Parquet files at ``path``."""
+def _met(rows: DataFrame, state: DataFrame | None) -> DataFrame:
+    """New rows of texts and those that stand for them so far (``old``), with each text's least id ``least``."""
+    new = rows.withColumn("old", F.lit(False))
+    if state is not None:
+        new = new.unionByName(state.select(*rows.columns, F.lit(True).alias("old")))
+    return new.withColumn("least", F.min("first").over(Window.partitionBy("digest")))
+
+
+def standing(met: DataFrame) -> DataFrame:
+    """The rows of ``_met`` that stand for their text from now on: those of its least id."""
+    return met.where("first = least").withColumn("n", F.col("n_first"))
+
+
+def changes(met: DataFrame) -> DataFrame:
+    """(part, mask, good, toxic, n): what the rows of ``_met`` add to the counters, n < 0 where taken back."""
+    first = F.when(F.col("first").isNull(), F.col("n")).when(F.col("first") == F.col("least"), F.col("n_first")).otherwise(0)
+    now = F.array(F.struct(F.col("mask"), first.alias("n")), F.struct(F.col("mask").bitwiseOR(F.lit(16)).alias("mask"), (F.col("n") - first).alias("n")))
+    back = F.array(F.struct(F.col("mask"), (-F.col("n")).alias("n")), F.struct(F.col("mask").bitwiseOR(F.lit(16)).alias("mask"), F.col("n")))
+    none = F.array().cast("array<struct<mask: int, n: bigint>>")
+    each = F.when(~F.col("old"), now).when(F.col("first") > F.col("least"), back).otherwise(none)
+    rows = met.select("part", "good", "toxic", F.explode(each).alias("c")).select("part", "c.mask", "good", "toxic", "c.n").where("n <> 0")
+    return rows.groupBy("part", "mask", "good", "toxic", (F.col("n") < 0).alias("back")).agg(F.sum("n").alias("n"))
+
+
+def mask_counters(spark: SparkSession, path: str, labels: DataFrame, batches: int = MICRO_BATCHES, schema: str = "doc_id long, text string, source string") -> DataFrame:
+    """The ledger of changes (batch, part, mask, good, toxic, back, n) of all Parquet files at ``path``."""
     home = f"{shared_dir(spark)}/skein-{uuid.uuid4().hex}"
-    flag = lambda c: F.coalesce(F.bool_or(F.col(c) == 1), F.lit(False)).alias(c)
-    known = labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("k")).agg(flag("quality"), flag("toxic")).where("quality or toxic")
+    flag = lambda c, name: F.coalesce(F.bool_or(F.col(c) == 1), F.lit(False)).alias(name)
+    known = labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("k")).agg(flag("quality", "quality"), flag("toxic", "bad")).where("quality or bad")
     known.write.parquet(f"{home}/labels")
-    one = spark.newSession()
-    for k, v in {"spark.sql.shuffle.partitions": spark.conf.get("spark.sql.shuffle.partitions"), **_STORE}.items():
-        one.conf.set(k, v)
-    size = batch_bytes or BYTES_A_CORE * max(2, spark.sparkContext.defaultParallelism)
+    files = len(spark.read.schema(schema).parquet(path).inputFiles())
     # as a pattern, the path may name a single file too
-    source = one.readStream.schema(schema).option("maxBytesPerTrigger", str(size)).parquet(f"{path[:-1]}[{path[-1]}]")
-    flags = one.read.schema("k long, quality boolean, toxic boolean").parquet(f"{home}/labels").withColumnRenamed("toxic", "bad")
-    key = F.coalesce("doc_id", F.xxhash64("digest"))  # rows without id are spread
-    rows = _measured(source).join(flags, key == F.col("k"), "left")
+    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", max(1, -(-files // batches))).parquet(f"{path[:-1]}[{path[-1]}]")
     has = lambda c: F.coalesce(F.col(c) & F.col("doc_id").isNotNull(), F.lit(False))
-    rows = rows.select("doc_id", "part", "digest", "mask", "n", has("quality").alias("good"), has("bad").alias("toxic"))
-    sums = _combined(rows).withColumns({"known": F.col("first").isNotNull(), "first": F.coalesce("first", F.lit(0))})
-    changes = sums.groupBy("digest").applyInPandasWithState(
-        _changes, "part string, mask int, good boolean, toxic boolean, n long", "first long, held string", "append", GroupStateTimeout.NoTimeout
-    )
 
-    def write(batch: DataFrame, number: int) -> None:
-        added = batch.groupBy("part", "mask", "good", "toxic", (F.col("n") < 0).alias("back")).agg(F.sum("n").alias("n"))
-        added.write.mode("overwrite").parquet(f"{home}/ledger/batch={number}")
+    def add(batch: DataFrame, number: int) -> None:
+        own = batch.sparkSession
+        key = F.coalesce("doc_id", F.xxhash64("digest"))  # rows without id are spread
+        rows = _measured(batch).join(own.read.schema(_FLAGS).parquet(f"{home}/labels"), key == F.col("k"), "left")
+        rows = _combined(rows.select("doc_id", "part", "digest", "mask", "n", has("quality").alias("good"), has("bad").alias("toxic")))
+        state = standing(own.read.schema(met_schema(rows)).parquet(f"{home}/met/{number - 1}")) if number else None
+        _met(rows, state).write.mode("overwrite").parquet(f"{home}/met/{number}")
+        changes(own.read.schema(met_schema(rows)).parquet(f"{home}/met/{number}")).write.mode("overwrite").parquet(f"{home}/ledger/batch={number}")
 
-    query = changes.writeStream.foreachBatch(write).option("checkpointLocation", f"{home}/checkpoint").trigger(availableNow=True).start()
+    query = source.writeStream.foreachBatch(add).option("checkpointLocation", f"{home}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
     ledger = "part string, mask int, good boolean, toxic boolean, back boolean, n long, batch int"
     if not query.lastProgress:
@@ -179,6 +168,10 @@ def mask_counters(spark: SparkSession, path: str, labels: DataFrame, batch_bytes
     return spark.read.schema(ledger).parquet(f"{home}/ledger")
 
 
+def met_schema(rows: DataFrame) -> StructType:
+    return StructType([*rows.schema.fields, StructField("old", BooleanType()), StructField("least", LongType())])
+
+
 def all_orders() -> list[tuple[str, int, int, int]]:
     """(order, step, bit of the step's filter, mask of the filters before) of all 120 orders."""
     out = []
@@ -217,6 +210,6 @@ def order_report(counters: DataFrame) -> DataFrame:
     return parts.mapInPandas(run, "part string, filter_order string, step int, " + ", ".join(f"{x} long" for x in names))
 
 
-def audit_filters(spark: SparkSession, path: str, labels: DataFrame, batch_bytes: int | None = None) -> DataFrame:
+def audit_filters(spark: SparkSession, path: str, labels: DataFrame, batches: int = MICRO_BATCHES) -> DataFrame:
     """part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, shapley."""
-    return order_report(mask_counters(spark, path, labels, batch_bytes))
+    return order_report(mask_counters(spark, path, labels, batches))

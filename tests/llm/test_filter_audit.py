@@ -79,7 +79,7 @@ def test_files_one_by_one(spark, tmp_path, ids):
         rows += [rows[3], rows[3]]  # repeated rows
     files = [rows[k : k + 20] for k in range(0, len(rows), 20)]
     path = folder(tmp_path, files)
-    ledger = fa.mask_counters(spark, path, labels_of(spark, rows), batch_bytes=1)
+    ledger = fa.mask_counters(spark, path, labels_of(spark, rows), batches=99)
     assert ledger.select("batch").distinct().count() == len(files)  # a file a micro-batch
     assert (ledger.where("n < 0").count() > 0) == (ids != "rising")  # earlier counts are taken back
     got = {(r[0], r[1], r[2]): list(r[3:]) for r in fa.order_report(ledger).collect()}
@@ -102,5 +102,5 @@ def test_single_file_and_empty(spark, tmp_path, sf):
 def test_very_long_text(spark, tmp_path):
     rows = [(1, "Word " * 400_000, "s", False, False), (0, "Word " * 400_000, "s", True, False)]
     path = folder(tmp_path, [rows[:1], rows[1:]])
-    got = {(r[0], r[1], r[2]): list(r[3:]) for r in fa.order_report(fa.mask_counters(spark, path, labels_of(spark, rows), 1)).collect()}
+    got = {(r[0], r[1], r[2]): list(r[3:]) for r in fa.order_report(fa.mask_counters(spark, path, labels_of(spark, rows), 2)).collect()}
     assert got == brute(rows)
