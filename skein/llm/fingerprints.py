@@ -23,6 +23,7 @@ ones are not read, so their names don't matter.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
@@ -118,17 +119,19 @@ def _blocks(rows: DataFrame) -> tuple[list[int], list[int]]:
     return [~d for d, _ in found], [h for _, h in found]
 
 
-def next_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", more: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, text, next_text) and, for each column of ``more``, its own and the next row's value.
+def next_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", more: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """(doc_id, text, next_text) and, for each column that ``more`` adds, its own and the next row's value.
 
     Next is in descending order of ids, then of the text's hash ascending; the last row's
     next is the first. The rows of a block are gathered once and sorted there."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), *more)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     rows = rows.withColumns({"__d": F.coalesce("doc_id", F.lit(_NONE)), "__h": F.xxhash64("text")})
     ids, hashes = _blocks(rows)
-    n = len(ids)
+    n, plain = len(ids), rows.columns
+    rows = more(rows) if more else rows
+    added = [c for c in rows.columns if c not in plain]
     if not n:
-        return rows.withColumn("next_text", F.col("text")).select("doc_id", "text", "next_text", *more, *(F.col(m).alias(f"next_{m}") for m in more))
+        return rows.withColumn("next_text", F.col("text")).select("doc_id", "text", "next_text", *added, *(F.col(m).alias(f"next_{m}") for m in added))
     known_ids, known_hashes = F.lit(np.array(ids, dtype=np.int64)), F.lit(np.array(hashes, dtype=np.int64))
     steps = F.array(*(F.lit(1 << k) for k in reversed(range(n.bit_length()))))
 
@@ -141,10 +144,10 @@ def next_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     own = F.struct(F.col("__b").alias("b"), F.lit(False).alias("sent"))
     before = F.struct(((F.col("__b") + (n - 1)) % n).alias("b"), F.lit(True).alias("sent"))
     rows = rows.withColumn("__to", F.explode(F.when(first, F.array(own, before)).otherwise(F.array(own))))
-    rows = rows.select("doc_id", "text", *more, "__d", "__h", F.col("__to.b").alias("__b"), F.col("__to.sent").alias("__sent"))
+    rows = rows.select("doc_id", "text", *added, "__d", "__h", F.col("__to.b").alias("__b"), F.col("__to.sent").alias("__sent"))
     line = Window.partitionBy("__b").orderBy("__sent", F.col("__d").desc(), "__h")
-    seen = rows.withColumns({"next_text": F.lead("text").over(line), **{f"next_{m}": F.lead(m).over(line) for m in more}})
-    return seen.where(~F.col("__sent")).select("doc_id", "text", "next_text", *more, *(f"next_{m}" for m in more))
+    seen = rows.withColumns({"next_text": F.lead("text").over(line), **{f"next_{m}": F.lead(m).over(line) for m in added}})
+    return seen.where(~F.col("__sent")).select("doc_id", "text", "next_text", *added, *(f"next_{m}" for m in added))
 
 
 def fingerprint_documents(docs: DataFrame, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -153,7 +156,7 @@ def fingerprint_documents(docs: DataFrame, width: int = 5, id_col: str = "doc_id
     The edited text has the last half of the code points (rounded down) replaced by the
     first as many of the next document, or by all that it has."""
     narrow = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    pairs = next_texts(with_fingerprint(narrow, "text", "fingerprint", width), more=("fingerprint",))
+    pairs = next_texts(narrow, more=lambda rows: with_fingerprint(rows, "text", "fingerprint", width))
     half = F.floor(F.col("n_chars") / 2).cast("int")
     edited = F.concat(F.left("text", F.col("n_chars").cast("int") - half), F.left("next_text", half))
     pairs = pairs.withColumn("n_chars", F.length("text").cast("long")).withColumn("edited", edited).drop("text", "next_text")
