@@ -5,14 +5,14 @@ fewer). Each text gets a mask of the filters A to D that it fails. Whether it fa
 smaller id has the same text) can change with every later file, so there is a state, keyed
 by the text's digest: the least id so far and the rows that stand for it. When a smaller id
 arrives, these rows are taken back from their part's counter and counted again with E in
-their mask; larger ids count with E at once. Every micro-batch adds its sums of such
-changes, a few rows a part, to a ledger, and the counters are the ledger's sums. All orders
-of the filters follow from the counters of the 32 masks.
+their mask; larger ids count with E at once. The counters are the sums of what all
+micro-batches add and take back. All orders of the filters follow from the counters of the
+32 masks.
 
 Rows of a text are summed within each task before they meet its state, so a text that a
-third of all rows repeat sends a few rows a task, not its copies. State and ledger are
-tables in the shared folder, of a number for each micro-batch: one that is repeated reads
-the state of the number before and writes its own place again. (State in the stream's own
+third of all rows repeat sends a few rows a task, not its copies. A micro-batch writes its
+rows and the state that they met to the shared folder, under its number: one that is
+repeated reads what the number before has left and writes its own place again. (State in the stream's own
 store, by ``applyInPandasWithState``, took 6 ms of Python for each text.)
 
 Defined results: a null text is empty, a null source the empty part. A null id is neither
@@ -36,17 +36,18 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
 from skein.llm.common import give_back, pieces, plain_words, shared_dir
 
 LETTERS = "ABCDE"
 #: Micro-batches that the files are dealt over; each rewrites the state, some 60 bytes a text.
-MICRO_BATCHES = 8
+MICRO_BATCHES = 4
 #: Sums that a task holds at most before it passes them on.
 MOST_SUMS = 100_000
 _UPPER = bytes(range(65, 91))
 _ODD = re.compile(rb"[#$%&*|]")
+_COMBINED = "digest binary, mask int, part string, good boolean, toxic boolean, n long, first long, n_first long"
+_MET = f"{_COMBINED}, old boolean, least long"
 _FLAGS = "k long, quality boolean, bad boolean"
 
 
@@ -113,7 +114,7 @@ def _combined(rows: DataFrame) -> DataFrame:
                 first, at_first = i, 0
             sums[key] = (rows + n, first, at_first + (n if i == first else 0))
 
-    return _summed(rows, "digest binary, mask int, part string, good boolean, toxic boolean, n long, first long, n_first long", add, lambda k, v: (*k[:5], *v))
+    return _summed(rows, _COMBINED, add, lambda k, v: (*k[:5], *v))
 
 
 def _met(rows: DataFrame, state: DataFrame | None) -> DataFrame:
@@ -130,18 +131,18 @@ def standing(met: DataFrame) -> DataFrame:
 
 
 def changes(met: DataFrame) -> DataFrame:
-    """(part, mask, good, toxic, n): what the rows of ``_met`` add to the counters, n < 0 where taken back."""
+    """(batch, part, mask, good, toxic, back, n): what the rows of ``_met`` add to the counters, n < 0 where taken back."""
     first = F.when(F.col("first").isNull(), F.col("n")).when(F.col("first") == F.col("least"), F.col("n_first")).otherwise(0)
     now = F.array(F.struct(F.col("mask"), first.alias("n")), F.struct(F.col("mask").bitwiseOR(F.lit(16)).alias("mask"), (F.col("n") - first).alias("n")))
     back = F.array(F.struct(F.col("mask"), (-F.col("n")).alias("n")), F.struct(F.col("mask").bitwiseOR(F.lit(16)).alias("mask"), F.col("n")))
     none = F.array().cast("array<struct<mask: int, n: bigint>>")
     each = F.when(~F.col("old"), now).when(F.col("first") > F.col("least"), back).otherwise(none)
-    rows = met.select("part", "good", "toxic", F.explode(each).alias("c")).select("part", "c.mask", "good", "toxic", "c.n").where("n <> 0")
-    return rows.groupBy("part", "mask", "good", "toxic", (F.col("n") < 0).alias("back")).agg(F.sum("n").alias("n"))
+    rows = met.select("batch", "part", "good", "toxic", F.explode(each).alias("c")).select("batch", "part", "c.mask", "good", "toxic", "c.n").where("n <> 0")
+    return rows.groupBy("batch", "part", "mask", "good", "toxic", (F.col("n") < 0).alias("back")).agg(F.sum("n").alias("n"))
 
 
 def mask_counters(spark: SparkSession, path: str, labels: DataFrame, batches: int = MICRO_BATCHES, schema: str = "doc_id long, text string, source string") -> DataFrame:
-    """The ledger of changes (batch, part, mask, good, toxic, back, n) of all Parquet files at ``path``."""
+    """What each micro-batch changes (``changes``) of all Parquet files at ``path``."""
     home = f"{shared_dir(spark)}/skein-{uuid.uuid4().hex}"
     flag = lambda c, name: F.coalesce(F.bool_or(F.col(c) == 1), F.lit(False)).alias(name)
     known = labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("k")).agg(flag("quality", "quality"), flag("toxic", "bad")).where("quality or bad")
@@ -156,20 +157,14 @@ def mask_counters(spark: SparkSession, path: str, labels: DataFrame, batches: in
         key = F.coalesce("doc_id", F.xxhash64("digest"))  # rows without id are spread
         rows = _measured(batch).join(own.read.schema(_FLAGS).parquet(f"{home}/labels"), key == F.col("k"), "left")
         rows = _combined(rows.select("doc_id", "part", "digest", "mask", "n", has("quality").alias("good"), has("bad").alias("toxic")))
-        state = standing(own.read.schema(met_schema(rows)).parquet(f"{home}/met/{number - 1}")) if number else None
-        _met(rows, state).write.mode("overwrite").parquet(f"{home}/met/{number}")
-        changes(own.read.schema(met_schema(rows)).parquet(f"{home}/met/{number}")).write.mode("overwrite").parquet(f"{home}/ledger/batch={number}")
+        state = standing(own.read.schema(_MET).parquet(f"{home}/met/batch={number - 1}")) if number else None
+        _met(rows, state).write.mode("overwrite").parquet(f"{home}/met/batch={number}")
 
     query = source.writeStream.foreachBatch(add).option("checkpointLocation", f"{home}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
-    ledger = "part string, mask int, good boolean, toxic boolean, back boolean, n long, batch int"
     if not query.lastProgress:
-        return spark.createDataFrame([], ledger)
-    return spark.read.schema(ledger).parquet(f"{home}/ledger")
-
-
-def met_schema(rows: DataFrame) -> StructType:
-    return StructType([*rows.schema.fields, StructField("old", BooleanType()), StructField("least", LongType())])
+        return changes(spark.createDataFrame([], f"{_MET}, batch int"))
+    return changes(spark.read.schema(f"{_MET}, batch int").parquet(f"{home}/met"))
 
 
 def all_orders() -> list[tuple[str, int, int, int]]:
