@@ -12,8 +12,8 @@ from skein.functions.text import normalize_identifier, normalize_text
 from skein.operators.rank import rrf
 from skein.operators.search import lexical_match, topk
 
-# Words that label a code.
-LABELS = ["sku", "c[oó]digo", "code", "referencia", "ref", "parte", r"part(?:\s+number)?", "item"]
+# The pattern of a labelled code.
+LABELLED = r"(?i)(?:\b(?:sku|c[oó]digo|code|referencia|ref|parte|part(?:\s+number)?|item)\b|p\s*/\s*n)\s*[#:=-]?\s*([a-z0-9][a-z0-9._/-]{1,31})"
 # Words that join others, and words of intent; neither tells records apart.
 CONNECTORS = (
     "a al con de del el en la las los o ó or para por un una unos unas y e que se su sus mi mis tu tus como mas más muy sin sobre tipo the and for"
@@ -40,7 +40,7 @@ def explicit_identifier(c: Column) -> Column:
     """LEX-8: the whole text if it is a short code with a digit, else a labelled code; null if neither has 3 characters."""
     whole = F.trim(c)
     short = whole.rlike("^[A-Za-z0-9][A-Za-z0-9._-]{0,31}$") & whole.rlike("[0-9]") & (F.length(normalize_identifier(whole)) >= 3)
-    labelled = F.regexp_extract(whole, rf"(?i)(?:\b(?:{'|'.join(LABELS)})\b|p\s*/\s*n)\s*[#:=-]?\s*([a-z0-9][a-z0-9._/-]{{1,31}})", 1)
+    labelled = F.regexp_extract(whole, LABELLED, 1)
     found = F.when(short, whole).otherwise(F.regexp_replace(labelled, "[.,;:]+$", ""))
     return F.when(F.length(normalize_identifier(found)) >= 3, found)
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.functions.text import normalize_text, parse_localized_number
+from skein.functions.text import number_text, parse_localized_number
+from skein.operators.mentions import choose_links, explicit_links, folded, implicit_links
 
 _NUMBER = r"([$]?[0-9][0-9.,]*)"
 # Phrases before a number and the operator that they mean, in the order tried.
@@ -22,18 +23,33 @@ STOCK_HINTS = ["available", "disponible", "disponibilidad", "stock", "activo", "
 PRICE_HINTS = ["price", "precio", "cost", "coste", "costo", "amount", "monto"]
 
 
+def range_links(queries: DataFrame) -> DataFrame:
+    """NL-1: (query_id, op, value, start, stop): both ends of "entre X y Y", else the first phrase
+    family that matches with a number; the span is that of the whole phrase, from 0.
+
+    The phrases are matched in one step and their numbers read in the next, so that the
+    text of each is worked out once."""
+    forms = [("between", rf"\bentre\s+{_NUMBER}\s+y\s+{_NUMBER}")] + [(op, rf"\b(?:{phrases})\s+{_NUMBER}") for op, phrases in RANGES]
+    rows = queries.select("query_id", folded(F.col("text")).alias("t"))
+    part = lambda p, k: F.regexp_extract("t", p, k)
+    met = F.array(*(F.struct(F.lit(op).alias("op"), part(p, 0).alias("phrase"), part(p, 1).alias("low"), (part(p, 2) if op == "between" else F.lit("")).alias("high")) for op, p in forms))
+    rows = rows.select("query_id", "t", F.filter(met, lambda m: m["phrase"] != "").alias("met"))
+    number = lambda c: parse_localized_number(F.regexp_replace(c, "[.,]+$", ""))
+    read = F.transform("met", lambda m: F.struct(m["op"].alias("op"), m["phrase"].alias("phrase"), number(m["low"]).alias("a"), number(m["high"]).alias("b")))
+    rows = rows.select("query_id", "t", read.alias("met"))
+    first = F.get(F.filter("met", lambda m: m["a"].isNotNull() & ((m["op"] != "between") | m["b"].isNotNull())), 0)
+    rows = rows.select("query_id", "t", first.alias("m")).where("m is not null")
+    end = lambda op, value: F.struct(op.alias("op"), value.alias("value"))
+    a, b, op = F.col("m.a"), F.col("m.b"), F.col("m.op")
+    ends = F.when(op == "between", F.array(end(F.lit("gte"), F.least(a, b)), end(F.lit("lte"), F.greatest(a, b)))).otherwise(F.array(end(op, a)))
+    start = F.instr(F.col("t"), F.col("m.phrase")) - 1
+    phrase = F.regexp_replace("m.phrase", "[.,]+$", "")
+    return rows.select("query_id", F.explode(ends).alias("e"), start.alias("start"), (start + F.length(phrase)).alias("stop")).select("query_id", "e.op", "e.value", "start", "stop")
+
+
 def extract_ranges(queries: DataFrame) -> DataFrame:
-    """NL-1: (query_id, op, value): both ends of "entre X y Y", else the first phrase family
-    that matches with a number."""
-    norm = normalize_text(F.col("text"))
-    between = rf"\bentre\s+{_NUMBER}\s+y\s+{_NUMBER}"
-    low, high = (parse_localized_number(F.regexp_replace(F.regexp_extract(norm, between, k), "[.,]+$", "")) for k in (1, 2))
-    both = low.isNotNull() & high.isNotNull()
-    found = F.when(both, F.array(F.struct(F.lit("gte").alias("op"), F.least(low, high).alias("value")), F.struct(F.lit("lte").alias("op"), F.greatest(low, high).alias("value"))))
-    for op, phrases in RANGES:
-        value = parse_localized_number(F.regexp_replace(F.regexp_extract(norm, rf"\b(?:{phrases})\s+{_NUMBER}", 1), "[.,]+$", ""))
-        found = found.when(value.isNotNull(), F.array(F.struct(F.lit(op).alias("op"), value.alias("value"))))
-    return queries.select("query_id", F.explode(found).alias("f")).select("query_id", "f.op", "f.value")
+    """NL-1 without spans: (query_id, op, value)."""
+    return range_links(queries).select("query_id", "op", "value")
 
 
 def numeric_target(fields: DataFrame) -> DataFrame:
@@ -47,27 +63,27 @@ def numeric_target(fields: DataFrame) -> DataFrame:
     return n.select("entity", field.alias("field"), field.isNull().alias("ambiguous"))
 
 
-def extract_booleans(queries: DataFrame, fields: DataFrame) -> DataFrame:
-    """NL-3: (query_id, field, value): availability phrases for the fields of the query's
-    entity that hold it; phrases for true are tried first."""
-    norm = normalize_text(F.col("text"))
-    said = lambda phrases: norm.rlike("|".join(phrases))
-    value = F.when(said(AVAILABLE), True).when(said(UNAVAILABLE), False)
+def boolean_links(queries: DataFrame, fields: DataFrame) -> DataFrame:
+    """NL-3: (query_id, field, value, start, stop): availability phrases for the fields of the
+    query's entity that hold it; phrases for true are tried first."""
+    t = folded(F.col("text"))
+    phrases = [(p, True) for p in AVAILABLE] + [(p, False) for p in UNAVAILABLE]
+    met = F.array(*(F.struct(F.instr(t, F.lit(p)).alias("at"), F.lit(len(p)).alias("size"), F.lit(v).alias("value")) for p, v in phrases))
+    rows = queries.select("query_id", "entity", F.filter(met, lambda m: m["at"] > 0).alias("met")).select("query_id", "entity", F.get("met", F.lit(0)).alias("m")).where("m is not null")
     own = fields.where(F.lower("hints").rlike("|".join(STOCK_HINTS)) | (F.col("field") == "available")).select("entity", "field")
-    return queries.select("query_id", "entity", value.alias("value")).where("value is not null").join(own, "entity").select("query_id", "field", "value")
+    return rows.join(own, "entity").select("query_id", "field", "m.value", (F.col("m.at") - 1).alias("start"), (F.col("m.at") - 1 + F.col("m.size")).alias("stop"))
+
+
+def extract_booleans(queries: DataFrame, fields: DataFrame) -> DataFrame:
+    """NL-3 without spans: (query_id, field, value)."""
+    return boolean_links(queries, fields).select("query_id", "field", "value")
 
 
 def link_values(queries: DataFrame, values: DataFrame) -> DataFrame:
-    """NL-4: (query_id, field, value, start, length): whole-word mentions of profiled values
-    (field, value, alias). Joined on the alias's first word, then compared whole."""
-    norm = F.concat(F.lit(" "), F.regexp_replace(normalize_text(F.col("text")), "[^a-z0-9]+", " "), F.lit(" "))
-    alias = F.trim(F.regexp_replace(normalize_text(F.col("alias")), "[^a-z0-9]+", " "))
-    asked = queries.select("query_id", norm.alias("norm"))
-    asked = asked.select("*", F.explode(F.array_distinct(F.split(F.trim("norm"), " "))).alias("word")).where("word <> ''")
-    known = values.select("field", "value", alias.alias("alias")).where("alias <> ''").distinct().withColumn("word", F.substring_index("alias", " ", 1))
-    met = asked.join(known, "word").withColumn("start", F.expr("instr(norm, concat(' ', alias, ' '))")).where("start > 0")
-    longest = F.max(F.struct(F.length("alias").alias("length"), (-F.col("start")).alias("s")))
-    return met.groupBy("query_id", "field", "value").agg(longest.alias("m")).select("query_id", "field", "value", (-F.col("m.s")).alias("start"), "m.length")
+    """NL-4 for one vocabulary (field, value, alias) of all queries: (query_id, field, value,
+    start, length), the longest mention at its first place."""
+    found = implicit_links(queries.select("query_id", "text"), values.withColumnRenamed("alias", "phrase"), [])
+    return found.select("query_id", "field", "value", "start", "length")
 
 
 def select_links(links: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -82,18 +98,39 @@ def select_links(links: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def route_links(links: DataFrame, fields: DataFrame, policies: DataFrame) -> DataFrame:
     """NL-7: links with what they do (filter, prefer or search) and their boost: explicit ones
-    filter, else the policy of the field, else its mapping, else search."""
+    filter, else the policy of the field, else its mapping, else they filter too."""
     rows = links.join(fields.select("field", F.col("behaviour").alias("_f"), F.col("boost").alias("_fb")), "field", "left")
     rows = rows.join(policies.select("field", F.col("behaviour").alias("_p"), F.col("boost").alias("_pb")), "field", "left")
-    does = F.when(F.col("explicit"), "filter").otherwise(F.coalesce("_p", "_f", F.lit("search")))
+    does = F.when(F.col("explicit"), "filter").otherwise(F.coalesce("_p", "_f", F.lit("filter")))
     return rows.select(*links.columns, does.alias("behaviour"), F.when(does == "prefer", F.coalesce("_pb", "_fb", F.lit(0.25))).alias("boost"))
 
 
+def understand(queries: DataFrame, fields: DataFrame, hints: DataFrame, values: DataFrame, policies: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """NL-1 to 8 one after another: (links, residual texts) of queries (query_id, entity, text).
+
+    fields: entity, field, type (number, boolean or string), hints (text), behaviour, boost;
+    hints and values: entity, field, phrase (values with value); policies: field, behaviour,
+    boost. links: query_id, field, op, value (as text), start, stop, explicit, behaviour, boost.
+    Ranges are for the entity's numeric field; where that is ambiguous they stay in the text.
+    What a link of another behaviour than search covers is taken out of the text."""
+    said = lambda df, op, value: df.select("query_id", "field", op.alias("op"), value.alias("value"), "start", "stop", "explicit")
+    target = numeric_target(fields.where("type = 'number'")).where("not ambiguous").select("entity", "field")
+    ranges = range_links(queries).join(queries.select("query_id", "entity"), "query_id").join(target, "entity").withColumn("explicit", F.lit(True))
+    flags = boolean_links(queries, fields.where("type = 'boolean'")).withColumn("explicit", F.lit(True))
+    found = explicit_links(queries, hints, values, ["entity"]).unionByName(implicit_links(queries, values, ["entity"]))
+    kept, _ = choose_links(found)
+    links = said(ranges, F.col("op"), number_text(F.col("value"))).unionByName(said(flags, F.lit("eq"), F.col("value").cast("string"))).unionByName(said(kept, F.lit("eq"), F.col("value")))
+    routed = route_links(links, fields.select("field", "behaviour", "boost").distinct(), policies)
+    return routed, residual_text(queries.select("query_id", "text"), routed.where("behaviour <> 'search'"))
+
+
 def residual_text(queries: DataFrame, spans: DataFrame) -> DataFrame:
-    """NL-8: what is left of a text without its consumed spans (start from 0, stop), blanks as one."""
-    cut = spans.groupBy("query_id").agg(F.collect_list(F.struct("start", "stop")).alias("cut"))
-    rows = queries.join(cut, "query_id", "left").withColumn("cut", F.coalesce("cut", F.array().cast("array<struct<start: int, stop: int>>")))
-    at = F.sequence(F.lit(0), F.length("text") - 1)
-    keep = F.transform(at, lambda k: F.when(F.exists("cut", lambda c: (k >= c["start"]) & (k < c["stop"])), " ").otherwise(F.substring("text", k + 1, F.lit(1))))
-    left = F.when(F.length("text") > 0, F.array_join(keep, ""))
-    return rows.select("query_id", F.trim(F.regexp_replace(F.coalesce(left, F.lit("")), r"\s+", " ")).alias("text"))
+    """NL-8: what is left of a text without its consumed spans (start from 0, stop), blanks as
+    one; what stood around a span is joined. The text is cut between the sorted spans."""
+    cut = spans.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct(F.col("start").cast("int").alias("start"), F.col("stop").cast("int").alias("stop")))).alias("cut"))
+    rows = queries.join(cut, "query_id", "left").withColumn("text", F.coalesce("text", F.lit("")))
+    begin = F.struct(F.lit("").alias("kept"), F.lit(0).alias("at"))
+    between = lambda s, c: F.when(c["start"] > s["at"], F.substring("text", s["at"] + 1, c["start"] - s["at"])).otherwise("")
+    step = lambda s, c: F.struct(F.concat(s["kept"], between(s, c)).alias("kept"), F.greatest(s["at"], c["stop"]).alias("at"))
+    left = F.aggregate("cut", begin, step, lambda s: F.concat(s["kept"], F.substring("text", s["at"] + 1, F.length("text"))))
+    return rows.select("query_id", F.when(F.col("cut").isNull(), F.trim("text")).otherwise(F.trim(F.regexp_replace(left, r"\s+", " "))).alias("text"))

@@ -307,7 +307,7 @@ def _(t):
     return kept.select("query_id", "field", "value", F.lit(False).alias("ambiguous")).unionByName(ambiguous.withColumn("ambiguous", F.lit(True)))
 
 
-@query("nl_7_route", """SELECT l_orderkey AS query_id, l_linenumber AS link, CASE WHEN l_linenumber = 1 THEN 'filter' WHEN l_returnflag = 'R' THEN 'prefer' WHEN l_returnflag = 'A' THEN 'filter' ELSE 'search' END AS behaviour, CASE WHEN l_linenumber <> 1 AND l_returnflag = 'R' THEN 0.4::DOUBLE END AS boost, l_partkey FROM lineitem""")
+@query("nl_7_route", """SELECT l_orderkey AS query_id, l_linenumber AS link, CASE WHEN l_linenumber = 1 THEN 'filter' WHEN l_returnflag = 'R' THEN 'prefer' WHEN l_returnflag = 'A' THEN 'filter' ELSE 'filter' END AS behaviour, CASE WHEN l_linenumber <> 1 AND l_returnflag = 'R' THEN 0.4::DOUBLE END AS boost, l_partkey FROM lineitem""")
 def _(t):
     links = t("lineitem").select(F.col("l_orderkey").alias("query_id"), F.col("l_linenumber").alias("link"), F.col("l_returnflag").alias("field"), (F.col("l_linenumber") == 1).alias("explicit"), "l_partkey")
     schema = "field string, behaviour string, boost double"
@@ -316,7 +316,7 @@ def _(t):
     return extract.route_links(links, fields, policies).select("query_id", "link", "behaviour", "boost", "l_partkey")
 
 
-@query("nl_8_residual", "SELECT p_partkey AS query_id, trim(regexp_replace(substr(p_name, 3, 2) || ' ' || substr(p_name, 8), '\\s+', ' ', 'g')) AS text FROM part")
+@query("nl_8_residual", "SELECT p_partkey AS query_id, trim(regexp_replace(substr(p_name, 3, 2) || substr(p_name, 8), '\\s+', ' ', 'g')) AS text FROM part")
 def _(t):
     queries = t("part").select(F.col("p_partkey").alias("query_id"), F.col("p_name").alias("text"))
     spans = queries.select("query_id", F.explode(F.array(F.struct(F.lit(0).alias("start"), F.lit(2).alias("stop")), F.struct(F.lit(4).alias("start"), F.lit(7).alias("stop")))).alias("s")).select("query_id", "s.*")
