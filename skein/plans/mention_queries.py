@@ -15,8 +15,8 @@ _PLACES = "list_filter(range(1, length(t) + 1), lambda i: substr(t, i, length(p)
   WHEN 3 THEN 'medida: ' || p_size || ', ' || p_brand WHEN 4 THEN 'entre 5 y ' || p_size || ' ' || p_brand || ' ' || p_brand ELSE 'nada ' || p_name || ' no disponible' END) AS t FROM part),
 v AS (SELECT DISTINCT 'brand' AS field, p_brand AS value FROM part UNION SELECT DISTINCT 'type', p_type FROM part UNION SELECT DISTINCT 'kind', p_type FROM part WHERE p_type LIKE 'P%' UNION SELECT DISTINCT 'size', p_size || 'cm' FROM part UNION SELECT DISTINCT 'look', string_split(p_name, ' ')[1] FROM part UNION SELECT DISTINCT 'name', p_name FROM part),
 h AS (SELECT * FROM (VALUES ('brand', 'marca'), ('type', 'tipo'), ('size', 'medida')) h(field, p)),
-imp AS (SELECT query_id, field, value, at[1] - 1 AS start, at[1] - 1 + length(value) AS stop, length(value) AS n FROM (SELECT query_id, field, value, {_PLACES} AS at FROM (SELECT query_id, field, value, t, lower(value) AS p FROM q JOIN v ON contains(t, lower(value)))) WHERE len(at) > 0),
-hp AS (SELECT query_id, field, t, at[1] - 1 AS b, at[1] - 1 + length(p) AS e FROM (SELECT *, {_PLACES} AS at FROM q JOIN h ON contains(t, p)) WHERE len(at) > 0),
+imp AS (SELECT query_id, field, value, pl[1] - 1 AS start, pl[1] - 1 + length(value) AS stop, length(value) AS n FROM (SELECT query_id, field, value, {_PLACES} AS pl FROM (SELECT query_id, field, value, t, lower(value) AS p FROM q JOIN v ON contains(t, lower(value)))) WHERE len(pl) > 0),
+hp AS (SELECT query_id, field, t, pl[1] - 1 AS b, pl[1] - 1 + length(p) AS e FROM (SELECT *, {_PLACES} AS pl FROM q JOIN h ON contains(t, p)) WHERE len(pl) > 0),
 ta AS (SELECT query_id, field, b, e, e + length(raw) - length(tail) AS off, tail, array_to_string(list_filter(regexp_extract_all(tail, '[a-z0-9%.,]+'), lambda x: x NOT IN ('de', 'del', 'la', 'el', 'con', 'en', 'para', 'tipo'))[1:3], ' ') AS said
   FROM (SELECT *, substr(t, e + 1, 80) AS raw, regexp_replace(substr(t, e + 1, 80), '^(?:[\s:\-]|(?:de|del|la|el|con|en)\b)+', '') AS tail FROM hp) WHERE tail <> ''),
 c AS (SELECT ta.*, v.value, lower(v.value) AS p, tail AS t, regexp_extract(lower(v.value), '^[0-9]+(?:[.,][0-9]+)?') AS num FROM ta JOIN v USING (field)),
