@@ -1,9 +1,10 @@
 """Mentions, stems and covers on small texts and odd rows."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from skein.functions.stem import stem
-from skein.operators import extract, lexical, mentions
+from skein.operators import extract, lexical, mentions, search
 from skein.operators.branches import query_terms
 
 TEXTS = [
@@ -82,3 +83,22 @@ def test_covers(spark):
     terms = query_terms(spark.createDataFrame([(1, "beta alfa"), (2, "tela"), (3, '"alfa beta"'), (4, '"beta alfa"'), (5, "alfa -beta"), (6, "de la"), (7, None)], "query_id int, text string"))
     got = {(q, i): r for q, i, r in rows(lexical.cover_search(index, terms))}
     assert got == {(1, 1): round(2 / 2 + 2 / 11 / 3, 6), (2, 2): 0.1, (3, 1): pytest.approx(got[(3, 1)]), (5, 3): 1.0}
+
+
+def test_trigram_prefixes_lose_no_pair(spark):
+    """Against all pairs: texts that share a common piece, equal ones, empty and null ones."""
+    names = ["dt-530", "dt-531", "dt530", "common part one", "common part two", "common", "zz9", "zz9", "", None, "ab", "abc common"]
+    left = spark.createDataFrame(list(enumerate(names)), "query_id int, text string")
+    got = {(q, i): s for q, i, s in search.trigram_join(left, left.withColumnRenamed("query_id", "id")).collect()}
+
+    def grams(t):
+        return {f"  {w} "[k : k + 3] for w in (t or "").replace("-", " ").split() for k in range(len(w) + 1)}
+
+    want = {}
+    for a, x in enumerate(names):
+        for b, y in enumerate(names):
+            g, h = grams(x), grams(y)
+            if g and h and len(g & h) / len(g | h) > 0.3:
+                want[a, b] = round(len(g & h) / len(g | h), 6)
+    assert got == want
+    assert [r[0] for r in left.select(search.code_like(F.col("text"))).collect()][:4] == [True, True, True, False]
