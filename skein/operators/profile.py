@@ -104,6 +104,72 @@ def atomic_values(df: DataFrame, text: Column, k: int = 50) -> DataFrame:
     return ranked.crossJoin(total).withColumn("truncated", F.col("total") > k)  # total is a single row
 
 
+def _array_depth(text: Column) -> Column:
+    """How deep the brackets of a JSON text are nested; those within strings don't count."""
+    bare = F.regexp_replace(text, r'"[^"\\]*+(?:\\.[^"\\]*+)*+"', "")
+    start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
+
+    def step(s: Column, x: Column) -> Column:
+        now = s["now"] + F.when(x == "[", 1).otherwise(-1)
+        return F.struct(now.alias("now"), F.greatest(s["most"], now).alias("most"))
+
+    return F.aggregate(F.regexp_extract_all(bare, F.lit(r"([\[\]])")), start, step, lambda s: s["most"])
+
+
+def atomic_members(long: DataFrame) -> DataFrame:
+    """PROF-11: (column, kind, value) for every member of the cells (column, value).
+
+    A JSON array gives its members, arrays in arrays theirs, at any depth; texts are cut at
+    commas and trimmed, blank ones, objects and nulls are left out. A cell that isn't JSON is
+    comma text itself. Kinds are string, number and boolean, so the number 1 and the text 1
+    are two values, while 1, 1.0 and 1e0 are one. The depth is measured first, by one
+    aggregate, and gives the number of steps of one expression.
+    """
+    cells = long.where("value is not null").select("column", "value")
+    depth = cells.where(F.col("value").rlike(r"^\s*\[")).agg(F.max(_array_depth(F.col("value")))).first()[0] or 0
+    cells = cells.withColumn("v", F.try_parse_json("value"))
+    members = F.array("v")
+    for _ in range(depth):
+        members = F.flatten(F.transform(members, lambda m: F.coalesce(F.try_variant_get(m, "$", "array<variant>"), F.array(m))))
+    plain = F.array(F.struct(F.lit("STRING").alias("type"), F.col("value").alias("value")))
+    typed = F.transform(members, lambda m: F.struct(F.schema_of_variant(m).alias("type"), m.cast("string").alias("value")))
+    leaves = cells.select("column", F.explode(F.when(F.col("v").isNull(), plain).otherwise(typed)).alias("m")).select("column", "m.*")
+    kind = F.when(F.col("type") == "STRING", "string").when(F.col("type") == "BOOLEAN", "boolean").when(F.col("type").rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)"), "number")
+    leaves = leaves.withColumn("kind", kind).where("kind is not null")
+    n = F.col("value").try_cast("double")
+    number = F.when((n == F.floor(n)) & (F.abs(n) < 1e15), n.cast("bigint").cast("string")).otherwise(F.col("value"))
+    parts = F.when(F.col("kind") == "string", F.split("value", ",")).when(F.col("kind") == "number", F.array(number)).otherwise(F.array("value"))
+    return leaves.select("column", "kind", F.explode(parts).alias("value")).withColumn("value", F.regexp_replace("value", r"^\s+|\s+$", "")).where("value <> ''")
+
+
+def atomic_profile(long: DataFrame, columns: list[str] | None = None, k: int = 50) -> DataFrame:
+    """PROF-11: (column, suggested, top, cardinality, enum_candidate, truncated) of the members
+    of the named columns, else of those that PROF-7 takes for JSON; columns without a member
+    have no row. Values stand by count, then value, then kind; top are the first 20.
+
+    Members are counted before they are ranked, so a value that fills a third of the cells
+    is one row by then, and only the first k of a task are shuffled for the ranks.
+    """
+    cells = long.where(F.col("column").isin(columns)) if columns is not None else long.join(infer_types(long).where("type = 'json'").select("column"), "column", "left_semi")
+    counts = atomic_members(cells).groupBy("column", "kind", "value").agg(F.count("*").alias("n"))
+    totals = counts.groupBy("column").agg(F.count("*").alias("cardinality"))
+    w = Window.partitionBy("column").orderBy(F.desc("n"), "value", "kind")
+    ranked = counts.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    lists = ranked.groupBy("column").agg(F.array_sort(F.collect_list(F.struct("rank", "kind", "value", "n"))).alias("l"))
+    suggested = F.transform("l", lambda x: x.dropFields("rank"))
+    return lists.join(totals, "column").select(
+        "column", suggested.alias("suggested"), F.slice(suggested, 1, 20).alias("top"), "cardinality",
+        (F.col("cardinality") <= 50).alias("enum_candidate"), (F.col("cardinality") > k).alias("truncated"))
+
+
+def with_atomic(stats: DataFrame, atomic: DataFrame) -> DataFrame:
+    """PROF-11: column statistics (PROF-4, 5, 9) in which the members of a column, where it has
+    any, give distinct values and enum flag, with its suggested and top members."""
+    found = atomic.select("column", "suggested", "top", "truncated", F.col("cardinality").alias("_n"), F.col("enum_candidate").alias("_enum"))
+    return stats.join(found, "column", "left").select(
+        "column", "rows", "nulls", "null_rate", F.coalesce("_n", "distinct").alias("distinct"), F.coalesce("_enum", "enum_candidate").alias("enum_candidate"), "suggested", "top", "truncated")
+
+
 def merge_capabilities(profiles: DataFrame, k: int = 50) -> DataFrame:
     """PROF-14: (entity, field, value, n) of several sources: the larger count of each value, top k."""
     best = profiles.groupBy("entity", "field", "value").agg(F.max("n").alias("n"))
