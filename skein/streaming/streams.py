@@ -21,6 +21,13 @@ def rolling_metrics(stream: DataFrame, time: str, value: str, failed: Column, wi
     ).select(F.col("w.start").alias("start"), "n", "errors", "mean_value", F.col("p")[0].alias("p50"), F.col("p")[1].alias("p95"))
 
 
+def tumbling_metrics(stream: DataFrame, time: str, value: str, failed: Column, width: str = "15 minutes", delay: str = "5 minutes") -> DataFrame:
+    """STR-6 as a stream: rolling_metrics of windows that don't overlap. Each window is given once,
+    when the watermark has passed its end; rows that come later are left out. Its state is a
+    count, a sum and a sketch of quantiles, which tasks merge, whatever its rows."""
+    return rolling_metrics(stream, time, value, failed, width, width, delay)
+
+
 def log_stream(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """STR-7: append to a Parquet sink, all that is there now."""
     return stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
