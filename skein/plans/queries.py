@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from skein.functions import text as T
 from skein.operators import embed, evals, filters, mapping, ops, profile, rank, raw, search
-from skein.plans import check_queries, jdbc_queries, lexical_queries, member_queries, mention_queries, more_queries, relation_queries, scoped_queries, search_queries, store_queries, stream_queries, suggested_queries  # noqa: F401 (they register their queries)
+from skein.plans import check_queries, jdbc_queries, lexical_queries, member_queries, mention_queries, more_queries, relation_queries, scoped_queries, search_queries, store_queries, stream_queries, suggested_queries, verdict_queries  # noqa: F401 (they register their queries)
 from skein.plans.registry import QUERIES, SQL, query
 from skein.sources.readers import next_cursor, read_increment, read_table, read_with_overlap
 from skein.streaming.streams import rolling_metrics
