@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -55,6 +57,23 @@ def relax(queries: DataFrame, hits: DataFrame, filters: DataFrame, boost: float
     return kept, rows.where("moves").select("query_id", "field", "op", "value", F.coalesce("boost", F.lit(boost)).alias("boost"))
 
 
+def search_relaxed(queries: DataFrame, filters: DataFrame, search: Callable[[DataFrame, DataFrame], DataFrame], boost: float = 0.25) -> tuple[DataFrame, DataFrame]:
+    """RANK-7 with its second run: (hits with ``relaxed``, preferences) of queries (query_id, text,
+    original). ``search`` takes queries (query_id, text) and filters (query_id, field, op,
+    value) and gives hits (query_id, ...), in Spark, for all queries at once.
+
+    Queries without hits that have a filter to move are searched again by their original text
+    and the filters left; the others' results stand, empty or not. The first run's hits are
+    read twice, so a search that costs much should store them.
+    """
+    plain = filters.select("query_id", "field", "op", "value")
+    first = search(queries.select("query_id", "text"), plain)
+    kept, moved = relax(queries, first.select("query_id").distinct(), filters, boost)
+    again = queries.join(moved.select("query_id").distinct(), "query_id", "left_semi").select("query_id", F.col("original").alias("text"))
+    second = search(again, kept.join(again.select("query_id"), "query_id", "left_semi"))
+    return first.withColumn("relaxed", F.lit(False)).unionByName(second.withColumn("relaxed", F.lit(True))), moved
+
+
 def preference_candidates(found: DataFrame, hits: DataFrame, queries: DataFrame) -> DataFrame:
     """RANK-8: found (query_id, pref, id, updated_at) that aren't hits, the newest max(5 * limit, 50) of each
     preference, with half of the least positive score (0.01 at most)."""

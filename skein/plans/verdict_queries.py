@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from skein.operators import rank, verdicts
+from skein.operators import rank, relevance, verdicts
 from skein.plans.registry import query
 
 HITS = """h AS (SELECT o_custkey AS q, o_orderkey AS id, (o_orderkey * 7919 % 1000) / 1000.0 AS rel, (o_orderkey % 4) / 4.0 AS prim, o_orderkey % 29 = 0 AS ident, o_orderkey % 3 AS exact, o_custkey % 5 <> 0 AND o_orderkey % 4 <> 0 AS lex, (o_orderkey % 5) / 4.0 AS cover, CASE WHEN o_custkey % 6 <> 0 THEN o_orderkey % 3 ELSE 0 END AS fields FROM orders),
@@ -44,3 +44,22 @@ def _(t):
     misses = verdicts.preference_misses(queries, hits)
     out = verdicts.query_confidence(queries, top, hits, misses).join(misses, "query_id")
     return out.select("query_id", "preference_fallback", "confidence", rank.weak(F.col("confidence")).alias("weak"))
+
+
+@query("rank_7_second_run", """WITH p AS (SELECT p_partkey AS id, p_type || ' ' || p_size AS text, p_brand AS brand, p_size AS size FROM part), q AS (SELECT c_custkey AS q, CASE WHEN c_custkey % 4 = 0 THEN 'narrower ' || text ELSE text END AS text, text AS original, CASE WHEN c_custkey % 2 = 0 THEN 'Brand#1' ELSE 'Brand#2' END AS brand, c_custkey % 3 <> 0 AND c_custkey % 5 <> 0 AS moves, c_custkey % 6 = 0 AS fixed FROM customer JOIN p ON id = c_custkey % 100 + 1),
+one AS (SELECT q, id FROM q JOIN p ON p.text = q.text AND p.brand = q.brand AND (NOT fixed OR size > 10)), two AS (SELECT q, id FROM q JOIN p ON p.text = q.original AND (NOT fixed OR size > 10) WHERE moves AND q NOT IN (SELECT q FROM one))
+SELECT q AS query_id, false AS relaxed, count(*) AS n, sum(id) AS ids FROM one GROUP BY 1 UNION ALL SELECT q, true, count(*), sum(id) FROM two GROUP BY 1""")
+def _(t):
+    parts = t("part").select(F.col("p_partkey").alias("id"), F.concat_ws(" ", "p_type", "p_size").alias("words"), F.col("p_brand").alias("brand"), F.col("p_size").alias("size"))
+    k = F.col("c_custkey")
+    asked = t("customer").join(parts, (k % 100 + 1) == F.col("id")).select(k.alias("query_id"), F.when(k % 4 == 0, F.concat(F.lit("narrower "), "words")).otherwise(F.col("words")).alias("text"), F.col("words").alias("original"))
+    row = lambda field, op, value, implicit: t("customer").select(k.alias("query_id"), F.lit(field).alias("field"), F.lit(op).alias("op"), value.alias("value"), implicit.alias("implicit"), (k % 5 == 0).alias("protected"), F.lit(None).cast("double").alias("boost"))
+    f = row("brand", "eq", F.when(k % 2 == 0, "Brand#1").otherwise("Brand#2"), k % 3 != 0).unionByName(row("size", "gt", F.lit("10"), F.lit(False)).where("query_id % 6 = 0"))
+
+    def search(queries, filters):
+        found = queries.join(parts, F.col("text") == F.col("words")).select("query_id", "id", "brand", "size")
+        fails = F.when(F.col("field") == "brand", F.col("brand") != F.col("value")).otherwise(F.col("size") <= F.col("value").cast("int"))
+        return found.select("query_id", "id").join(found.join(filters, "query_id").where(fails).select("query_id", "id"), ["query_id", "id"], "left_anti")
+
+    hits, _ = relevance.search_relaxed(asked, f, search)
+    return hits.groupBy("query_id", "relaxed").agg(F.count("*").alias("n"), F.sum("id").alias("ids"))
