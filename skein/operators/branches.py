@@ -57,20 +57,23 @@ def branches(queries: DataFrame, synonyms: DataFrame) -> DataFrame:
 
     Of parts with one normal form the heaviest stays (then the least text). A term of
     the vocabulary applies where the text contains it; the join runs on the term's
-    first three characters against the text's substrings of that length.
+    first three characters against the substrings of that length of each distinct text.
+    These are many more rows than their files let Spark guess, so they are never broadcast.
     """
     q = queries.select("query_id", F.trim("text").alias("text"))
-    segments = q.select("query_id", F.explode(F.transform(F.split("text", r"[,;|/]+"), lambda x: F.trim(x))).alias("text"))
-    phrases = segments.join(q.select("query_id", normalize_text(F.col("text")).alias("whole")), "query_id").where(normalize_text(F.col("text")) != F.col("whole"))
+    segments = q.select("query_id", normalize_text(F.col("text")).alias("whole"), F.explode(F.transform(F.split("text", r"[,;|/]+"), lambda x: F.trim(x))).alias("text"))
+    phrases = segments.where(normalize_text(F.col("text")) != F.col("whole"))
     pieces = lambda rows: rows.where(F.col("text").rlike(OR)).select("query_id", F.explode(F.split("text", OR)).alias("text"))
     token = q.select("query_id", F.explode(F.regexp_extract_all("text", F.lit(r"\b\p{L}[\p{L}\p{N}'-]*"), F.lit(0))).alias("text"))
     norm = normalize_text(F.col("text"))
     telling = ~norm.isin(CONNECTORS + INTENT) & (F.length(norm) >= F.when(F.col("text").rlike(r"^\p{Lu}"), 3).otherwise(5))
 
     grams = F.flatten(F.transform(F.array(*map(F.lit, (1, 2, 3))), lambda k: F.transform(F.sequence(F.lit(1), F.length("norm")), lambda i: F.substring("norm", i, k))))
-    keys = q.withColumn("norm", normalize_text(F.col("text"))).where("norm <> ''").select("query_id", "norm", F.explode(F.array_distinct(grams)).alias("k"))
+    asked = q.select("query_id", normalize_text(F.col("text")).alias("norm")).where("norm <> ''")
+    keys = asked.select("norm").distinct().select("norm", F.explode(F.array_distinct(grams)).alias("k"))
     terms = synonyms.select(normalize_text(F.col("term")).alias("term"), "synonym").where("term <> ''").withColumn("k", F.substring("term", 1, 3))
-    known = keys.join(terms, "k").where(F.contains("norm", "term")).select("query_id", F.col("synonym").alias("text"))
+    met = keys.join(terms.hint("merge"), "k").where(F.contains("norm", "term")).select("norm", "synonym").distinct()
+    known = asked.join(met.hint("merge"), "norm").select("query_id", F.col("synonym").alias("text"))
 
     kinds = {"full": [q], "phrase": [phrases.select("query_id", "text")], "synonym": [known], "distinctive": [pieces(segments), pieces(q), token.where(telling)]}
     out = None
@@ -120,7 +123,7 @@ def effective_synonyms(mappings: DataFrame, policies: DataFrame) -> DataFrame:
 def distinctive_coverage(parts: DataFrame, hits: DataFrame) -> DataFrame:
     """LEX-15: share of a query's distinctive parts that a hit's text contains; 1 without such parts, 0 without text."""
     terms = parts.where("kind in ('distinctive', 'synonym')").groupBy("query_id").agg(F.collect_set(normalize_text(F.col("text"))).alias("terms"))
-    rows = hits.join(terms, "query_id", "left").withColumn("norm", normalize_text(F.coalesce("text", F.lit(""))))
+    rows = hits.join(terms.hint("merge"), "query_id", "left").withColumn("norm", normalize_text(F.coalesce("text", F.lit(""))))
     share = F.size(F.filter("terms", lambda x: F.contains(F.col("norm"), x))) / F.size("terms")
     return rows.select("query_id", "id", F.round(F.when(F.col("terms").isNull(), 1.0).otherwise(share), 6).alias("coverage"))
 

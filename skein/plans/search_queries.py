@@ -94,7 +94,7 @@ def _(t):
 def _(t):
     hits = t("lineitem").select(F.col("l_orderkey").alias("query_id"), F.col("l_partkey").alias("id")).distinct()
     texts = t("part").select(F.col("p_partkey").alias("id"), F.concat_ws(" ", "p_name", "p_type").alias("text"))
-    return B.distinctive_coverage(B.branches(_texts(t), _synonyms(t)), hits.join(texts, "id"))
+    return B.distinctive_coverage(B.branches(_texts(t), _synonyms(t)), hits.join(texts.hint("merge"), "id"))
 
 
 @query("lex_16_violations", """WITH v AS (SELECT CASE WHEN p_size % 5 = 0 THEN upper(p_name) ELSE p_name END AS term, CASE WHEN p_size % 9 = 0 THEN upper(p_name) ELSE p_brand END AS synonym FROM part)
