@@ -105,11 +105,12 @@ def select_branches(parts: DataFrame, most: int = 6, synonyms: int = 3) -> DataF
 
 
 def lexical_multi(parts: DataFrame, index: DataFrame, n: int = 50) -> DataFrame:
-    """LEX-13: the n best hits of each part, fused by rank with the parts' weights."""
-    each = parts.select(F.struct("query_id", "text").alias("query_id"), "text")
-    hits = topk(lexical_match(index, each), [F.desc("rank"), "id"], n).select(F.col("query_id.query_id").alias("q"), F.col("query_id.text").alias("text"), "id", "place")
-    ranked = hits.join(parts.select(F.col("query_id").alias("q"), "text", "weight"), ["q", "text"])
-    return rrf(ranked.select(F.col("q").alias("query_id"), "id", F.col("place").alias("rank"), "weight")).where(F.col("place") <= n)
+    """LEX-13: the n best hits of each part, fused by rank with the parts' weights. A text that
+    several queries share is searched once."""
+    each = parts.select(F.col("text").alias("query_id"), "text").where("text is not null").distinct()
+    hits = topk(lexical_match(index, each), [F.desc("rank"), "id"], n).select(F.col("query_id").alias("text"), "id", "place")
+    ranked = hits.join(parts.select("query_id", "text", "weight").hint("merge"), "text")
+    return rrf(ranked.select("query_id", "id", F.col("place").alias("rank"), "weight")).where(F.col("place") <= n)
 
 
 def effective_synonyms(mappings: DataFrame, policies: DataFrame) -> DataFrame:
