@@ -57,9 +57,14 @@ def _(t):
     f = row("brand", "eq", F.when(k % 2 == 0, "Brand#1").otherwise("Brand#2"), k % 3 != 0).unionByName(row("size", "gt", F.lit("10"), F.lit(False)).where("query_id % 6 = 0"))
 
     def search(queries, filters):
-        found = queries.join(parts, F.col("text") == F.col("words")).select("query_id", "id", "brand", "size")
-        fails = F.when(F.col("field") == "brand", F.col("brand") != F.col("value")).otherwise(F.col("size") <= F.col("value").cast("int"))
-        return found.select("query_id", "id").join(found.join(filters, "query_id").where(fails).select("query_id", "id"), ["query_id", "id"], "left_anti")
+        """The filters are part of the join, so that only hits are made, not what they drop."""
+        said = lambda name: F.max(F.when(F.col("field") == name, F.col("value")))
+        wanted = filters.groupBy("query_id").agg(said("brand").alias("of"), said("size").cast("int").alias("over"))
+        rows = queries.select("query_id", "text").join(wanted, "query_id", "left")
+        pool, fits = parts.hint("merge"), F.col("over").isNull() | (F.col("size") > F.col("over"))
+        one = rows.where("of is not null").join(pool, (F.col("text") == F.col("words")) & (F.col("of") == F.col("brand")) & fits)
+        any_ = rows.where("of is null").join(pool, (F.col("text") == F.col("words")) & fits)
+        return one.select("query_id", "id").unionByName(any_.select("query_id", "id"))
 
     hits, _ = relevance.search_relaxed(asked, f, search)
     return hits.groupBy("query_id", "relaxed").agg(F.count("*").alias("n"), F.sum("id").alias("ids"))
