@@ -81,6 +81,11 @@ def enrich(records: DataFrame, cache: DataFrame, prompt: Column, provider: Calla
     return asked.join(known, keys, "left").select(*records.columns, F.from_json("output", schema).alias("extra")), new
 
 
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), which is worked out once, not once for each member of an array."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
 def attribute_map(options: Column, tags: Column, product: Column, variant: Column) -> Column:
     """MAP-20: one map out of options (name, value), tags ``k:v`` or ``k=v``, and metafields
     (namespace, key, value) of product and variant; what stands later wins. A metafield's bare
@@ -88,14 +93,14 @@ def attribute_map(options: Column, tags: Column, product: Column, variant: Colum
     def pairs(rows: Column) -> Column:
         """Entries with a key and a value, the last of each key."""
         good = F.filter(rows, lambda x: (x["k"] != "") & (F.coalesce(x["v"], F.lit("")) != ""))
-        return F.filter(good, lambda x, i: ~F.exists(F.slice(good, i + 2, F.size(good)), lambda y: y["k"] == x["k"]))
+        return _let(good, lambda g: F.filter(g, lambda x, i: ~F.exists(F.slice(g, i + 2, F.size(g)), lambda y: y["k"] == x["k"])))
 
     def entry(k: Column, v: Column) -> Column:
         return F.struct(attribute_key(k).alias("k"), v.alias("v"))
 
     def metafields(rows: Column) -> Column:
         plain = F.transform(rows, lambda x: entry(x["key"], x["value"]))
-        single = F.filter(plain, lambda x: F.size(F.filter(plain, lambda y: y["k"] == x["k"])) == 1)
+        single = _let(plain, lambda p: F.filter(p, lambda x: F.size(F.filter(p, lambda y: y["k"] == x["k"])) == 1))
         return F.concat(F.transform(rows, lambda x: entry(F.concat(x["namespace"], F.lit("."), x["key"]), x["value"])), single)
 
     none = F.array().cast("array<struct<k: string, v: string>>")

@@ -167,7 +167,8 @@ def _(t):
 
 @query("map_20_21_attributes", """SELECT p_partkey, p_brand AS color, lower(p_type) AS style, p_size || ':cm' AS width, p_name AS a_fabric, NULL::VARCHAR AS bare_fabric, CASE WHEN p_size > 40 THEN 'heavy' WHEN p_size > 10 THEN CAST(p_size AS VARCHAR) END AS weight, p_brand AS by_suffix, p_partkey % 10 <> 0 AND p_size % 3 > 0 AS available, 3 AS n_tags FROM part""")
 def _(t):
-    m = _products(t).select("*", mapping.attribute_map(F.col("options"), F.col("tags"), F.col("product"), F.col("variant")).alias("m"), mapping.variant_columns(F.col("status"), F.col("variants")[0]["quantity"], F.col("tags")).alias("v"))
+    # a small file of many rows is one task; the work on each row is not small
+    m = _products(lambda n: t(n).repartition("p_partkey")).select("*", mapping.attribute_map(F.col("options"), F.col("tags"), F.col("product"), F.col("variant")).alias("m"), mapping.variant_columns(F.col("status"), F.col("variants")[0]["quantity"], F.col("tags")).alias("v"))
     at = lambda k: F.element_at("m", k)
     return m.select(
         F.col("id").alias("p_partkey"), at("main_color").alias("color"), at("style").alias("style"), at("width").alias("width"), at("a_fabric").alias("a_fabric"), at("fabric").alias("bare_fabric"),

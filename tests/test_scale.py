@@ -86,3 +86,24 @@ def test_equal_filters_are_matched_once(spark, monkeypatch):
 def test_second_run_joins_its_filters(spark):
     text = plan(QUERIES["rank_7_second_run"](spark, "/root/testdata/sf0.001"))
     assert not re.search(r"\[query_id#\d+L?, id#\d+L?\][^\n]*LeftAnti", text)
+
+
+def test_attributes_are_worked_out_once(spark, monkeypatch):
+    """The parts of the map stand once in its expression, whatever the number of steps over them."""
+    from skein.operators import mapping
+
+    monkeypatch.setattr(mapping, "attribute_key", lambda c: F.upper(c))
+    rows = "array<struct<namespace: string, key: string, value: string>>"
+    df = spark.createDataFrame([(1, [("o", "1")], "a:2,A=3", [("n", "a", "4"), ("m", "a", "5"), ("n", "b", "6")], None)], f"id long, options array<struct<name: string, value: string>>, tags string, product {rows}, variant {rows}")
+    made = df.select(mapping.attribute_map(F.col("options"), F.col("tags"), F.col("product"), F.col("variant")).alias("m"))
+    assert made.first().m == {"O": "1", "A": "3", "N.A": "4", "M.A": "5", "N.B": "6", "B": "6"}
+    assert made._jdf.queryExecution().analyzed().toString().count("upper(") == 6
+
+
+def test_mentions_are_not_broadcast(spark):
+    from skein.operators import mentions
+
+    q = spark.createDataFrame([(1, "red bolt"), (2, "nut")], "query_id long, text string")
+    v = spark.createDataFrame([("name", "red", "red"), ("name", "nut", "nut")], "field string, value string, phrase string")
+    found = mentions.implicit_links(q, v, [])
+    assert "Broadcast" not in plan(found) and sorted((r.query_id, r.value) for r in found.collect()) == [(1, "red"), (2, "nut")]
