@@ -110,7 +110,8 @@ def sanitize_prefs(prefs: DataFrame, fields: DataFrame, boost: float = 0.15) ->
 
 
 def _holds(text: Column, term: Column) -> Column:
-    return F.rlike(text, F.concat(F.lit(r"(^|[^a-z0-9])\Q"), term, F.lit(r"\E([^a-z0-9]|$)")))
+    # a pattern is only made where the term is there at all
+    return F.contains(text, term) & F.rlike(text, F.concat(F.lit(r"(^|[^a-z0-9])\Q"), term, F.lit(r"\E([^a-z0-9]|$)")))
 
 
 def concepts(queries: DataFrame, dictionary: DataFrame) -> DataFrame:
