@@ -47,10 +47,10 @@ def phrase_places(queries: DataFrame, phrases: DataFrame, by: list[str]) -> Data
     counts = words.groupBy(*by, "_word").agg(F.count("*").alias("_n"))
     known = phrases.withColumn("phrase", normalize_text(F.col("phrase"))).where("phrase <> ''")
     own = known.select(*by, "phrase").distinct().select(*by, "phrase", F.explode(split(F.col("phrase"))).alias("_word"))
-    keys = own.join(counts, [*by, "_word"], "left").groupBy(*by, "phrase").agg(F.min_by("_word", F.struct("_n", "_word")).alias("_word"), F.bool_and(F.col("_n").isNotNull()).alias("_all"))
-    met = words.join(keys.where("_all").drop("_all"), [*by, "_word"])
+    keys = own.join(counts.hint("merge"), [*by, "_word"], "left").groupBy(*by, "phrase").agg(F.min_by("_word", F.struct("_n", "_word")).alias("_word"), F.bool_and(F.col("_n").isNotNull()).alias("_all"))
+    met = words.join(keys.where("_all").drop("_all").hint("merge"), [*by, "_word"])  # the words of all texts are never broadcast
     found = met.select(*by, "query_id", "phrase", F.explode(places(F.col("_text"), F.col("phrase"))).alias("start"))
-    return found.join(known, [*by, "phrase"]).withColumn("stop", F.col("start") + F.length("phrase"))
+    return found.join(known.hint("merge"), [*by, "phrase"]).withColumn("stop", F.col("start") + F.length("phrase"))
 
 
 def implicit_links(queries: DataFrame, values: DataFrame, by: list[str]) -> DataFrame:
@@ -82,7 +82,7 @@ def explicit_links(queries: DataFrame, hints: DataFrame, values: DataFrame, by:
     first = spots.groupBy(*by, "query_id", "field", "phrase").agg(F.min(F.struct("start", "stop")).alias("s"))
     order = F.sort_array(F.collect_list(F.struct((-F.length("phrase")).alias("size"), F.col("s.start").alias("start"), F.col("s.stop").alias("stop"))))
     spans = first.groupBy(*by, "query_id", "field").agg(order.alias("o")).select(*by, "query_id", "field", F.explode(_apart(F.col("o"))).alias("h"))
-    rows = spans.join(queries.select("query_id", folded(F.col("text")).alias("_text")), "query_id")
+    rows = spans.join(queries.select("query_id", folded(F.col("text")).alias("_text")).hint("merge"), "query_id")
     rows = rows.select(*by, "query_id", "field", F.col("h.start").alias("from"), F.col("h.stop").alias("to"), F.substring("_text", F.col("h.stop") + 1, F.lit(REACH)).alias("raw"))
     rows = rows.withColumn("tail", F.regexp_replace("raw", _SKIPPED, "")).withColumn("at", F.col("to") + F.length("raw") - F.length("tail")).where("tail <> ''")
     said = F.slice(F.filter(F.regexp_extract_all("tail", F.lit("[a-z0-9%.,]+"), F.lit(0)), lambda w: ~w.isin(_NO_VALUE)), 1, 3)
@@ -119,8 +119,8 @@ def choose_links(links: DataFrame) -> tuple[DataFrame, DataFrame]:
     free = lambda taken, x: ~F.exists(taken, lambda y: (y["field"] == x["field"]) | (y["start"] < x["stop"]) & (x["start"] < y["stop"]))
     taken = rows.select("query_id", F.aggregate("o", none, lambda t, x: F.when(free(t, x), F.concat(t, F.array(x))).otherwise(t)).alias("taken"))
     firm = taken.select("query_id", F.explode("taken").alias("x")).select("query_id", "x.field", "x.value", "x.start", "x.stop", "x.length", F.lit(True).alias("explicit"))
-    open_ = links.where("not explicit").join(taken, "query_id", "left").where(F.expr("taken is null or not exists(taken, y -> y.field = field or (y.start < stop and start < y.stop))")).drop("taken")
+    open_ = links.where("not explicit").join(taken.hint("merge"), "query_id", "left").where(F.expr("taken is null or not exists(taken, y -> y.field = field or (y.start < stop and start < y.stop))")).drop("taken")
     claims = open_.groupBy("query_id", "start", "stop", normalize_text(F.col("value")).alias("_v")).agg(F.count_distinct("field").alias("_fields"))
-    marked = open_.withColumn("_v", normalize_text(F.col("value"))).join(claims, ["query_id", "start", "stop", "_v"])
+    marked = open_.withColumn("_v", normalize_text(F.col("value"))).join(claims.hint("merge"), ["query_id", "start", "stop", "_v"])
     columns = ["query_id", "field", "value", "start", "stop", "length", "explicit"]
     return firm.select(columns).unionByName(marked.where("_fields = 1").select(columns)), marked.where("_fields > 1").select(columns)

@@ -56,4 +56,4 @@ def _(t):
     fields = make([("part", *f) for f in kinds], "entity string, field string, type string, hints string, behaviour string, boost double")
     hints = make([("part", "brand", "Marca"), ("part", "brand", "brand name"), ("part", "type", "tipo"), ("part", "size", "Medida")], "entity string, field string, phrase string")
     links, rest = understand(queries, fields, hints, values, make([("name", "prefer", None)], "field string, behaviour string, boost double"))
-    return queries.select("query_id").join(links, "query_id", "left").join(rest.withColumnRenamed("text", "rest"), "query_id", "left")
+    return queries.select("query_id").join(links.hint("merge"), "query_id", "left").join(rest.withColumnRenamed("text", "rest").hint("merge"), "query_id", "left")
