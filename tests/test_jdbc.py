@@ -1,6 +1,11 @@
 """Reads from a database in Derby's memory: choice of tables, catalog, parts, pushed filters."""
 
+import os
+import subprocess
+import sys
+
 import pytest
+from conftest import ROOT
 from pyspark.sql import functions as F
 
 from skein.operators.raw import classify_tables
@@ -74,3 +79,20 @@ def test_increment_is_pushed(spark, url):
     assert sorted(r.ID for r in new.collect()) == sorted([*range(38, 60), 97, 98])
     plan = new._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThanOrEqual(MOMENT" in plan and "NAME" not in plan
+
+
+def test_a_database_that_every_jvm_can_open(tmp_path):
+    """On executors of their own, which a database in one JVM's memory can't serve."""
+    code = f"""
+import sys
+sys.path[:0] = [{ROOT!r}, {ROOT + "/tests"!r}]
+from compare import connect, same
+from pyspark.sql import SparkSession
+from skein.plans.queries import QUERIES, SQL
+spark = SparkSession.builder.master("local-cluster[2,1,1024]").config("spark.executor.memory", "1g").config("spark.sql.shuffle.partitions", "2").config("spark.ui.enabled", "false").config("spark.checkpoint.dir", "file://{tmp_path}/shared").getOrCreate()
+print("rows", same(spark, connect("/root/testdata/sf0.001"), QUERIES["src_2_increment"], SQL["src_2_increment"], "/root/testdata/sf0.001"))
+spark.stop()
+"""
+    env = {k: v for k, v in os.environ.items() if not k.startswith(("PYSPARK_", "SPARK_"))}
+    done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, cwd=tmp_path, env=env, timeout=300)
+    assert "rows" in done.stdout, done.stderr[-2000:]
