@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skein.functions.stem import lexemes
+from skein.functions.stem import placed_words, stemmed
 
 # What a tier counts in a cover; the fallback text counts as D.
 TIERS = {"A": 1.0, "B": 0.4, "C": 0.2, "D": 0.1}
@@ -18,7 +18,8 @@ TIERS = {"A": 1.0, "B": 0.4, "C": 0.2, "D": 0.1}
 def postings(records: DataFrame, id_col: str, tiers: dict[str, str], fallback: str | None = None) -> DataFrame:
     """LEX-1: (token, id, hits): the places of each lexeme of a record, as (pos, weight).
     tiers: column -> A to D, in the order in which their texts follow each other. Store it: a
-    search reads it several times."""
+    search reads it several times. A record is as large as its own words at any time, whatever
+    the number of records: words become stems when each is a row."""
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     empty = F.lit(True)
     for c in tiers:
@@ -26,22 +27,21 @@ def postings(records: DataFrame, id_col: str, tiers: dict[str, str], fallback: s
     parts = [(text(c), w) for c, w in tiers.items()]
     if fallback:
         parts.append((F.when(empty, text(fallback)).otherwise(""), "D"))
-    rows = records.select(F.col(id_col).alias("id"), *(lexemes(t).alias(f"_{k}") for k, (t, _) in enumerate(parts)))
-    line = F.array().cast("array<struct<pos: int, token: string, weight: double>>")
-    for k, (_, tier) in enumerate(parts):  # one step a tier, so that each is read once
-        last = F.coalesce(F.array_max(F.transform("line", lambda x: x["pos"])), F.lit(0)) if k else F.lit(0)
-        rows = rows.withColumn("last", last)
-        weight = F.lit(TIERS[tier]).alias("weight")
-        more = F.transform(f"_{k}", lambda x: F.struct((x["pos"] + F.col("last")).alias("pos"), x["token"].alias("token"), weight))  # noqa: B023 (called at once)
-        rows = rows.withColumn("line", F.concat("line" if k else line, more))
-    words = rows.select("id", F.explode("line").alias("x"))
-    return words.groupBy(F.col("x.token").alias("token"), "id").agg(F.sort_array(F.collect_list(F.struct("x.pos", "x.weight"))).alias("hits"))
+    rows = records.select(F.col(id_col).alias("id"), *(placed_words(t).alias(f"_{k}") for k, (t, _) in enumerate(parts)))
+    shift, lines = F.lit(0), []  # the last place of the tiers before
+    for k, (_, tier) in enumerate(parts):
+        lines.append(F.struct(F.col(f"_{k}").alias("words"), shift.alias("shift"), F.lit(TIERS[tier]).alias("weight")))
+        shift = shift + F.coalesce(F.get(F.col(f"_{k}"), F.size(f"_{k}") - 1)["pos"], F.lit(0))
+    line = rows.select("id", F.inline(F.array(*lines)))  # a row a tier
+    words = line.select("id", "shift", "weight", F.explode("words").alias("x"))
+    words = words.select("id", stemmed(F.col("x.word")).alias("token"), F.struct((F.col("x.pos") + F.col("shift")).alias("pos"), "weight").alias("hit"))
+    return words.groupBy("token", "id").agg(F.sort_array(F.collect_list("hit")).alias("hits"))
 
 
 def query_lexemes(terms: DataFrame) -> DataFrame:
     """(query_id, alt, kind, term, off, token) of LEX-2's terms; stop words keep their places in a phrase."""
-    rows = terms.select("query_id", "alt", "kind", "term", F.explode(lexemes(F.col("term"))).alias("x"))
-    return rows.select("query_id", "alt", "kind", "term", F.col("x.pos").alias("off"), F.col("x.token").alias("token"))
+    rows = terms.select("query_id", "alt", "kind", "term", F.explode(placed_words(F.col("term"))).alias("x"))
+    return rows.select("query_id", "alt", "kind", "term", F.col("x.pos").alias("off"), stemmed(F.col("x.word")).alias("token"))
 
 
 def cover_search(index: DataFrame, terms: DataFrame) -> DataFrame:

@@ -107,3 +107,14 @@ def test_mentions_are_not_broadcast(spark):
     v = spark.createDataFrame([("name", "red", "red"), ("name", "nut", "nut")], "field string, value string, phrase string")
     found = mentions.implicit_links(q, v, [])
     assert "Broadcast" not in plan(found) and sorted((r.query_id, r.value) for r in found.collect()) == [(1, "red"), (2, "nut")]
+
+
+def test_words_become_stems_a_row_each(spark):
+    """A batch of Arrow holds words, not the words of ten thousand texts."""
+    from skein.operators.lexical import postings
+
+    r = spark.createDataFrame([(1, "red bolts", "de nut"), (2, "", "bolts of bolts"), (3, None, None)], "id long, a string, d string")
+    index = postings(r, "id", {"a": "A", "d": "D"}, "a")
+    text = plan(index)
+    assert text.index("ArrowEvalPython") < text.index("Generate explode")
+    assert {(x.token, x.id): [tuple(h) for h in x.hits] for x in index.collect()} == {("red", 1): [(1, 1.0)], ("bolts", 1): [(2, 1.0)], ("nut", 1): [(4, 0.1)], ("bolts", 2): [(1, 0.1), (3, 0.1)], ("of", 2): [(2, 0.1)]}
