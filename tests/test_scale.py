@@ -118,3 +118,19 @@ def test_words_become_stems_a_row_each(spark):
     text = plan(index)
     assert text.index("ArrowEvalPython") < text.index("Generate explode")
     assert {(x.token, x.id): [tuple(h) for h in x.hits] for x in index.collect()} == {("red", 1): [(1, 1.0)], ("bolts", 1): [(2, 1.0)], ("nut", 1): [(4, 0.1)], ("bolts", 2): [(1, 0.1), (3, 0.1)], ("of", 2): [(2, 0.1)]}
+
+
+def test_keys_of_a_stream_share_calls(spark, tmp_path):
+    """Nulls and keys beyond the whole numbers of doubles stay apart; state goes on over micro-batches."""
+    from skein.streaming import state
+
+    at, big = datetime.datetime(2024, 1, 1, tzinfo=datetime.timezone.utc), 2**53
+    rows = [((big, big + 1, None, 5)[n % 4], None if n == 7 else n, at + datetime.timedelta(seconds=n)) for n in range(24)]
+    for part in (rows[:12], rows[12:]):
+        spark.createDataFrame(part, "k long, id long, ts timestamp").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("k long, id long, ts timestamp").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    out = state.rate_limit(stream, ["k"], "id", "ts", 2, 100)
+    assert "_bucket" in out._jdf.queryExecution().analyzed().toString()
+    streams.log_stream(out, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
+    got = {(r.k, r.id, r.place, r.allowed) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got == {(k, i, n // 4 + 1, n < 8) for n, (k, i, _) in enumerate(rows)}
