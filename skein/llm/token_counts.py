@@ -14,12 +14,18 @@ splice, and they are encoded whole.
 Defined results: null or empty text has 0 bytes and 0 tokens; repeated rows each get
 their own result; an empty table gives an empty result; a very long text without white
 space is encoded as one chunk in the end.
+
+Stable places also cut each chunk into parts (white space and what follows it up to the
+next), which the vocabulary encodes by themselves. Words repeat, so a worker keeps what
+the library gave for a bounded number of short parts and has it encode the others.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -29,6 +35,10 @@ from skein.llm.common import map_texts
 # The white space characters of the pre-tokenizer's regular expressions.
 WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _WHITE = re.compile(f"[{WHITE}]")
+#: The parts of a text between its stable places: every character is in one of them.
+_PARTS = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
+#: Parts that a worker keeps, and characters of the longest one that it keeps.
+KEPT, LONGEST = 1 << 18, 64
 
 
 def stable(text: str, p: int) -> bool:
@@ -72,6 +82,27 @@ def spliced_count(text: str, encode: Callable[[str], np.ndarray], chunk: int, ov
     return total + len(ends) - skip, times
 
 
+def _remembered(encode_batch: Callable, measure: Callable) -> Callable[[list[list[str]]], list[list]]:
+    """A function that measures the encodings of the parts of texts and keeps what it has measured."""
+    kept: dict = {}
+
+    def measured(cut: list[list[str]]) -> list[list]:
+        if len(kept) > KEPT:
+            kept.clear()
+        new = [p for p in set(chain.from_iterable(cut)) if p not in kept]
+        for at in range(0, len(new), 10_000):
+            some = new[at : at + 10_000]
+            kept.update(zip(some, map(measure, encode_batch(some, add_special_tokens=False))))
+        found = [list(map(kept.__getitem__, parts)) for parts in cut]
+        for p in new:
+            if len(p) > LONGEST:
+                del kept[p]
+        return found
+
+    return measured
+
+
+@lru_cache(maxsize=1)  # a worker's next task goes on with it
 def _loader(path: str):
     if path.endswith(".json"):
         import os
@@ -83,11 +114,18 @@ def _loader(path: str):
         t.no_truncation()
         t.no_padding()
 
+        sizes = _remembered(t.encode_batch_fast, len)
+        places = _remembered(t.encode_batch, lambda x: tuple(e for _, e in x.offsets))
+
         def counts(texts: list[str]) -> list[int]:
-            return [len(e) for e in t.encode_batch_fast(texts, add_special_tokens=False)]
+            return [sum(found) for found in sizes(list(map(_PARTS.findall, texts)))]
 
         def ends(text: str) -> np.ndarray:
-            return np.array([e for _, e in t.encode(text, add_special_tokens=False).offsets], np.int64)
+            parts = _PARTS.findall(text)
+            (found,) = places([parts])
+            lengths, tokens = (np.fromiter(map(len, x), np.int64, len(parts)) for x in (parts, found))
+            inner = np.fromiter(chain.from_iterable(found), np.int64, int(tokens.sum()))
+            return inner + np.repeat(np.cumsum(lengths) - lengths, tokens)
 
         return counts, ends
     raise ValueError(f"the stable places are proven for byte-level .json vocabularies only, not {path}")
