@@ -1,12 +1,13 @@
 """A gated recurrent language model, trained and applied to whole documents.
 
 Words (lower-cased A-Z, cut at ASCII white space, then one end) are counted over all
-training documents; the most frequent, as many as cover ``coverage`` of the training
-tokens but ``most_words`` at most, become the model's vocabulary, the rest one unknown
-word. The network is a GRU with a class-factored softmax: p(word) = p(class | state) *
-p(word in class | state); a class holds PER_CLASS words of neighbouring frequency, and
-the unknown word is a class of its own. An unknown word further shares its probability
-by corpus counts, (c + 1) / (N' + V' + 1), so every text has a probability.
+training documents; the ``most_words`` most frequent, at most as many as 16-bit numbers
+tell apart, become the model's vocabulary, the rest one unknown word. The network is a
+GRU with a class-factored softmax in three levels: p(word) = p(group | state) *
+p(class in group | state) * p(word in class | state); a class holds PER_CLASS words of
+neighbouring frequency, a group about as many classes as there are groups, and the
+unknown word is a group of its own. An unknown word further shares its probability by
+corpus counts, (c + 1) / (N' + V' + 1), so every text has a probability.
 
 Documents are packed into lanes that run side by side; within a lane the state is
 carried from window to window and reset at each document, so a document's score is
@@ -42,6 +43,10 @@ from skein.llm.common import give_back, map_texts, plain_words, stash
 
 #: Words of the broadcast count table (16 MB); words of a class; hidden units.
 TABLE, PER_CLASS, HIDDEN = 1 << 20, 64, 16
+#: Words of the vocabulary at most: the unknown word's number, behind whole classes, has to fit 16 bits.
+MOST_WORDS = ((1 << 15) - 1) // PER_CLASS * PER_CLASS
+#: Models that are averaged at a time; tokens of a class up to which classes are worked on together.
+MODELS, FEW = 8, 128
 #: Steps of a window; lanes at most; tokens held at a time; tokens of a shard.
 WINDOW, LANES, CHUNK, SHARD = 32, 640, 4_000_000, 4_000_000
 END = 0x2545F4914F6CDD1D  # the hash that stands for the end
@@ -103,6 +108,46 @@ def frequent(counts: DataFrame, most: int = TABLE) -> tuple[np.ndarray, np.ndarr
     return words[order], table.column("c").to_numpy()[order]
 
 
+def level(p: dict, name: str, k: np.ndarray, y: np.ndarray, s: np.ndarray, logp: np.ndarray, ds: np.ndarray | None, grad: dict | None) -> None:
+    """Adds the log-probabilities of members y within sets k (sorted; those beyond the last
+    set are left out) under the states s [tokens, units and a one] to logp, and the gradients
+    by s to ds. Sets of about as many tokens are worked on together, filled up to equal numbers."""
+    w, b = p[name + "w"], p[name + "b"]
+    ends = np.searchsorted(k, np.arange(len(w) + 1))
+    sizes, ones = np.diff(ends), np.ones(w.shape[1], w.dtype)
+    finite = np.where(np.isfinite(b), np.abs(b), 0)  # logits that can't overflow needn't be moved
+    tame = (np.abs(w).reshape(-1, w.shape[2]) @ np.ones(w.shape[2], w.dtype)).max() * max(1, np.abs(s).max()) + finite.max() < 80
+    if grad is not None:
+        grad[name + "w"], grad[name + "b"] = np.zeros_like(w), np.zeros_like(b)
+    batches, least = [(np.array([c]), int(sizes[c])) for c in np.flatnonzero(sizes > FEW).tolist()], 0
+    for most in (m for m in (4, 8, 12, 16, 24, 32, 48, 64, 96, 128) if m <= FEW):
+        batches.append((np.flatnonzero((sizes > least) & (sizes <= most)), most))
+        least = most
+    for sets, most in batches:
+        if not len(sets):
+            continue
+        place = ends[sets][:, None] + np.arange(most)
+        there = place < ends[sets + 1][:, None]
+        at, place = place[there], np.where(there, place, 0)
+        own, of = s[place], w[sets]
+        e = own @ np.concatenate([of, b[sets][:, :, None]], axis=2).transpose(0, 2, 1)
+        flat = e.reshape(-1, e.shape[2])
+        if not tame:
+            flat -= flat.max(axis=1, keepdims=True)
+        place = np.flatnonzero(there)
+        found = flat[place, y[at]]
+        np.exp(flat, out=flat)
+        total = flat @ ones
+        logp[at] += found - np.log(total[place])
+        if grad is not None:
+            flat[place, y[at]] -= total[place]
+            total[~there.ravel()] = np.inf  # what fills up has no gradient
+            flat /= total[:, None]
+            both = e.transpose(0, 2, 1) @ own
+            grad[name + "w"][sets], grad[name + "b"][sets] = both[:, :, :-1], both[:, :, -1]
+            ds[at] += (e @ of).reshape(len(flat), -1)[place]
+
+
 class GRU:
     """Parameters and passes of the network; arrays are float32. Words are numbered by
     rank; the unknown word comes after the last class."""
@@ -112,22 +157,34 @@ class GRU:
 
     @staticmethod
     def shapes(classes: int, hidden: int) -> dict[str, tuple]:
+        groups, per = GRU.grouped(classes)
         return {
-            "w": (classes * PER_CLASS + 1, 3 * hidden), "u": (hidden, 3 * hidden), "cw": (hidden, classes + 1), "cb": (classes + 1,),
-            "ow": (classes, PER_CLASS, hidden), "ob": (classes, PER_CLASS),
+            "w": (classes * PER_CLASS + 1, 3 * hidden), "u": (hidden, 3 * hidden), "cw": (hidden, groups + 1), "cb": (groups + 1,),
+            "gw": (groups, per, hidden), "gb": (groups, per), "ow": (classes, PER_CLASS, hidden), "ob": (classes, PER_CLASS),
         }
 
+    @staticmethod
+    def grouped(classes: int) -> tuple[int, int]:
+        """(groups, classes of a group)."""
+        per = math.isqrt(classes - 1) + 1
+        return -(-classes // per), per
+
     @classmethod
     def start(cls, counts: np.ndarray, unknown: float, hidden: int = HIDDEN) -> GRU:
         """Small random weights; the biases give the corpus frequencies of the words, whose
         number is a multiple of PER_CLASS, and of the unknown word."""
         rng, classes = np.random.default_rng(7), len(counts) // PER_CLASS
         p = {k: (rng.standard_normal(s) * 0.1).astype(np.float32) for k, s in cls.shapes(classes, hidden).items()}
-        p["ow"] *= 0.1
-        p["cw"] *= 0.1
+        for k in ("ow", "gw", "cw"):
+            p[k] *= 0.1
         by_class = np.maximum(counts, 0.01).reshape(classes, PER_CLASS)
-        shares = np.append(by_class.sum(axis=1), max(unknown, 0.01))
+        by_group = np.zeros(p["gb"].size)  # places without a class stay impossible
+        by_group[:classes] = by_class.sum(axis=1)
+        by_group = by_group.reshape(p["gb"].shape)
+        shares = np.append(by_group.sum(axis=1), max(unknown, 0.01))
         p["cb"] = np.log(shares / shares.sum()).astype(np.float32)
+        with np.errstate(divide="ignore"):
+            p["gb"] = np.log(by_group / by_group.sum(axis=1, keepdims=True)).astype(np.float32)
         p["ob"] = np.log(by_class / by_class.sum(axis=1, keepdims=True)).astype(np.float32)
         return cls(classes, p)
 
@@ -185,44 +242,31 @@ class GRU:
         """Log-probabilities of the targets under the states s [units, tokens], and the
         gradients by s if ``grad`` is given, which gets those of the parameters."""
         p, n, k = self.p, s.shape[1], (target // PER_CLASS).astype(np.int16)
-        order = np.argsort(k, kind="stable")
-        k, y, s = k[order], (target % PER_CLASS)[order], s[:, order]
+        groups, per = self.grouped(self.classes)
+        group, every = np.where(k < self.classes, k // per, groups), np.arange(n)
         e = p["cw"].T @ s
         e += p["cb"][:, None]
         e -= e.max(axis=0)
-        logp = e[k, np.arange(n)]
+        logp = e[group, every]
         np.exp(e, out=e)
         total = e.sum(axis=0)
         logp -= np.log(total)
-        ds = None
+        order, ds, inner = np.argsort(k, kind="stable"), None, None
         if grad is not None:
-            e[k, np.arange(n)] -= total  # over the total, these are the gradients by the logits
+            e[group, every] -= total  # over the total, these are the gradients by the logits
             grad["cw"], grad["cb"], ds = (s / total) @ e.T, e @ (1 / total), (p["cw"] @ e) / total
-            grad["ow"], grad["ob"] = np.zeros_like(p["ow"]), np.zeros_like(p["ob"])
-        ends = np.searchsorted(k, np.arange(self.classes + 1))
-        for c in range(self.classes):  # the unknown word is the only one of its class
-            a, b = ends[c], ends[c + 1]
-            if a == b:
-                continue
-            every, own = np.arange(b - a), s[:, a:b]
-            e = p["ow"][c] @ own
-            e += p["ob"][c][:, None]
-            e -= e.max(axis=0)
-            logp[a:b] += e[y[a:b], every]
-            np.exp(e, out=e)
-            total = e.sum(axis=0)
-            logp[a:b] -= np.log(total)
-            if grad is not None:
-                e[y[a:b], every] -= total
-                grad["ow"][c], grad["ob"][c] = e @ (own / total).T, e @ (1 / total)
-                ds[:, a:b] += (p["ow"][c].T @ e) / total
-        out = np.empty_like(logp)
-        out[order] = logp
+            inner = np.zeros((n, len(s)), s.dtype)
+        rows = np.ones((n, len(s) + 1), s.dtype)
+        rows[:, :-1] = s.T
+        rows, k, y, by_set = rows[order], k[order], (target % PER_CLASS)[order], np.zeros(n, s.dtype)
+        level(p, "g", group[order], k % per, rows, by_set, inner, grad)  # the unknown word is the only one of its group
+        level(p, "o", k, y, rows, by_set, inner, grad)
+        logp[order] += by_set
         if grad is not None:
-            back = np.empty_like(ds)
-            back[:, order] = ds
-            ds = back
-        return out, ds
+            back = np.empty_like(inner)
+            back[order] = inner
+            ds += back.T
+        return logp, ds
 
     def gradients(self, before, first, target, real, h) -> tuple[dict, np.ndarray, np.ndarray, np.ndarray]:
         """(gradients of the summed loss but for the input words', the input words used,
@@ -266,8 +310,14 @@ class GRU:
         scale = np.float32(1 / full)
         for k, g in grad.items():
             g *= scale
-            cache[k] = cache.get(k, 0) + g * g
-            self.p[k] -= rate * g / (np.sqrt(cache[k]) + 1e-6)
+            acc = cache.setdefault(k, np.zeros_like(g))
+            step = g * g
+            acc += step
+            np.sqrt(acc, out=step)
+            step += 1e-6
+            np.divide(g, step, out=step)
+            step *= rate
+            self.p[k] -= step
         rows *= scale
         acc = cache.setdefault("w", np.zeros_like(self.p["w"]))
         acc[used] += rows * rows
@@ -360,8 +410,8 @@ def trained(coded: DataFrame, start: bytes, classes: int, end_id: int, tokens: i
             return pd.DataFrame({"part": [frame.part.iloc[0]], "tokens": [int(weight.sum())], "p": [p]})
 
         count = models.count()
-        while count > 1:  # 32 models a group, until one is left
-            ranked = models.withColumn("g", F.expr("part div 32")).withColumn("part", F.col("g"))
+        while count > 1:  # some models a group, until one is left
+            ranked = models.withColumn("g", F.expr(f"part div {MODELS}")).withColumn("part", F.col("g"))
             models = stash(ranked.groupBy("g").applyInPandas(lambda f: mean(f.drop(columns="g")), "part long, tokens long, p binary"), "models")
             count = models.count()
         best = models.first()
@@ -434,7 +484,7 @@ CODED = f"{_KNOWN}, rest array<long>, times array<long>, ids binary"
 
 
 def score_documents(
-    docs: DataFrame, rounds: int = 1, rate: float = 0.05, coverage: float = 0.55, most_words: int = 8192,
+    docs: DataFrame, rounds: int = 1, rate: float = 0.05, most_words: int = MOST_WORDS,
     id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score (log10) of every row."""
@@ -443,8 +493,7 @@ def score_documents(
     whole = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     words, c = frequent(counts)
     ranked = np.lexsort((words, -c))
-    wanted = int(np.searchsorted(np.cumsum(c[ranked]), coverage * whole.n)) + 1
-    top = ranked[: min(wanted, most_words)]
+    top = ranked[: min(most_words, MOST_WORDS)]
     classes = max(1, -(-len(top) // PER_CLASS))
     unknown = classes * PER_CLASS
     ids = np.full(len(words), unknown, np.int16)
@@ -472,7 +521,7 @@ def score_documents(
                 h = np.ascontiguousarray(h[:, : before.shape[1]])
                 states, _ = net.window(before, first, h, False)
                 logp, _ = net.outputs(net.at(states, real), target[real])
-                np.add.at(total, doc[real], logp)
+                total += np.bincount(doc[real], logp, len(docs))
             at = 0
             for part in rows:
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(total[at : at + part.num_rows])], names=[*part.schema.names, "ln_p"])

@@ -3,6 +3,9 @@
 import random
 from types import SimpleNamespace
 
+import numpy as np
+
+from skein.llm import gru_lm as G
 from skein.llm import token_counts as T
 
 
@@ -36,3 +39,39 @@ def test_parts_are_encoded_as_in_the_whole_text():
     assert counts(texts) == [len(w.ids) for w in want]
     assert all(ends(t).tolist() == [e for _, e in w.offsets] for t, w in zip(texts, want))
     assert all("".join(T._PARTS.findall(t)) == t for t in texts)
+
+
+def test_every_word_of_a_small_corpus_has_an_output_of_its_own(spark, monkeypatch):
+    seen = {}
+
+    def trained(coded, start, classes, end_id, tokens, rounds, rate):
+        seen.update(classes=classes, own=sum(n for r in coded.select("n_unknown").collect() for n in r), end=end_id)
+        return start
+
+    monkeypatch.setattr(G, "trained", trained)
+    rows = [(k, " ".join(f"w{(k * 7 + j) % 900}" for j in range(30))) for k in range(600)]
+    G.score_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert seen == {"classes": 15, "own": 0, "end": 0}  # 900 words and the end; nothing is scored as the unknown word
+    assert G.MOST_WORDS == 32_704
+
+
+def test_three_levels_sum_to_one_and_sets_may_be_worked_on_in_any_way(monkeypatch):
+    rng = np.random.default_rng(3)
+    classes, hidden = 7, 5  # three groups of three classes, two places empty
+    net = G.GRU.start(rng.integers(1, 50, classes * G.PER_CLASS).astype(float), 30.0, hidden)
+    net.p = {k: (x + rng.standard_normal(x.shape) * 0.3).astype(float) for k, x in net.p.items()}
+    words = classes * G.PER_CLASS + 1
+    for size in (1, 1000):  # logits that have to be moved before they are raised
+        s = np.repeat(rng.standard_normal((hidden, 1)), words, axis=1) * size
+        assert abs(np.exp(net.outputs(s, np.arange(words))[0]).sum() - 1) < 1e-9
+    s, target = rng.standard_normal((hidden, 700)), rng.integers(0, words, 700)
+    target[:300] = 3
+    got = []
+    for few in (0, 4, 128):
+        monkeypatch.setattr(G, "FEW", few)
+        grad = {}
+        logp, ds = net.outputs(s, target, grad)
+        got.append([logp, ds, *(grad[k] for k in sorted(grad))])
+    for other in got[1:]:
+        assert all(np.allclose(a, b, atol=1e-9) for a, b in zip(got[0], other))
+    assert np.isfinite(got[0][0]).all() and np.isfinite(got[0][1]).all()
