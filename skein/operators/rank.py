@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skein.operators.parts import spread
+
 
 def rrf(rankings: DataFrame, k: int = 60) -> DataFrame:
     """RANK-1: rows (query_id, id, rank, weight) to the sum of weight / (k + rank) per id, with its place."""
@@ -34,16 +36,17 @@ def fuse(lexical: DataFrame, vector: DataFrame, limit: int, weights: tuple[float
     return rows.select("query_id", "id", "score", "lexical_rank", "distance", "place")
 
 
-def rescore(hits: DataFrame, matches: DataFrame, cap: float = 0.75) -> DataFrame:
+def rescore(hits: DataFrame, matches: DataFrame, cap: float = 0.75, parts: int | None = None) -> DataFrame:
     """RANK-10, 11: hits (query_id, id, score) and preference matches (query_id, id, field, boost):
-    the largest boost of each field, summed up to a cap; ordered by fields matched, score, id."""
+    the largest boost of each field, summed up to a cap; ordered by fields matched, score, id.
+    parts: of the shuffles, see ``parts_of``; hits and matches lie by query_id and id in as many."""
     best = matches.groupBy("query_id", "id", "field").agg(F.max("boost").alias("b"))
     total = best.groupBy("query_id", "id").agg(F.least(F.sum("b"), F.lit(cap)).alias("boost"), F.count("*").alias("fields"))
     out = hits.join(total, ["query_id", "id"], "left").select(
         "query_id", "id", F.round(F.col("score") * (1 + F.coalesce("boost", F.lit(0.0))), 6).alias("score"), F.coalesce("fields", F.lit(0)).alias("fields")
     )
     w = Window.partitionBy("query_id").orderBy(F.desc("fields"), F.desc("score"), "id")
-    return out.withColumn("place", F.row_number().over(w))
+    return spread(out, parts, "query_id").withColumn("place", F.row_number().over(w))
 
 
 def finalize(hits: DataFrame, least: float, limit: int) -> DataFrame:
