@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
+from skein.operators.parts import spread
+
 LABELS = ["nombre", "name", "titulo", "title", "descripcion", "description", "sku"]  # fixed values, in order
 
 
@@ -17,7 +19,7 @@ def row_label(columns: list[str], key: str, label: str | None = None) -> Column:
     return F.nullif(F.coalesce(*[F.col(c).cast("string") for c in names]), F.lit(""))
 
 
-def first_seen_labels(via: DataFrame, target: DataFrame, source_column: str, target_column: str, target_key: str, label: str | None = None, order: list[str] | None = None) -> DataFrame:
+def first_seen_labels(via: DataFrame, target: DataFrame, source_column: str, target_column: str, target_key: str, label: str | None = None, order: list[str] | None = None, parts: int | None = None) -> DataFrame:
     """(key, labels): for each value of the junction's source column the distinct labels of its
     targets, in the order in which the junction's rows (by ``order``, else by target) show them.
 
@@ -25,21 +27,25 @@ def first_seen_labels(via: DataFrame, target: DataFrame, source_column: str, tar
     targets, and to distinct labels before a list is made, so repeated rows of a popular source
     or target cost their distinct pairs only. Rows without a key or target are left out, as are
     targets with an empty label. ``target_key`` is unique, as what a foreign key points to.
+    parts: of the shuffles, see ``parts_of``; a target with very many pairs is then one task's, as
+    Spark splits large parts of its own shuffles only.
     """
     place = F.struct(*[F.col(c) for c in [*(order or []), target_column]])
-    pairs = via.where(F.col(source_column).isNotNull() & F.col(target_column).isNotNull()).groupBy(
-        F.col(source_column).cast("string").alias("key"), F.col(target_column).cast("string").alias("_target")).agg(F.min(place).alias("_seen"))
+    rows = via.where(F.col(source_column).isNotNull() & F.col(target_column).isNotNull()).select(
+        F.col(source_column).cast("string").alias("key"), F.col(target_column).cast("string").alias("_target"), place.alias("_seen"))
+    pairs = spread(rows, parts, "key", "_target").groupBy("key", "_target").agg(F.min("_seen").alias("_seen"))
     named = target.select(F.col(target_key).cast("string").alias("_target"), row_label(target.columns, target_key, label).alias("_label")).where("_label is not null")
-    first = pairs.join(named, "_target").groupBy("key", "_label").agg(F.min("_seen").alias("_seen"))
+    met = spread(pairs, parts, "_target").join(spread(named, parts, "_target"), "_target").select("key", "_label", "_seen")
+    first = spread(met, parts, "key").groupBy("key", "_label").agg(F.min("_seen").alias("_seen"))
     lists = first.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("_seen", "_label"))).alias("l"))
     return lists.select("key", F.col("l._label").alias("labels"))
 
 
-def relation_labels(source: DataFrame, via: DataFrame, target: DataFrame, source_key: str, source_column: str, target_column: str, target_key: str, label: str | None = None, order: list[str] | None = None) -> DataFrame:
+def relation_labels(source: DataFrame, via: DataFrame, target: DataFrame, source_key: str, source_column: str, target_column: str, target_key: str, label: str | None = None, order: list[str] | None = None, parts: int | None = None) -> DataFrame:
     """MAP-7: every row of the source with its key, ``labels`` in first-seen order (empty without
     any) and ``search_text``, the labels joined by blanks."""
-    lists = first_seen_labels(via, target, source_column, target_column, target_key, label, order)
-    out = source.select(source_key, F.col(source_key).cast("string").alias("key")).join(lists, "key", "left")
+    lists = first_seen_labels(via, target, source_column, target_column, target_key, label, order, parts)
+    out = spread(source.select(source_key, F.col(source_key).cast("string").alias("key")), parts, "key").join(lists, "key", "left")
     labels = F.coalesce("labels", F.array().cast("array<string>"))
     return out.select(source_key, labels.alias("labels"), F.array_join(labels, " ").alias("search_text"))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from skein.operators import relations
+from skein.operators.parts import parts_of
 from skein.plans.registry import query
 
 
@@ -58,5 +59,5 @@ def _(t):
 @query("map_7_first_seen", """WITH f AS (SELECT l_orderkey AS k, p_name AS label, min((l_linenumber, l_partkey)) AS seen FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_name <> '' GROUP BY 1, 2)
 SELECT o_orderkey AS orderkey, count(label) AS n, coalesce(string_agg(label, ' ' ORDER BY seen), '') AS search_text FROM orders LEFT JOIN f ON k = o_orderkey GROUP BY 1""")
 def _(t):
-    out = relations.relation_labels(t("orders").withColumnRenamed("o_orderkey", "orderkey"), t("lineitem"), t("part"), "orderkey", "l_orderkey", "l_partkey", "p_partkey", "p_name", ["l_linenumber"])
+    out = relations.relation_labels(t("orders").withColumnRenamed("o_orderkey", "orderkey"), t("lineitem"), t("part"), "orderkey", "l_orderkey", "l_partkey", "p_partkey", "p_name", ["l_linenumber"], parts_of(t("lineitem")))
     return out.select("orderkey", F.size("labels").alias("n"), "search_text")
