@@ -39,7 +39,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import give_back, map_texts, plain_words, stash
+from skein.llm.common import give_back, keep_memory, map_texts, plain_words, stash
 
 #: Words of the broadcast count table (16 MB); words of a class; hidden units.
 TABLE, PER_CLASS, HIDDEN = 1 << 20, 64, 16
@@ -47,9 +47,12 @@ TABLE, PER_CLASS, HIDDEN = 1 << 20, 64, 16
 MOST_WORDS = ((1 << 15) - 1) // PER_CLASS * PER_CLASS
 #: Models that are averaged at a time; tokens of a class up to which classes are worked on together.
 MODELS, FEW = 8, 128
+#: Tokens of a block of large classes; rows of a word up to which words are added together; parameters changed at a time.
+BLOCK, OFTEN, SOME = 1024, 32, 1 << 15
 #: Steps of a window; lanes at most; tokens held at a time; tokens of a shard.
 WINDOW, LANES, CHUNK, SHARD = 32, 640, 4_000_000, 4_000_000
 END = 0x2545F4914F6CDD1D  # the hash that stands for the end
+NEVER = -1e30  # the bias of a place without a class
 
 
 def held_out(doc_id, divisor: int = 7, rest: int = 2) -> bool:
@@ -108,44 +111,106 @@ def frequent(counts: DataFrame, most: int = TABLE) -> tuple[np.ndarray, np.ndarr
     return words[order], table.column("c").to_numpy()[order]
 
 
-def level(p: dict, name: str, k: np.ndarray, y: np.ndarray, s: np.ndarray, logp: np.ndarray, ds: np.ndarray | None, grad: dict | None) -> None:
+def blocks(sets: np.ndarray, ends: np.ndarray) -> Iterator[tuple[int, int, list]]:
+    """(first token, end, [(set, first token, end)]): the tokens of these sets in runs of BLOCK at most."""
+    start = stop = 0
+    runs: list[tuple[int, int, int]] = []
+    for c, at, end in zip(sets.tolist(), ends[sets].tolist(), ends[sets + 1].tolist()):
+        while at < end:
+            if runs and (at != stop or stop - start == BLOCK):
+                yield start, stop, runs
+                runs = []
+            if not runs:
+                start = at
+            stop = min(end, start + BLOCK)
+            runs.append((c, at, stop))
+            at = stop
+    if runs:
+        yield start, stop, runs
+
+
+def level(w: np.ndarray, k: np.ndarray, y: np.ndarray, s: np.ndarray, logp: np.ndarray, ds: np.ndarray | None) -> np.ndarray | None:
     """Adds the log-probabilities of members y within sets k (sorted; those beyond the last
     set are left out) under the states s [tokens, units and a one] to logp, and the gradients
-    by s to ds. Sets of about as many tokens are worked on together, filled up to equal numbers."""
-    w, b = p[name + "w"], p[name + "b"]
+    by s to ds, if it is given; gives those by w [sets, members, weights and a bias] then.
+    Large sets are worked on by themselves, in blocks of tokens that stay in the cache, small
+    ones with others of about as many tokens, filled up to equal numbers."""
+    members, wide = w.shape[1:]
     ends = np.searchsorted(k, np.arange(len(w) + 1))
-    sizes, ones = np.diff(ends), np.ones(w.shape[1], w.dtype)
-    finite = np.where(np.isfinite(b), np.abs(b), 0)  # logits that can't overflow needn't be moved
-    tame = (np.abs(w).reshape(-1, w.shape[2]) @ np.ones(w.shape[2], w.dtype)).max() * max(1, np.abs(s).max()) + finite.max() < 80
-    if grad is not None:
-        grad[name + "w"], grad[name + "b"] = np.zeros_like(w), np.zeros_like(b)
-    batches, least = [(np.array([c]), int(sizes[c])) for c in np.flatnonzero(sizes > FEW).tolist()], 0
-    for most in (m for m in (4, 8, 12, 16, 24, 32, 48, 64, 96, 128) if m <= FEW):
-        batches.append((np.flatnonzero((sizes > least) & (sizes <= most)), most))
-        least = most
-    for sets, most in batches:
+    sizes, ones, known = np.diff(ends), np.ones(members, w.dtype), int(ends[-1])
+    reach = np.abs(w).reshape(-1, wide) @ np.full(wide, max(1, np.abs(s).max(initial=0)), w.dtype)
+    tame = reach[reach < -NEVER / 10].max(initial=0) < 80  # logits that can't overflow needn't be moved
+    hit = np.arange(0, known * members, members) + y[:known]
+    found, total = np.empty(known, w.dtype), np.empty(known, w.dtype)
+    grad = np.zeros_like(w) if ds is not None else None
+    room = np.empty((BLOCK, members), w.dtype)
+    for start, stop, runs in blocks(np.flatnonzero(sizes > FEW), ends):
+        e, part = room[: stop - start], slice(start, stop)
+        for c, at, end in runs:
+            np.matmul(s[at:end], w[c].T, out=e[at - start : end - start])
+        if not tame:
+            e -= e.max(axis=1, keepdims=True)
+        flat, place = e.reshape(-1), hit[part] - start * members
+        found[part] = flat[place]
+        np.exp(e, out=e)
+        sums = np.matmul(e, ones, out=total[part])
+        if grad is not None:
+            flat[place] -= sums  # over the sums, these are the gradients by the logits
+            over = 1 / sums[:, None]
+            own, back = s[part] * over, np.empty((stop - start, wide), w.dtype)
+            for c, at, end in runs:
+                own_e = e[at - start : end - start]
+                grad[c] += own_e.T @ own[at - start : end - start]
+                np.matmul(own_e, w[c], out=back[at - start : end - start])
+            ds[part] += np.multiply(back, over, out=back)
+    least = 0
+    for most in (m for m in (2, 4, 6, 8, 12, 16, 24, 32, 48, 64, 96, 128) if m <= FEW):
+        sets, least = np.flatnonzero((sizes > least) & (sizes <= most)), most
         if not len(sets):
             continue
         place = ends[sets][:, None] + np.arange(most)
         there = place < ends[sets + 1][:, None]
-        at, place = place[there], np.where(there, place, 0)
-        own, of = s[place], w[sets]
-        e = own @ np.concatenate([of, b[sets][:, :, None]], axis=2).transpose(0, 2, 1)
-        flat = e.reshape(-1, e.shape[2])
+        at, own, of = place[there], s[np.where(there, place, 0)], w[sets]
+        e = own @ of.transpose(0, 2, 1)
+        flat, place = e.reshape(-1), np.flatnonzero(there)
         if not tame:
-            flat -= flat.max(axis=1, keepdims=True)
-        place = np.flatnonzero(there)
-        found = flat[place, y[at]]
-        np.exp(flat, out=flat)
-        total = flat @ ones
-        logp[at] += found - np.log(total[place])
+            e -= e.max(axis=2, keepdims=True)
+        to = place * members + y[at]
+        found[at] = flat[to]
+        np.exp(e, out=e)
+        sums = e.reshape(-1, members) @ ones
+        total[at] = sums[place]
         if grad is not None:
-            flat[place, y[at]] -= total[place]
-            total[~there.ravel()] = np.inf  # what fills up has no gradient
-            flat /= total[:, None]
-            both = e.transpose(0, 2, 1) @ own
-            grad[name + "w"][sets], grad[name + "b"][sets] = both[:, :, :-1], both[:, :, -1]
-            ds[at] += (e @ of).reshape(len(flat), -1)[place]
+            flat[to] -= sums[place]
+            over = np.where(there, 1 / sums.reshape(there.shape), 0)[:, :, None].astype(w.dtype, copy=False)  # what fills up has no gradient
+            own *= over
+            grad[sets] = e.transpose(0, 2, 1) @ own
+            back = e @ of
+            back *= over
+            ds[at] += back.reshape(-1, wide)[place]
+    found -= np.log(total)
+    logp[:known] += found
+    return grad
+
+
+def sums_by(ids: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the distinct ids, the most frequent first, the sum of the rows of each)."""
+    order = np.argsort(ids, kind="stable")
+    ids = ids[order]
+    begin = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
+    times = np.diff(np.append(begin, len(ids)))
+    by = np.argsort(-times, kind="stable")
+    begin, times = begin[by], times[by]
+    out, often = rows.take(order[begin], axis=0), int((times > OFTEN).sum())
+    ones = np.ones(times[0], rows.dtype)
+    for k in range(often):
+        np.matmul(ones[: times[k]], rows.take(order[begin[k] : begin[k] + times[k]], axis=0), out=out[k])
+    for nth in range(1, OFTEN):  # the second row of each, the third, ...
+        more = slice(often, int((times > nth).sum()))
+        if more.start >= more.stop:
+            break
+        out[more] += rows.take(order[begin[more] + nth], axis=0)
+    return ids[begin], out
 
 
 class GRU:
@@ -159,8 +224,8 @@ class GRU:
     def shapes(classes: int, hidden: int) -> dict[str, tuple]:
         groups, per = GRU.grouped(classes)
         return {
-            "w": (classes * PER_CLASS + 1, 3 * hidden), "u": (hidden, 3 * hidden), "cw": (hidden, groups + 1), "cb": (groups + 1,),
-            "gw": (groups, per, hidden), "gb": (groups, per), "ow": (classes, PER_CLASS, hidden), "ob": (classes, PER_CLASS),
+            "w": (classes * PER_CLASS + 1, 3 * hidden), "u": (hidden, 3 * hidden), "c": (1, groups + 1, hidden + 1),
+            "g": (groups, per, hidden + 1), "o": (classes, PER_CLASS, hidden + 1),
         }
 
     @staticmethod
@@ -174,18 +239,25 @@ class GRU:
         """Small random weights; the biases give the corpus frequencies of the words, whose
         number is a multiple of PER_CLASS, and of the unknown word."""
         rng, classes = np.random.default_rng(7), len(counts) // PER_CLASS
-        p = {k: (rng.standard_normal(s) * 0.1).astype(np.float32) for k, s in cls.shapes(classes, hidden).items()}
-        for k in ("ow", "gw", "cw"):
-            p[k] *= 0.1
+        groups, per = cls.grouped(classes)
+        p = {}
+        for k, s in cls.shapes(classes, hidden).items():
+            drawn = (rng.standard_normal(math.prod(s)) * 0.1).astype(np.float32)
+            if len(s) == 3:  # the levels: each member's weights, then its bias, which is set below
+                of = drawn[: -s[0] * s[1]] * np.float32(0.1)
+                p[k] = np.zeros(s, np.float32)
+                p[k][:, :, :-1] = of.reshape(hidden, s[1]).T if k == "c" else of.reshape(*s[:2], hidden)
+            else:
+                p[k] = drawn.reshape(s)
         by_class = np.maximum(counts, 0.01).reshape(classes, PER_CLASS)
-        by_group = np.zeros(p["gb"].size)  # places without a class stay impossible
+        by_group = np.zeros(groups * per)  # places without a class stay impossible
         by_group[:classes] = by_class.sum(axis=1)
-        by_group = by_group.reshape(p["gb"].shape)
+        by_group = by_group.reshape(groups, per)
         shares = np.append(by_group.sum(axis=1), max(unknown, 0.01))
-        p["cb"] = np.log(shares / shares.sum()).astype(np.float32)
+        p["c"][0, :, -1] = np.log(shares / shares.sum())
         with np.errstate(divide="ignore"):
-            p["gb"] = np.log(by_group / by_group.sum(axis=1, keepdims=True)).astype(np.float32)
-        p["ob"] = np.log(by_class / by_class.sum(axis=1, keepdims=True)).astype(np.float32)
+            p["g"][:, :, -1] = np.maximum(np.log(by_group / by_group.sum(axis=1, keepdims=True)), NEVER)
+        p["o"][:, :, -1] = np.log(by_class / by_class.sum(axis=1, keepdims=True))
         return cls(classes, p)
 
     def flat(self) -> bytes:
@@ -236,37 +308,31 @@ class GRU:
     @staticmethod
     def at(states: np.ndarray, real: np.ndarray) -> np.ndarray:
         """[units, tokens]: the states of the real places."""
-        return states.transpose(1, 0, 2).reshape(states.shape[1], -1)[:, np.flatnonzero(real)]
+        flat = states.transpose(1, 0, 2).reshape(states.shape[1], -1)
+        return flat if real.all() else flat[:, np.flatnonzero(real)]
 
     def outputs(self, s: np.ndarray, target: np.ndarray, grad: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
         """Log-probabilities of the targets under the states s [units, tokens], and the
         gradients by s if ``grad`` is given, which gets those of the parameters."""
-        p, n, k = self.p, s.shape[1], (target // PER_CLASS).astype(np.int16)
+        n, k = s.shape[1], (target // PER_CLASS).astype(np.int16)
         groups, per = self.grouped(self.classes)
-        group, every = np.where(k < self.classes, k // per, groups), np.arange(n)
-        e = p["cw"].T @ s
-        e += p["cb"][:, None]
-        e -= e.max(axis=0)
-        logp = e[group, every]
-        np.exp(e, out=e)
-        total = e.sum(axis=0)
-        logp -= np.log(total)
-        order, ds, inner = np.argsort(k, kind="stable"), None, None
-        if grad is not None:
-            e[group, every] -= total  # over the total, these are the gradients by the logits
-            grad["cw"], grad["cb"], ds = (s / total) @ e.T, e @ (1 / total), (p["cw"] @ e) / total
-            inner = np.zeros((n, len(s)), s.dtype)
+        order = np.argsort(k, kind="stable")
         rows = np.ones((n, len(s) + 1), s.dtype)
         rows[:, :-1] = s.T
-        rows, k, y, by_set = rows[order], k[order], (target % PER_CLASS)[order], np.zeros(n, s.dtype)
-        level(p, "g", group[order], k % per, rows, by_set, inner, grad)  # the unknown word is the only one of its group
-        level(p, "o", k, y, rows, by_set, inner, grad)
-        logp[order] += by_set
-        if grad is not None:
-            back = np.empty_like(inner)
-            back[order] = inner
-            ds += back.T
-        return logp, ds
+        rows, k, y, by_level = rows[order], k[order], (target % PER_CLASS)[order], np.zeros(n, s.dtype)
+        inner = np.zeros_like(rows) if grad is not None else None
+        group = np.where(k < self.classes, k // per, groups)  # the unknown word is the only one of its group
+        for name, sets, members in (("c", np.zeros_like(k), group), ("g", group, k % per), ("o", k, y)):
+            by_w = level(self.p[name], sets, members, rows, by_level, inner)
+            if grad is not None:
+                grad[name] = by_w
+        logp = np.empty_like(by_level)
+        logp[order] = by_level
+        if grad is None:
+            return logp, None
+        back = np.empty_like(inner)
+        back[order] = inner
+        return logp, back[:, :-1].T
 
     def gradients(self, before, first, target, real, h) -> tuple[dict, np.ndarray, np.ndarray, np.ndarray]:
         """(gradients of the summed loss but for the input words', the input words used,
@@ -276,7 +342,7 @@ class GRU:
         logp, ds = self.outputs(self.at(states, real), target[real], grad)
         steps, n, lanes = states.shape
         into = np.zeros((n, steps * lanes), states.dtype)
-        into[:, np.flatnonzero(real)] = ds
+        into[:, slice(None) if real.all() else np.flatnonzero(real)] = ds
         into = into.reshape(n, steps, lanes).transpose(1, 0, 2)
         u, m = self.p["u"], 2 * n
         z, r, c = zr[:, :n], zr[:, n:m], zr[:, m:]
@@ -297,11 +363,8 @@ class GRU:
             back += u @ a
             if starts[t]:
                 back[:, first[t]] = 0
-        grad["u"] = np.tensordot(olds, ga, ((0, 2), (0, 2)))
-        ids = before.ravel()
-        order = np.argsort(ids, kind="stable")
-        used, begin = np.unique(ids[order], return_index=True)
-        return grad, used, np.add.reduceat(gx.transpose(0, 2, 1).reshape(-1, 3 * n)[order], begin, axis=0), logp
+        grad["u"] = (olds @ ga.transpose(0, 2, 1)).sum(axis=0)
+        return grad, *sums_by(before.ravel(), gx.transpose(0, 2, 1).reshape(-1, 3 * n)), logp
 
     def learn(self, before, first, target, real, h, cache: dict, rate: float, full: int) -> None:
         """One step of truncated backpropagation over a window, with Adagrad. full: tokens
@@ -309,19 +372,33 @@ class GRU:
         grad, used, rows, _ = self.gradients(before, first, target, real, h)
         scale = np.float32(1 / full)
         for k, g in grad.items():
-            g *= scale
-            acc = cache.setdefault(k, np.zeros_like(g))
-            step = g * g
-            acc += step
-            np.sqrt(acc, out=step)
-            step += 1e-6
-            np.divide(g, step, out=step)
-            step *= rate
-            self.p[k] -= step
+            if k not in cache:
+                cache[k] = np.zeros_like(g)
+            g, acc, p = g.reshape(-1), cache[k].reshape(-1), self.p[k].reshape(-1)
+            for at in range(0, len(g), SOME):  # parts that stay in the cache
+                part = slice(at, at + SOME)
+                step = g[part]
+                if not step.any():
+                    continue  # nothing changes
+                step *= scale
+                root = step * step
+                acc[part] += root
+                np.sqrt(acc[part], out=root)
+                root += 1e-6
+                step /= root
+                step *= rate
+                p[part] -= step
         rows *= scale
-        acc = cache.setdefault("w", np.zeros_like(self.p["w"]))
-        acc[used] += rows * rows
-        self.p["w"][used] -= rate * rows / (np.sqrt(acc[used]) + 1e-6)
+        if "w" not in cache:
+            cache["w"] = np.zeros_like(self.p["w"])
+        acc = cache["w"][used]
+        acc += rows * rows
+        cache["w"][used] = acc
+        np.sqrt(acc, out=acc)
+        acc += 1e-6
+        rows /= acc
+        rows *= rate
+        self.p["w"][used] -= rows
 
 
 class Lanes:
@@ -372,6 +449,7 @@ def trained(coded: DataFrame, start: bytes, classes: int, end_id: int, tokens: i
             import pyarrow as pa
 
             net, cache, tokens, held, size, shard = None, {}, 0, [], 0, None
+            keep_memory()
 
             def fit(docs):
                 lanes = Lanes(docs, end_id)

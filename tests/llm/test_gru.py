@@ -80,3 +80,64 @@ def test_training_helps_and_partitions_do_not_matter(spark, sf):
 
 def test_empty_table(spark):
     assert G.score_documents(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_levels_and_row_sums_equal_a_plain_softmax(monkeypatch):
+    net, rng = small_net(3)
+    s, target = rng.standard_normal((5, 900)), rng.integers(0, 3 * G.PER_CLASS + 1, 900)
+    target[:400] = 70  # one class of more tokens than a block, beside small ones
+    rows, groups, per = np.vstack([s, np.ones(900)]).T, *G.GRU.grouped(3)
+    k = target // G.PER_CLASS
+    group = np.where(k < 3, k // per, groups)
+    known = k < 3
+    inside = [(net.p["c"], np.zeros_like(k), group, known | True), (net.p["g"], group, k % per, known), (net.p["o"], k, target % G.PER_CLASS, known)]
+    want, by_s, by_w = np.zeros(900), np.zeros_like(s.T), {}
+    for name, (w, sets, member, there) in zip("cgo", inside):
+        by_w[name] = np.zeros_like(w)
+        for t in np.flatnonzero(there):
+            logit = w[sets[t]] @ rows[t]
+            p = np.exp(logit - logit.max())
+            p /= p.sum()
+            want[t] += np.log(p[member[t]])
+            p[member[t]] -= 1
+            by_w[name][sets[t]] += p[:, None] * rows[t]
+            by_s[t] += p @ w[sets[t]][:, :-1]
+    for block, few in ((64, 0), (64, 8), (1024, 128)):
+        monkeypatch.setattr(G, "BLOCK", block)
+        monkeypatch.setattr(G, "FEW", few)
+        grad = {}
+        logp, ds = net.outputs(s, target, grad)
+        assert np.allclose(logp, want) and np.allclose(ds, by_s.T)
+        assert all(np.allclose(grad[x][..., :-1], by_w[x][..., :-1]) and np.allclose(grad[x][..., -1], by_w[x][..., -1]) for x in "cgo")
+    ids = np.concatenate([np.full(700, 4), rng.integers(0, 60, 200), [90]])
+    values = rng.standard_normal((len(ids), 6))
+    used, sums = G.sums_by(ids, values)
+    assert sorted(used) == sorted(set(ids.tolist()))
+    assert all(np.allclose(x, values[ids == i].sum(axis=0)) for i, x in zip(used, sums))
+
+
+_FAULTS = """
+import resource, sys
+import numpy as np
+from skein.llm import common, gru_lm as G
+getattr(common, "keep_memory", lambda: None)()
+rng = np.random.default_rng(1)
+top = G.MOST_WORDS
+net, cache = G.GRU.start(1e6 / np.arange(1, top + 1), 1e5), {}
+lanes = G.Lanes([np.minimum(rng.zipf(1.2, 500), top).astype(np.int16) for _ in range(1280)], 0)
+h, faults = np.zeros((G.HIDDEN, len(lanes.sizes)), np.float32), []
+for before, first, target, real, _ in lanes.windows():
+    h = np.ascontiguousarray(h[:, : before.shape[1]])
+    net.learn(before, first, target, real, h, cache, 0.05, G.WINDOW * len(lanes.sizes))
+    faults.append(resource.getrusage(resource.RUSAGE_SELF).ru_minflt)
+print((faults[20] - faults[10]) // 10)
+"""
+
+
+def test_a_training_step_takes_no_new_memory():
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    out = subprocess.run([sys.executable, "-c", _FAULTS], capture_output=True, text=True, check=True, cwd=Path(G.__file__).parents[2])
+    assert int(out.stdout) < 500  # pages a window; several thousand where its arrays come from the system each time
