@@ -51,6 +51,11 @@ MODELS, FEW = 8, 128
 BLOCK, OFTEN, SOME = 1024, 32, 1 << 15
 #: Steps of a window; lanes at most; tokens held at a time; tokens of a shard.
 WINDOW, LANES, CHUNK, SHARD = 32, 640, 4_000_000, 4_000_000
+#: Tokens trained on at a time: a shard whole, though the hash makes it somewhat larger than SHARD,
+#: as a small rest would be many narrow windows, which cost more a token and teach less.
+HOLD = SHARD * 5 // 4
+#: Numbers of tokens up to which small classes are filled.
+FILLED = np.array([2, 4, 6, 8, 12, 16, 24, 32, 48, 64, 96, 128])
 END = 0x2545F4914F6CDD1D  # the hash that stands for the end
 NEVER = -1e30  # the bias of a place without a class
 
@@ -138,8 +143,6 @@ def level(w: np.ndarray, k: np.ndarray, y: np.ndarray, s: np.ndarray, logp: np.n
     members, wide = w.shape[1:]
     ends = np.searchsorted(k, np.arange(len(w) + 1))
     sizes, ones, known = np.diff(ends), np.ones(members, w.dtype), int(ends[-1])
-    reach = np.abs(w).reshape(-1, wide) @ np.full(wide, max(1, np.abs(s).max(initial=0)), w.dtype)
-    tame = reach[reach < -NEVER / 10].max(initial=0) < 80  # logits that can't overflow needn't be moved
     hit = np.arange(0, known * members, members) + y[:known]
     found, total = np.empty(known, w.dtype), np.empty(known, w.dtype)
     grad = np.zeros_like(w) if ds is not None else None
@@ -148,7 +151,7 @@ def level(w: np.ndarray, k: np.ndarray, y: np.ndarray, s: np.ndarray, logp: np.n
         e, part = room[: stop - start], slice(start, stop)
         for c, at, end in runs:
             np.matmul(s[at:end], w[c].T, out=e[at - start : end - start])
-        if not tame:
+        if e.max() > 80 or e.min() < -80:  # logits that can't overflow needn't be moved
             e -= e.max(axis=1, keepdims=True)
         flat, place = e.reshape(-1), hit[part] - start * members
         found[part] = flat[place]
@@ -163,17 +166,16 @@ def level(w: np.ndarray, k: np.ndarray, y: np.ndarray, s: np.ndarray, logp: np.n
                 grad[c] += own_e.T @ own[at - start : end - start]
                 np.matmul(own_e, w[c], out=back[at - start : end - start])
             ds[part] += np.multiply(back, over, out=back)
-    least = 0
-    for most in (m for m in (2, 4, 6, 8, 12, 16, 24, 32, 48, 64, 96, 128) if m <= FEW):
-        sets, least = np.flatnonzero((sizes > least) & (sizes <= most)), most
-        if not len(sets):
-            continue
+    small = np.flatnonzero((sizes > 0) & (sizes <= FEW))
+    fill = FILLED[np.searchsorted(FILLED, sizes[small])]
+    for most in sorted(set(fill.tolist())):
+        sets = small[fill == most]
         place = ends[sets][:, None] + np.arange(most)
         there = place < ends[sets + 1][:, None]
         at, own, of = place[there], s[np.where(there, place, 0)], w[sets]
         e = own @ of.transpose(0, 2, 1)
         flat, place = e.reshape(-1), np.flatnonzero(there)
-        if not tame:
+        if e.max() > 80 or e.min() < -80:
             e -= e.max(axis=2, keepdims=True)
         to = place * members + y[at]
         found[at] = flat[to]
@@ -378,7 +380,7 @@ class GRU:
             for at in range(0, len(g), SOME):  # parts that stay in the cache
                 part = slice(at, at + SOME)
                 step = g[part]
-                if not step.any():
+                if step.max() == 0 == step.min():
                     continue  # nothing changes
                 step *= scale
                 root = step * step
@@ -460,7 +462,7 @@ def trained(coded: DataFrame, start: bytes, classes: int, end_id: int, tokens: i
 
             for batch in batches:
                 for raw, of in zip(batch.column(0), batch.column(1).to_pylist()):
-                    if of != shard or size >= CHUNK:
+                    if of != shard or size >= HOLD:
                         if held:
                             fit(held)
                             tokens, held, size = tokens + size, [], 0

@@ -141,3 +141,19 @@ def test_a_training_step_takes_no_new_memory():
 
     out = subprocess.run([sys.executable, "-c", _FAULTS], capture_output=True, text=True, check=True, cwd=Path(G.__file__).parents[2])
     assert int(out.stdout) < 500  # pages a window; several thousand where its arrays come from the system each time
+
+
+def test_a_shard_somewhat_above_its_size_is_trained_on_as_a_whole(spark, monkeypatch, tmp_path):
+    import uuid
+
+    class Seen(G.Lanes):
+        def __init__(self, docs, end_id):
+            super().__init__(docs, end_id)
+            (tmp_path / uuid.uuid4().hex).write_text(str(len(self.target)))
+
+    for name, value in {"Lanes": Seen, "SHARD": 4000, "CHUNK": 4000, "HOLD": 5000}.items():
+        monkeypatch.setattr(G, name, value, raising=name != "HOLD")
+    rows = [(k, np.full(100, k % 60, np.int16).tobytes(), False) for k in range(44)]
+    coded = spark.createDataFrame(rows, "doc_id long, ids binary, held_out boolean")
+    G.trained(coded, G.GRU.start(np.ones(G.PER_CLASS), 1.0).flat(), 1, 0, 4400, 1, 0.05)
+    assert [p.read_text() for p in tmp_path.iterdir()] == ["4400"]
