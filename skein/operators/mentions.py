@@ -27,12 +27,13 @@ def folded(c: Column) -> Column:
 
 
 def places(text: Column, phrase: Column) -> Column:
-    """All starts (from 0) of a phrase in a folded text, as whole words."""
+    """All starts (from 0) of a phrase in a folded text, as whole words. Only texts that
+    contain the phrase are looked through place by place."""
     padded, size = F.concat(F.lit(" "), text, F.lit(" ")), F.length(phrase)
     letter = lambda at: F.substring(padded, at, F.lit(1)).rlike("[a-z0-9]")
     fits = lambda i: (F.substring(text, i, size) == phrase) & ~letter(i) & ~letter(i + size + 1)
     last = F.length(text) - size + 1
-    return F.when(last > 0, F.transform(F.filter(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), fits), lambda i: i - 1)).otherwise(F.array().cast("array<int>"))
+    return F.when((last > 0) & F.contains(text, phrase), F.transform(F.filter(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), fits), lambda i: i - 1)).otherwise(F.array().cast("array<int>"))
 
 
 def phrase_places(queries: DataFrame, phrases: DataFrame, by: list[str]) -> DataFrame:

@@ -49,7 +49,8 @@ def _(t):
     one = lambda field, c: p.select(F.lit("part").alias("entity"), F.lit(field).alias("field"), c.alias("value"))
     values = one("brand", F.col("p_brand")).union(one("type", F.col("p_type"))).union(one("kind", F.when(F.col("p_type").startswith("P"), F.col("p_type"))))
     values = values.union(one("size", F.concat("p_size", F.lit("cm")))).union(one("look", F.split("p_name", " ")[0])).union(one("name", F.col("p_name")))
-    values = values.where("value is not null").distinct().withColumn("phrase", F.col("value"))
+    values = values.where("value is not null").groupBy("entity", "field", "value").agg(F.count("*").alias("n"))
+    values = values.select("entity", "field", "value", F.when(F.col("n") > 0, F.col("value")).alias("phrase"))  # asked of each value once, not of each row below the grouping
     make = p.sparkSession.createDataFrame
     kinds = [("price", "number", "Precio", "filter", None), ("available", "boolean", "stock", "filter", None), ("brand", "string", "", "filter", None), ("type", "string", "", "search", None), ("kind", "string", "", "filter", None),
              ("size", "string", "", "filter", None), ("look", "string", "", "prefer", 0.3), ("name", "string", "", None, None)]
