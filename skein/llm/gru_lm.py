@@ -147,11 +147,13 @@ def level(w: np.ndarray, k: np.ndarray, y: np.ndarray, s: np.ndarray, logp: np.n
     found, total = np.empty(known, w.dtype), np.empty(known, w.dtype)
     grad = np.zeros_like(w) if ds is not None else None
     room = np.empty((BLOCK, members), w.dtype)
+    # logits that can't overflow needn't be moved: if not by the largest state and weights, each block is looked at
+    near = known == 0 or max(s.max(), -s.min()) * wide * max(w.max(), -w.min()) <= 80
     for start, stop, runs in blocks(np.flatnonzero(sizes > FEW), ends):
         e, part = room[: stop - start], slice(start, stop)
         for c, at, end in runs:
             np.matmul(s[at:end], w[c].T, out=e[at - start : end - start])
-        if e.max() > 80 or e.min() < -80:  # logits that can't overflow needn't be moved
+        if not near and (e.max() > 80 or e.min() < -80):
             e -= e.max(axis=1, keepdims=True)
         flat, place = e.reshape(-1), hit[part] - start * members
         found[part] = flat[place]
@@ -175,7 +177,7 @@ def level(w: np.ndarray, k: np.ndarray, y: np.ndarray, s: np.ndarray, logp: np.n
         at, own, of = place[there], s[np.where(there, place, 0)], w[sets]
         e = own @ of.transpose(0, 2, 1)
         flat, place = e.reshape(-1), np.flatnonzero(there)
-        if e.max() > 80 or e.min() < -80:
+        if not near and (e.max() > 80 or e.min() < -80):
             e -= e.max(axis=2, keepdims=True)
         to = place * members + y[at]
         found[at] = flat[to]
@@ -276,13 +278,15 @@ class GRU:
 
     # Inside, units come before lanes or tokens, so that every step works on whole blocks.
 
+    @np.errstate(over="ignore")
     def window(self, before: np.ndarray, first: np.ndarray, h: np.ndarray, keep: bool) -> tuple[np.ndarray, tuple]:
         """States [steps, units, lanes] after each step, and what backpropagation needs:
         the states before each step, the recurrent part of the candidate, gates and
         candidates. before [steps, lanes]: the words fed; first: whether a document
         starts; h [units, lanes]: the carried state, updated in place."""
-        ut = np.ascontiguousarray(self.p["u"].T)
         n, m, starts = len(h), 2 * len(h), first.any(axis=1).tolist()
+        ut = self.p["u"].T.copy()
+        ut[:m] *= -1  # the gates' part, see below
         zr = np.ascontiguousarray(self.p["w"][before].transpose(0, 2, 1))  # the input's part, then the gates and candidates
         states = np.empty((len(before), *h.shape), h.dtype)
         recurrent, olds = (np.empty_like(states), np.empty_like(states)) if keep else (None, None)
@@ -293,11 +297,10 @@ class GRU:
             g, c, am = x[:m], x[m:], a[m:]
             if keep:
                 recurrent[t], olds[t] = am, h
-            g += a[:m]
-            np.multiply(g, 0.5, out=g)  # the logistic function by tanh, which can't overflow
-            np.tanh(g, out=g)
+            np.subtract(a[:m], g, out=g)  # the logistic function, 1 / (1 + exp(-x)); where exp overflows, it is 0
+            np.exp(g, out=g)
             g += 1
-            g *= 0.5
+            np.reciprocal(g, out=g)
             am *= g[n:]
             c += am
             np.tanh(c, out=c)
@@ -348,9 +351,13 @@ class GRU:
         into = into.reshape(n, steps, lanes).transpose(1, 0, 2)
         u, m = self.p["u"], 2 * n
         z, r, c = zr[:, :n], zr[:, n:m], zr[:, m:]
-        by_c = (1 - z) * (1 - c * c)
-        by_z = (olds - c) * z * (1 - z)
-        by_r = recurrent * r * (1 - r)
+        rest, by_c, by_z, by_r = 1 - z, c * c, olds - c, 1 - r
+        np.subtract(1, by_c, out=by_c)  # (1 - z) * (1 - c * c)
+        by_c *= rest
+        by_z *= z  # (old - c) * z * (1 - z)
+        by_z *= rest
+        by_r *= r  # recurrent * r * (1 - r)
+        by_r *= recurrent
         gx, ga = np.empty_like(zr), np.empty_like(zr)
         back, starts = np.zeros_like(h), first.any(axis=1).tolist()
         for t in range(steps - 1, -1, -1):
